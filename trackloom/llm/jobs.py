@@ -1,31 +1,11 @@
-"""Where intermediate tables go, and how wide jobs are."""
+"""Row keys and job widths."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    context = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not there:
-        there = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(there)
-    return there.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: later readers don't run its plan again, and a lost executor takes nothing with it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns: str) -> list[Column]:
     """128 bits that name a row by its content, as columns k1 and k2: rows that are equal in these columns are interchangeable."""
     return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(7), *reversed(columns)).alias("k2")]
