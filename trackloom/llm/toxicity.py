@@ -34,7 +34,7 @@ from .text import utf8
 #: Labelled rows of each class that are learned from.
 PER_CLASS = 1500
 #: Features that are kept, and what they need: documents of the sample, chi-squared.
-FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 1000, 8, 30.0
+FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 1000, 3, 20.0
 #: Neighbours that vote, and examples in a block of the index.
 NEAREST, BLOCK = 15, 64
 #: Weight of the featureless share among the votes; distance at which a vote halves twice.
