@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, nbest, ngram_join, substring_dedup, token_count, toxicity
+from . import decontamination, nbest, ngram_join, revisits, substring_dedup, token_count, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(_read(spark, sf_dir, "documents"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.report(_read(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_read(spark, sf_dir, "documents"))
 
@@ -37,14 +41,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_revisits": op5_revisits,
     "op6_ngram_join": op6_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them and ends in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_revisits": revisits.REPORT_SQL}
