@@ -135,7 +135,7 @@ c AS (SELECT page_id * 4 record_id, url, tm, 1 f, 'W/' || tag etag, tm d, html F
 u AS (SELECT *, regexp_replace(trim(url), '#.*$', '') b FROM c),
 s AS (SELECT *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) scheme, lower(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) host,
   regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) path,
-  array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_.*|ref|gclid|fbclid)(=|$)'))), '&') q FROM u),
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_.*|ref|gclid|fbclid)(=|$)'))), '&') q FROM u),
 k AS (SELECT record_id, tm, f, etag, d, html, CASE WHEN scheme = '' THEN b ELSE scheme || '://' || regexp_replace(host, CASE WHEN scheme = 'https' THEN ':443$' ELSE ':80$' END, '')
   || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END url FROM s),
 r AS (SELECT * FROM k WHERE f = 1 QUALIFY row_number() OVER (PARTITION BY url, tm ORDER BY record_id DESC) = 1),
