@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, nbest, ngram_join, revisits, substring_dedup, token_count, token_files, toxicity
+from . import bm25, decontamination, html_text, nbest, ngram_join, revisits, substring_dedup, token_count, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(_read(spark, sf_dir, "documents"))
 
 
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.neighbours(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_text": op7_html_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
+    "op10_bm25": op10_bm25,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them and ends in reasonable time.
