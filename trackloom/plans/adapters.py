@@ -116,6 +116,8 @@ SQL = {
 
 def with_adapters(sql: str, *names: str) -> str:
     """sql with these adapters as common table expressions in front of its own."""
-    head = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
-    body = sql.strip()
-    return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+    head, body = ",\n".join(f"{n} AS ({SQL[n]})" for n in names), sql.strip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head},\n{body[len(start) :]}"
+    return f"WITH {head}\n{body}"
