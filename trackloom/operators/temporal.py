@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from .joins import BOX, KEY
 
-_SEQ = Window.partitionBy("seq").orderBy("frame")
-_SO_FAR = _SEQ.rowsBetween(Window.unboundedPreceding, 0)
+
+def _seq():
+    return Window.partitionBy("seq").orderBy("frame")
+
+
+def _so_far():
+    return _seq().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def cut_flags(frames: DataFrame, threshold: float = 30.0) -> DataFrame:
     """frames (seq, frame, sig: array) with cut: the mean absolute difference to the frame before is over the threshold (first: false)."""
-    before = F.lag("sig").over(_SEQ)
+    before = F.lag("sig").over(_seq())
     return frames.withColumn("cut", F.coalesce(g.mad(F.col("sig"), before) > threshold, F.lit(False)))
 
 
 def hard_cuts(features: DataFrame, mad: float = 18.0, hcorr: float = 0.80) -> DataFrame:
     """features (seq, frame, sig, hist) with cut: both the pictures and their histograms of two adjacent frames differ."""
-    last = F.lag("frame").over(_SEQ)
-    far = (g.mad(F.col("sig"), F.lag("sig").over(_SEQ)) >= mad) & (g.ncc(F.col("hist"), F.lag("hist").over(_SEQ)) <= hcorr)
+    last = F.lag("frame").over(_seq())
+    far = (g.mad(F.col("sig"), F.lag("sig").over(_seq())) >= mad) & (g.ncc(F.col("hist"), F.lag("hist").over(_seq())) <= hcorr)
     return features.withColumn("cut", F.coalesce((F.col("frame") == last + 1) & far, F.lit(False)))
 
 
@@ -30,9 +35,9 @@ def continuity_runs(breaks: DataFrame, lag: int = 8, need: int = 300) -> DataFra
 
     After a break the next run begins lag + 1 frames later.
     """
-    skip = F.max(F.when(F.col("broken"), F.col("frame") + lag + 1)).over(_SO_FAR)
+    skip = F.max(F.when(F.col("broken"), F.col("frame") + lag + 1)).over(_so_far())
     ok = breaks.withColumn("skip", skip).where("skip is null or frame >= skip")
-    runs = ok.withColumn("run", F.col("frame") - F.row_number().over(_SEQ))
+    runs = ok.withColumn("run", F.col("frame") - F.row_number().over(_seq()))
     found = runs.groupBy("seq", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("length"))
     return found.select("seq", "first", "last", "length", (F.col("length") >= need).alias("long_enough"))
 
@@ -47,7 +52,7 @@ def select_ball(cands: DataFrame, frames: DataFrame, accept: float = 0.25, floor
     """
     scale = width / 640.0
     near = cands.where(F.col("conf") >= floor).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("o"), "x1", "y1", "x2", "y2", "conf"))).alias("cands"))
-    rows = frames.select(*KEY, "ts", "dt", "cut").join(near, list(KEY), "left").withColumn("part", F.sum(F.col("cut").cast("int")).over(_SO_FAR))
+    rows = frames.select(*KEY, "ts", "dt", "cut").join(near, list(KEY), "left").withColumn("part", F.sum(F.col("cut").cast("int")).over(_so_far()))
     item = F.struct("frame", "ts", "dt", "cands")
     each = rows.groupBy("seq", "part").agg(F.array_sort(F.collect_list(item)).alias("frames"))
     point = "struct<t:double,x:double,y:double>"
@@ -81,10 +86,10 @@ def select_ball(cands: DataFrame, frames: DataFrame, accept: float = 0.25, floor
 def interpolate_ball(sel: DataFrame, frames: DataFrame, max_gap: float = 0.4) -> DataFrame:
     """sel with unknown stretches between two anchors filled by time: no cut after the left one up to the right one, and the
     stretch (from the left anchor to the frame before the right one) is over 0 and at most max_gap seconds.  conf stays null."""
-    rows = sel.join(frames.select(*KEY, "ts", "dt", "cut"), list(KEY)).withColumn("cuts", F.sum(F.col("cut").cast("int")).over(_SO_FAR))
+    rows = sel.join(frames.select(*KEY, "ts", "dt", "cut"), list(KEY)).withColumn("cuts", F.sum(F.col("cut").cast("int")).over(_so_far()))
     anchor = F.when(F.col("state") != "unknown", F.struct("ts", "dt", "cuts", *BOX))
-    ahead = _SEQ.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("left", F.last(anchor, ignorenulls=True).over(_SO_FAR)).withColumn("right", F.first(anchor, ignorenulls=True).over(ahead))
+    ahead = _seq().rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("left", F.last(anchor, ignorenulls=True).over(_so_far())).withColumn("right", F.first(anchor, ignorenulls=True).over(ahead))
     span = F.col("right.ts") - F.col("left.ts")
     gap = span - F.col("right.dt")
     ok = (F.col("state") == "unknown") & (F.col("left.cuts") == F.col("right.cuts")) & (gap > 1e-9) & (gap <= max_gap + 1e-9)
@@ -96,7 +101,7 @@ def interpolate_ball(sel: DataFrame, frames: DataFrame, max_gap: float = 0.4) ->
 def hold_last(ball: DataFrame, max_gap: int = 15) -> DataFrame:
     """ball with the last known box repeated for at most max_gap frames; held_for counts them (0: known).  For display, never evidence."""
     known = F.when(F.col("x1").isNotNull(), F.struct("frame", *BOX))
-    last = ball.withColumn("l", F.last(known, ignorenulls=True).over(_SO_FAR)).withColumn("age", F.col("frame") - F.col("l.frame"))
+    last = ball.withColumn("l", F.last(known, ignorenulls=True).over(_so_far())).withColumn("age", F.col("frame") - F.col("l.frame"))
     fresh = F.col("age") <= max_gap
     return last.select(*KEY, *(F.when(fresh, F.col(f"l.{c}")).alias(c) for c in BOX), F.when(fresh, F.col("age")).alias("held_for"))
 
