@@ -13,7 +13,9 @@ the result is each document's component.  The steps, all over whole texts:
    least l shingles within their first ``size - o + l``.  The larger set of a pair chooses l from 1 to
    ``LEVELS`` by estimated cost (postings read plus candidates verified); the smaller one offers its prefix of
    every level.  Blocks of postings are dealt out by shingle; only shingles that different components
-   share go on to the join, which applies size and position bounds and demands l matches.
+   share go on to the join, which applies size, position and parity bounds and demands l matches.  The parity bound: a set is also
+   a bit string of the parities of its shingles per class of hash values; two strings differ in no more bits than the sets
+   do in shingles, so pairs of near copies that fall short of the similarity end here and not as candidates.
 4. Candidate pairs are verified on whole sets; components are taken over all links.
 
 No pair is lost: step 3 skips only pairs whose two sides step 2 already connected.
@@ -49,6 +51,8 @@ SLICES = 64
 LEVELS = 4
 #: Cost of verifying a candidate against that of reading a posting.
 VERIFY_COST = 200.0
+#: 64-bit words of a parity string.
+PARITY = 8
 #: Min-hash keys of a set, each of two minima.
 KEYS = 8
 #: Sets that a task remembers, so as not to send a copy again; those it forgets are merged later.
@@ -193,11 +197,16 @@ def prefix_plan(ordered: np.ndarray, counts: np.ndarray, documents: int, num: in
     return offers, best[1], base + best[1]
 
 
-_PREFIX = "node long, size int, offers int, level int, reads int, prefix binary"
+def parity(s: np.ndarray) -> list[int]:
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+_PREFIX = "node long, size int, offers int, level int, reads int, prefix binary, " + ", ".join(f"parity{i} long" for i in range(PARITY))
 
 
 def _prefixes(n: int, num: int, den: int, counts, documents: int):
-    kinds = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("offers", pa.int32()), ("level", pa.int32()), ("reads", pa.int32()), ("prefix", pa.binary())])
+    kinds = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("offers", pa.int32()), ("level", pa.int32()), ("reads", pa.int32()), ("prefix", pa.binary()), *((f"parity{i}", pa.int64()) for i in range(PARITY))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
@@ -213,7 +222,7 @@ def _prefixes(n: int, num: int, den: int, counts, documents: int):
                 c = table[_classes(s)]
                 order = np.lexsort((s, c))
                 offers, level, reads = prefix_plan(s[order], c[order], documents, num, den)
-                rows.append((node, len(s), offers, level, reads, s[order][: max(reads, offers + LEVELS - 1)].tobytes()))
+                rows.append((node, len(s), offers, level, reads, s[order][: max(reads, offers + LEVELS - 1)].tobytes(), *parity(s)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
@@ -309,17 +318,20 @@ def components(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] =
     documents = max(1, nodes.count())
     shared = spark.sparkContext.broadcast(counts)
     prefixes = texts.mapInArrow(_prefixes(n, num, den, shared, documents), _PREFIX).dropDuplicates(["node"])
-    prefixes = prefixes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prefixes = cut(prefixes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")))
     buckets = max(3 * shuffle_width(docs), 2 * texts.rdd.getNumPartitions())
-    blocks = prefixes.mapInArrow(_posting_blocks(buckets), "bucket int, postings binary")
+    blocks = prefixes.drop(*(f"parity{i}" for i in range(PARITY))).mapInArrow(_posting_blocks(buckets), "bucket int, postings binary")
     postings = cut(blocks.groupBy("bucket").applyInPandas(lambda g: _shared_postings(g), "h long, node long, component long, size int, at int, offers int, level int, reads int"))
     # the larger side (ties: by node) reads its prefix at its own level; the smaller side's shingle at position p belongs to level p - offers + 2 and up
-    large = postings.where("at < reads").select("h", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("at").alias("px"), "level")
-    small = postings.select("h", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("at").alias("py"), F.greatest(F.lit(1), F.col("at") - F.col("offers") + 2).alias("from_level"))
+    strings = lambda side: prefixes.select(F.col("node").alias(side), *(F.col(f"parity{i}").alias(f"{side}{i}") for i in range(PARITY)))
+    large = postings.where("at < reads").select("h", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("at").alias("px"), "level").join(strings("x"), "x")
+    small = postings.select("h", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("at").alias("py"), F.greatest(F.lit(1), F.col("at") - F.col("offers") + 2).alias("from_level")).join(strings("y"), "y")
     bounds = (F.col("cx") != F.col("cy")) & ((F.col("sy") < F.col("sx")) | ((F.col("sy") == F.col("sx")) & (F.col("y") < F.col("x")))) & (F.col("sy") * den >= F.col("sx") * num) & (F.col("from_level") <= F.col("level"))
     # what can still match from here on, with those before, must reach the overlap that the link needs
     reach = F.least(F.col("px"), F.col("py")) + F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
     bounds &= reach * (num + den) >= (F.col("sx") + F.col("sy")) * num
+    differ = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY))
+    bounds &= differ * (num + den) <= (F.col("sx") + F.col("sy")) * (den - num)
     hits = large.join(small, "h").where(bounds)
     pairs = cut(hits.groupBy("x", "y").agg(F.count(F.lit(1)).alias("matches"), F.max("level").alias("level")).where("matches >= level").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
