@@ -182,6 +182,13 @@ def crop_transform(b: Column, crop: Column, scale: float = 1.0, min_px: float =
     return F.when((width(shifted) >= min_px) & (height(shifted) >= min_px) & (whole > 0) & (area(shifted) >= min_area * whole), shifted)
 
 
+def tile_grid(w: float, h: float, cols: int, rows: int, overlap: float = 0.2) -> Column:
+    """The tiles of an image as an array of boxes with col and row: equal ones, each sharing ``overlap`` of its side with the next."""
+    tw, th = w / (cols - (cols - 1) * overlap), h / (rows - (rows - 1) * overlap)
+    tiles = [(c, r, c * tw * (1 - overlap), r * th * (1 - overlap)) for r in range(rows) for c in range(cols)]
+    return F.array(*(F.struct(F.lit(c).alias("col"), F.lit(r).alias("row"), F.lit(x).alias("x1"), F.lit(y).alias("y1"), F.lit(x + tw).alias("x2"), F.lit(y + th).alias("y2")) for c, r, x, y in tiles))
+
+
 def untile(b: Column, tile: Column, scale: float = 1.0) -> Column:
     """A box of a tile in the coordinates of the whole image."""
     return _of(b["x1"] / scale + tile["x1"], b["y1"] / scale + tile["y1"], b["x2"] / scale + tile["x1"], b["y2"] / scale + tile["y1"])

@@ -151,3 +151,51 @@ def describe(df: DataFrame, value: str, by: str) -> DataFrame:
 def attribute_stability(tracks: DataFrame, *attributes: str) -> DataFrame:
     """Per track: span in frames, points, and how many values each attribute takes."""
     return tracks.groupBy("seq", "track_id").agg((F.max("frame") - F.min("frame") + 1).alias("span"), F.count(F.lit(1)).alias("points"), *(F.countDistinct(a).alias(f"n_{a}") for a in attributes))
+
+
+def temporal_scores(gt: DataFrame, sel: DataFrame, view: str = "seq", radius: float = 20.0) -> DataFrame:
+    """Per view and pooled (null): frames, truth, raw (observed hits), found (observed or recovered hits), covered, hallucinated frames and the longest run of them.
+
+    gt: seq, frame, box (null where there is no ball).  A hit is a centre within radius of the truth's.
+    """
+    t = gt.select(*KEY, *(F.col(c).alias(f"g_{c}") for c in BOX))
+    rows = sel.join(t, list(KEY), "left").withColumn("there", F.col("g_x1").isNotNull()).withColumn("said", F.col("x1").isNotNull())
+    rows = rows.withColumn("hit", F.coalesce(F.col("there") & F.col("said") & (g.dist(g.center(g.box()), g.center(g.box("g_"))) <= radius), F.lit(False)))
+    rows = rows.withColumn("ghost", F.col("said") & ~F.col("there"))
+    run = F.col("frame") - F.row_number().over(Window.partitionBy("seq", "ghost").orderBy("frame"))
+    rows = rows.withColumn("run", F.when(F.col("ghost"), run))
+    runs = rows.where("ghost").groupBy("seq", "run").agg(F.count(F.lit(1)).alias("n")).groupBy("seq").agg(F.max("n").alias("longest"))
+    rows = rows.join(runs, "seq", "left")
+    count = lambda c: F.sum(c.cast("int"))
+    return rows.rollup(view).agg(F.count(F.lit(1)).alias("frames"), count(F.col("there")).alias("truth"), count(F.col("hit") & (F.col("state") == "observed")).alias("raw"), count(F.col("hit")).alias("found"), count(F.col("said")).alias("covered"), count(F.col("ghost")).alias("ghosts"), F.coalesce(F.max("longest"), F.lit(0)).alias("longest_ghost"))
+
+
+def gt_stats(gt: DataFrame, frames: DataFrame, classes: tuple[str, ...] = ("player", "goalkeeper", "referee", "ball")) -> DataFrame:
+    """Per sequence: frames, boxes of each class, frames without any box, frames without a ball."""
+    per = gt.groupBy(*KEY).agg(*(F.sum((F.col("cls") == c).cast("int")).alias(c) for c in classes))
+    rows = frames.select(*KEY).join(per, list(KEY), "left")
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes]
+    return rows.groupBy("seq").agg(F.count(F.lit(1)).alias("frames"), *total, F.sum(F.col(classes[0]).isNull().cast("int")).alias("empty"), F.sum((F.coalesce("ball", F.lit(0)) == 0).cast("int")).alias("without_ball"))
+
+
+def event_census(events: DataFrame, kind: str, props: str, time: str, by: str) -> DataFrame:
+    """Per kind: events, events with a property, distinct property names, and how many are earlier than the one before of the same ``by`` (in order of id)."""
+    before = F.lag(time).over(Window.partitionBy(by).orderBy("id"))
+    rows = events.withColumn("back", F.coalesce(F.col(time) < before, F.lit(False)).cast("int")).withColumn("keys", F.json_object_keys(props))
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("events"), F.sum((F.size("keys") > 0).cast("int")).alias("with_props"), F.size(F.array_distinct(F.flatten(F.collect_set("keys")))).alias("names"), F.sum("back").alias("backward"))
+
+
+def run_audit(boxes: DataFrame, uncertain: str = "U") -> DataFrame:
+    """Per run: images, humans an image, median height, share uncertain, and the domain: broadcast from 16 humans an image with under 7.5 % uncertain."""
+    per = boxes.groupBy("run", "image").agg(F.count(F.lit(1)).alias("n"))
+    n = per.groupBy("run").agg(F.count(F.lit(1)).alias("images"), F.avg("n").alias("humans"))
+    b = boxes.groupBy("run").agg(F.percentile("height", F.lit(0.5)).alias("median_height"), F.avg((F.col("role") == uncertain).cast("int")).alias("uncertain"))
+    return n.join(b, "run").withColumn("domain", F.when((F.col("humans") >= 16) & (F.col("uncertain") < 0.075), "broadcast").otherwise("other"))
+
+
+def prevalence(answers: DataFrame, population: DataFrame, by: str) -> DataFrame:
+    """Per stratum: population, asked, positives, unsure, and bounds of the share if all unsure are no, or yes."""
+    p = population.groupBy(by).agg(F.count(F.lit(1)).alias("population"))
+    a = answers.groupBy(by).agg(F.count(F.lit(1)).alias("asked"), F.sum((F.col("answer") == "yes").cast("int")).alias("positives"), F.sum((F.col("answer") == "unsure").cast("int")).alias("unsure"))
+    j = p.join(a, by, "left").na.fill(0, ["asked", "positives", "unsure"])
+    return j.withColumn("low", _ratio(F.col("positives"), F.col("asked"))).withColumn("high", _ratio(F.col("positives") + F.col("unsure"), F.col("asked")))

@@ -82,7 +82,7 @@ def hamming_pairs(images: DataFrame, max_dist: int = 8, group_col: str | None =
     Two such hashes are equal in at least one of max_dist + 1 bands, so an equi-join on (band, value) finds every pair.  Equal
     hashes are one row in that join; their members pair through the hash itself.
     """
-    bands = max_dist + 1
+    bands = max(2, max_dist + 1)
     edges = [64 * i // bands for i in range(bands + 1)]
     keep = [group_col] if group_col else []
     hashes = images.where("dhash is not null").select("dhash", *keep).distinct()

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import splits, teams
+from ..functions import geometry as g
+from ..operators import evaluate, splits, teams, temporal
 from ..streaming import jobs
 from . import adapters as ad
 from .storage import shared_dir
@@ -93,8 +94,57 @@ def streamed_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("seq", F.unix_timestamp("start").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, picked_frames, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding)}
+def _sel(spark, sf):
+    best = ad.ball_candidates(spark, sf).where("conf >= 0.25").groupBy("seq", "frame").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct("conf", -F.col("x1"), "cand_id")).alias("b"))
+    return ad.frames(spark, sf).join(best, ["seq", "frame"], "left").select("seq", "frame", F.when(F.col("b").isNull(), "unknown").otherwise("observed").alias("state"), "b.*")
 
+
+def temporal_scores(spark: SparkSession, sf: str) -> DataFrame:
+    sel = _sel(spark, sf)
+    truth = sel.where("x1 is not null and frame % 5 <> 0").withColumn("x1", F.col("x1") + F.col("frame") % 41).withColumn("x2", F.col("x2") + F.col("frame") % 41)
+    return evaluate.temporal_scores(truth, sel)
+
+
+def truth_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    d = ad.detections(spark, sf)
+    spans = d.groupBy("seq").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("seq", F.explode(F.sequence("a", "b")).alias("frame"))
+    return evaluate.gt_stats(d, spans)
+
+
+def event_census(spark: SparkSession, sf: str) -> DataFrame:
+    e = ad.table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "props", "ts")
+    return evaluate.event_census(e, "event_type", "props", "ts", "user_id")
+
+
+def run_audit(spark: SparkSession, sf: str) -> DataFrame:
+    d = ad.detections(spark, sf).where("cls <> 'ball'").select(F.concat(F.lit("run"), (F.col("seq") % 4).cast("string")).alias("run"), F.concat_ws("-", "seq", "frame").alias("image"), (F.col("y2") - F.col("y1")).alias("height"), F.when(F.col("det_id") % 21 == 0, "U").otherwise("P").alias("role"))
+    a = evaluate.run_audit(d)
+    return a.select("run", "images", F.round("humans", 6).alias("humans"), "median_height", F.round("uncertain", 6).alias("uncertain"), "domain")
+
+
+def prevalence(spark: SparkSession, sf: str) -> DataFrame:
+    docs = ad.table(spark, sf, "documents").select("doc_id", "lang")
+    answers = docs.where("doc_id % 6 = 0").withColumn("answer", F.when(F.col("doc_id") % 4 == 0, "yes").when(F.col("doc_id") % 18 == 0, "unsure").otherwise("no"))
+    p = evaluate.prevalence(answers, docs, "lang")
+    return p.select("lang", "population", "asked", "positives", "unsure", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def tile_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes with their centre in each tile of a 4 x 3 grid over 660 x 480 whose tiles overlap by a fifth."""
+    tiles = g.tile_grid(660.0, 480.0, 4, 3)
+    c = g.center(g.box())
+    d = ad.detections(spark, sf).withColumn("tile", F.explode(F.filter(tiles, lambda t: c["x"].between(t["x1"], t["x2"]) & c["y"].between(t["y1"], t["y2"]))))
+    return d.groupBy(F.col("tile.col").alias("col"), F.col("tile.row").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min(F.col("x1") - F.col("tile.x1")), 6).alias("least_x"))
+
+
+def ball_ids(spark: SparkSession, sf: str) -> DataFrame:
+    tracks = ad.detections(spark, sf).where("cls = 'ball'").select(F.expr("CAST(seq % 10 AS INT)").alias("seq"), F.col("frame") % 120, F.col("det_id").alias("track_id"), "cls").toDF("seq", "frame", "track_id", "cls")
+    return temporal.keep_ball_id(_sel(spark, sf), tracks).select("seq", "frame", "track_id")
+
+
+QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, picked_frames, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding, temporal_scores, truth_statistics, event_census, run_audit, prevalence, tile_counts, ball_ids)}
+
+_SEL = "sel AS (SELECT f.seq, f.frame, b.x1, b.y1, b.x2, b.y2 FROM frames f LEFT JOIN (SELECT * FROM ball_candidates WHERE conf >= 0.25 QUALIFY row_number() OVER (PARTITION BY seq, frame ORDER BY conf DESC, x1, cand_id DESC) = 1) b USING (seq, frame))"
 _STREAM = "(SELECT CAST(user_id % 10 AS INT) seq, epoch(ts)::BIGINT t, CAST(json_extract_string(props, '$.k') AS DOUBLE) k FROM events)"
 ORACLE_SQL = {
     "content_windows": ad.with_adapters("""WITH v AS (SELECT seq, count(*) n FROM frames GROUP BY 1), w AS (SELECT seq, i AS "window", CAST(floor(f * greatest(n - 20, 0)) AS INT) a, CAST(least(floor(f * greatest(n - 20, 0)) + 20, n) AS INT) - 1 b FROM v, (VALUES (0, CAST(0.1 AS DOUBLE)), (1, CAST(0.15 AS DOUBLE)), (2, CAST(0.5 AS DOUBLE)), (3, CAST(0.9 AS DOUBLE))) t(i, f))
@@ -106,4 +156,17 @@ t AS (SELECT grp, (floor(h/15)+0.5)*15 c FROM v GROUP BY grp, floor(h/15) QUALIF
 SELECT grp, track_id, h FROM v JOIN n USING (grp) WHERE n >= 6 AND NOT EXISTS (SELECT 1 FROM t WHERE t.grp = v.grp AND least(abs(h - t.c), 180 - abs(h - t.c)) <= 22)""", "detections"),
     "streamed_windows": f"SELECT seq, t // 86400 * 86400 AS \"start\", count(*) n, round(avg(k), 6) mean FROM {_STREAM} GROUP BY 1, 2",
     "streamed_sliding": f"SELECT seq, (t // 43200 - o) * 43200 AS \"start\", count(*) n, round(avg(k), 6) mean FROM {_STREAM}, (VALUES (0), (1)) x(o) GROUP BY 1, 2",
+    "temporal_scores": ad.with_adapters(f"""WITH {_SEL}, t AS (SELECT seq, frame, x1 + frame % 41 AS x1, y1, x2 + frame % 41 AS x2, y2 FROM sel WHERE x1 IS NOT NULL AND frame % 5 <> 0),
+r AS (SELECT s.seq, s.frame, t.x1 IS NOT NULL there, s.x1 IS NOT NULL said, coalesce(sqrt(pow((s.x1+s.x2)/2-(t.x1+t.x2)/2, 2)+pow((s.y1+s.y2)/2-(t.y1+t.y2)/2, 2)) <= 20, false) hit FROM sel s LEFT JOIN t USING (seq, frame)),
+n AS (SELECT seq, max(n) longest FROM (SELECT seq, count(*) n FROM (SELECT seq, frame - row_number() OVER (PARTITION BY seq ORDER BY frame) run FROM r WHERE said AND NOT there) GROUP BY seq, run) GROUP BY 1)
+SELECT r.seq, count(*) frames, count(*) FILTER (WHERE there) truth, count(*) FILTER (WHERE hit) raw, count(*) FILTER (WHERE hit) "found", count(*) FILTER (WHERE said) covered, count(*) FILTER (WHERE said AND NOT there) ghosts, coalesce(max(longest), 0) longest_ghost FROM r LEFT JOIN n ON n.seq = r.seq GROUP BY ROLLUP (r.seq)""", "ball_candidates", "frames"),
+    "truth_statistics": ad.with_adapters("""WITH s AS (SELECT seq, CAST(unnest(range(a, b + 1)) AS INT) frame FROM (SELECT seq, min(frame) a, max(frame) b FROM detections GROUP BY 1)), p AS (SELECT seq, frame, count(*) FILTER (WHERE cls = 'player') player, count(*) FILTER (WHERE cls = 'goalkeeper') goalkeeper, count(*) FILTER (WHERE cls = 'referee') referee, count(*) FILTER (WHERE cls = 'ball') ball FROM detections GROUP BY 1, 2)
+SELECT s.seq, count(*) frames, coalesce(sum(player), 0) player, coalesce(sum(goalkeeper), 0) goalkeeper, coalesce(sum(referee), 0) referee, coalesce(sum(ball), 0) ball, count(*) FILTER (WHERE player IS NULL) empty, count(*) FILTER (WHERE coalesce(ball, 0) = 0) without_ball FROM s LEFT JOIN p USING (seq, frame) GROUP BY 1""", "detections"),
+    "event_census": """SELECT event_type, count(*) AS events, count(*) FILTER (WHERE len(json_keys(props)) > 0) with_props, len(list_distinct(flatten(list(json_keys(props))))) AS "names", count(*) FILTER (WHERE ts < p) backward FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) p FROM events) GROUP BY 1""",
+    "run_audit": ad.with_adapters("""WITH b AS (SELECT 'run' || CAST(seq % 4 AS VARCHAR) run, seq, frame, y2 - y1 h, det_id % 21 = 0 u FROM detections WHERE cls <> 'ball'), n AS (SELECT run, count(*) images, avg(n) humans FROM (SELECT run, seq, frame, count(*) n FROM b GROUP BY 1, 2, 3) GROUP BY 1), m AS (SELECT run, quantile_cont(h, 0.5) median_height, avg(CAST(u AS INT)) uncertain FROM b GROUP BY 1)
+SELECT run, images, round(humans, 6) humans, median_height, round(uncertain, 6) uncertain, CASE WHEN humans >= 16 AND uncertain < 0.075 THEN 'broadcast' ELSE 'other' END AS "domain" FROM n JOIN m USING (run)""", "detections"),
+    "prevalence": """SELECT lang, population, asked, positives, unsure, round(CASE WHEN asked > 0 THEN positives / CAST(asked AS DOUBLE) END, 6) low, round(CASE WHEN asked > 0 THEN (positives + unsure) / CAST(asked AS DOUBLE) END, 6) high FROM (SELECT lang, count(*) population, count(*) FILTER (WHERE doc_id % 6 = 0) asked, count(*) FILTER (WHERE doc_id % 12 = 0) positives, count(*) FILTER (WHERE doc_id % 18 = 0 AND doc_id % 4 <> 0) unsure FROM documents GROUP BY 1)""",
+    "tile_counts": ad.with_adapters("""WITH t AS (SELECT c, r, 660 / CAST(3.4 AS DOUBLE) w, 480 / CAST(2.6 AS DOUBLE) h FROM range(4) a(c), range(3) b(r)), x AS (SELECT CAST(c AS INT) c, CAST(r AS INT) r, c * w * CAST(0.8 AS DOUBLE) x1, r * h * CAST(0.8 AS DOUBLE) y1, c * w * CAST(0.8 AS DOUBLE) + w x2, r * h * CAST(0.8 AS DOUBLE) + h y2 FROM t)
+SELECT c AS "col", r AS "row", count(*) n, round(min(d.x1 - x.x1), 6) least_x FROM detections d JOIN x ON (d.x1 + d.x2) / 2 BETWEEN x.x1 AND x.x2 AND (d.y1 + d.y2) / 2 BETWEEN x.y1 AND x.y2 GROUP BY 1, 2""", "detections"),
+    "ball_ids": ad.with_adapters(f"""WITH {_SEL}, t AS (SELECT CAST(seq % 10 AS INT) seq, frame % 120 AS frame, min(det_id) had FROM detections WHERE cls = 'ball' GROUP BY 1, 2) SELECT s.seq, s.frame, coalesce(had, 1) track_id FROM sel s LEFT JOIN t USING (seq, frame) WHERE x1 IS NOT NULL""", "ball_candidates", "frames", "detections"),
 }
