@@ -34,7 +34,7 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Words and documents after which a shard is closed; documents of a block; blocks scored before the first threshold.
 SHARD_WORDS, SHARD_DOCUMENTS, BLOCK, FIRST = 4_000_000, 10_000, 32, 6
 #: Query terms that are broadcast at once.
-QUERY_TERMS = 1_500_000
+QUERY_TERMS = 600_000
 
 _SHARD = "part long, shard int, documents long, words long, ids binary, null_ids binary, sizes binary, terms binary, offsets binary, docs binary, tfs binary"
 
@@ -181,12 +181,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     found = None
     for i in range(blocks):
         rows = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("id", "version"), F.lit(blocks)) == i)
-        table = rows.toPandas()
-        order = np.lexsort((table["term"].to_numpy(np.int64).view(np.uint64), table["version"], table["id"]))
-        table = table.iloc[order]
-        key = np.stack([table["id"].to_numpy(np.int64), table["version"].to_numpy(np.int64)], 1)
-        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.zeros(0, np.int64)
-        shared = spark.sparkContext.broadcast((key[cuts, 0].tolist(), key[cuts, 1].tolist(), np.r_[cuts, len(key)], table["term"].to_numpy(np.int64).view(np.uint64), table["idf"].to_numpy(np.float64)))
+        table = rows.toArrow()
+        ids, versions, term, idf = (table.column(c).to_numpy() for c in ("id", "version", "term", "idf"))
+        order = np.lexsort((term.view(np.uint64), versions, ids))
+        ids, versions, term, idf = ids[order], versions[order], term[order].view(np.uint64), idf[order]
+        cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])]) if len(ids) else np.zeros(0, np.int64)
+        shared = spark.sparkContext.broadcast((ids[cuts].tolist(), versions[cuts].tolist(), np.r_[cuts, len(ids)], term, idf))
         some = index.mapInArrow(_search(shared, mean, k), "query_id long, version long, doc_id long, score double")
         found = some if found is None else found.union(some)
     best = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

@@ -229,7 +229,7 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     out = pages.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("drop"))
     for k in range(steps):  # each marks the page's subtrees that are among some of the templates
         some = found if steps == 1 else found.where(F.pmod(F.xxhash64("subtree"), F.lit(steps)) == k)
-        shared = spark.sparkContext.broadcast(np.sort(some.toPandas()["subtree"].to_numpy(np.int64)))
+        shared = spark.sparkContext.broadcast(np.sort(some.toArrow().column("subtree").to_numpy()))
         if k < steps - 1:
             out = out.mapInArrow(_marked(shared), out.schema)
     found.unpersist()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, decontamination, html_text, nbest, ngram_join, revisits, substring_dedup, token_count, token_files, toxicity
+from . import bm25, decontamination, html_text, nbest, ngram_join, oracles, revisits, substring_dedup, token_count, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them and ends in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op5_revisits": revisits.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op5_revisits": revisits.REPORT_SQL, "op6_ngram_join": oracles.NGRAM_JOIN, "op8_substring_dedup": oracles.SUBSTRING_DEDUP}
