@@ -11,7 +11,7 @@ a rule expands to) and ``symbols`` (uint16).  ``expand`` decodes one document or
 without touching the rest.
 
 Encoding equals the tokenizers library's on the whole text: its pattern never joins across white space, so
-the pieces between ASCII white space are encoded by it one by one and remembered within a task.
+what stands between ASCII white space is encoded by it and remembered by the worker.
 
 Cases: a null or empty text is the end id alone; rows with equal ids follow each other in an order that depends on their texts;
 null ids come first; an empty table gives no shard.
@@ -23,22 +23,25 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir
+from ..plans.storage import cut, shared_dir
 from .jobs import shuffle_width
 from .text import utf8
 
 #: Ids of the vocabulary, and the id that ends a document.
 VOCABULARY, END = 49408, 1
 #: Ids after which a shard is closed; rounds, most new rules of a round, and occurrences that a pair needs.
-SHARD_IDS, ROUNDS, RULES_OF_ROUND, LEAST = 2_000_000, 8, 2000, 8
-#: Pieces that a task remembers, and their longest.
-REMEMBER, LONGEST = 500_000, 64
+SHARD_IDS, ROUNDS, RULES_OF_ROUND, LEAST = 2_000_000, 5, 3200, 8
+#: Words that a worker remembers, their longest, and texts encoded together.
+REMEMBER, LONGEST, TEXTS = 700_000, 64, 200
 
 _FILE = "part long, shard int, doc_ids binary, null_ids binary, counts binary, offsets binary, rules binary, lengths binary, symbols binary"
 
@@ -49,25 +52,80 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """piece -> its ids as uint16."""
+#: A word of letters and the marks after it: to the pattern, two separate pieces.
+_PLAIN = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']*)")
+
+
+class Encoder:
+    """Ids (uint16 as bytes) of what stands between white space, remembered by the worker.
+
+    Upper case makes no difference to this tokenizer.  A new word of letters is looked up without the marks after it, and
+    words that are new even so are encoded by the library many at a time, a space between them.
+    """
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_path())
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self.library.encode(piece.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def document(self, text: bytes) -> bytes:
-        return b"".join([*map(self.__getitem__, text.split()), np.array([END], "<u2").tobytes()])
+        self.ids: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for group, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            of, raw = np.array(e.word_ids), np.array(e.ids, "<u2").tobytes()
+            edge = 2 * np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])  # in bytes
+            if len(edge) - 1 == len(group):
+                for w, a, b in zip(group, edge.tolist(), edge[1:].tolist()):
+                    self.letters[w] = raw[a:b]
+            else:
+                for w in group:
+                    self.letters[w] = self._alone(w)
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain, new = [], set()
+        for w in words:
+            s = w.decode()
+            m = _PLAIN.fullmatch(s) if b"<|" not in w and len(w) <= LONGEST and is_normalized("NFC", s) else None
+            if m is None:
+                self.ids[w] = self._alone(s)
+                continue
+            a, b = m.groups()
+            plain.append((w, a, b))
+            if a not in self.letters:
+                new.add(a)
+            if b not in self.marks:
+                self.marks[b] = self._alone(b)
+        self._learn_letters(sorted(new))
+        for w, a, b in plain:
+            self.ids[w] = self.letters[a] + self.marks[b]
+
+    def documents(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, and the end id."""
+        for known in (self.ids, self.letters, self.marks):
+            if len(known) > REMEMBER:
+                known.clear()
+        self.marks[""] = b""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*split).difference(self.ids)
+        self._learn(new)
+        end = np.array([END], "<u2").tobytes()
+        out = [b"".join([*map(self.ids.__getitem__, words), end]) for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.ids[w]
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str | None) -> Encoder:
+    """The worker's encoder: its memory lasts over tasks."""
+    return Encoder(path)
 
 
 def repair(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +188,7 @@ def write(docs: DataFrame, path: str, model: str | None = None) -> None:
     """Writes the ids of docs, in ascending doc_id order, as a folder of shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, held, ids, texts = Encoder(model), 0, 0, [], []
+        encoder, number, held, ids, texts = encoder_of(model), 0, 0, [], []
 
         def close(part: int) -> pa.RecordBatch:
             counts = np.array([len(t) // 2 for t in texts], "<u4")
@@ -141,15 +199,17 @@ def write(docs: DataFrame, path: str, model: str | None = None) -> None:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names)
 
         part = 0
-        for b in batches:
-            part = b.column("part")[0].as_py() if b.num_rows else part
-            for i, text in zip(b.column("id").to_pylist(), utf8(b.column("text"))):
-                ids.append(i)
-                texts.append(encoder.document(text))
-                held += len(texts[-1]) // 2
-                if held >= SHARD_IDS:
-                    yield close(part)
-                    number, held, ids, texts = number + 1, 0, [], []
+        for whole in batches:
+            part = whole.column("part")[0].as_py() if whole.num_rows else part
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                for i, text in zip(b.column("id").to_pylist(), encoder.documents(utf8(b.column("text")))):
+                    ids.append(i)
+                    texts.append(text)
+                    held += len(text) // 2
+                    if held >= SHARD_IDS:
+                        yield close(part)
+                        number, held, ids, texts = number + 1, 0, [], []
         if texts:
             yield close(part)
 
@@ -186,7 +246,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    found = read_shards(spark, path).mapInArrow(run, "part long, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    # a table of a row for each document, as three readers follow
+    found = cut(read_shards(spark, path).mapInArrow(run, "part long, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"))
     shards = found.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     # ids before each part (a row for each partition of the write), then before each shard within it
     parts = shards.groupBy("part").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
