@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, Pieces, chunks, decode, load
+from .pieces import SPACE, Pieces, decode, load
 from .text import utf8
 
 #: Segmentations of a text.
 N = 3
-#: Chunks a task remembers, and the longest that it does.
+#: Chunks, and beginnings of chunks, that a task remembers; the longest chunk that it does.
 REMEMBER, LONGEST = 250_000, 64
 
+_LOW = float("-inf")
+
 
 def edges(chunk: str, pieces: Pieces) -> list[list[tuple[int, float, tuple[int, ...]]]]:
     """For each end position, (start, score, ids) of the pieces that end there, earliest start first."""
@@ -50,25 +52,62 @@ def edges(chunk: str, pieces: Pieces) -> list[list[tuple[int, float, tuple[int,
     return into
 
 
-def forward(into: list) -> tuple[list[float], list[int], float]:
-    """Best score of each node, the edge it comes by, and what the end's second best lacks (infinite if there is none)."""
-    low = float("-inf")
-    best, second, by = [0.0], [low], [-1]
-    for e in into[1:]:
-        one = two = low
-        at = -1
-        for k, (a, s, _) in enumerate(e):
-            x = best[a] + s
-            if x > one:
-                one, two, at = x, one, k
+class Forward(dict):
+    """Forward Viterbi by beginnings: text -> (best score, second best, start of the best's last piece).
+
+    The state of a text needs only those of its own beginnings, which words share.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.unknown = pieces.unknown
+        #: Endings of pieces -> (score, id as bytes) of those that are pieces: a search for the last piece stops at what ends none.
+        self.ending: dict[str, tuple[float, bytes] | None] = {}
+        for p, (score, i) in pieces.normal.items():
+            self.ending[p] = (score, i.to_bytes(4, "little"))
+            for a in range(1, len(p)):
+                self.ending.setdefault(p[a:], None)
+        self[""] = (0.0, _LOW, 0)
+
+    def at(self, text: str) -> tuple[float, float, int]:
+        if (found := self.get(text)) is not None:
+            return found
+        k = len(text) - 1
+        while text[:k] not in self:
+            k -= 1
+        for n in range(k + 1, len(text) + 1):
+            found = self._extend(text[:n], n)
+        return found
+
+    def _extend(self, text: str, n: int) -> tuple[float, float, int]:
+        ending = self.ending
+        one = two = _LOW
+        start = n
+        for a in range(n - 1, -1, -1):  # longer and longer last pieces: of equal scores the longest stays
+            p = ending.get(text[a:], 0)
+            if p:
+                s = p[0]
+            elif a == n - 1:  # no piece of the last character alone
+                s = self.unknown
+            elif p is None:
+                continue
+            else:
+                break
+            best, second, _ = self[text[:a]]
+            x = best + s
+            if x >= one:
+                two = one if one > two else two
+                one, start = x, a
             elif x > two:
                 two = x
-            if second[a] + s > two:
-                two = second[a] + s
-        best.append(one)
-        second.append(two)
-        by.append(at)
-    return best, by, best[-1] - second[-1]
+            if second + s > two:
+                two = second + s
+        found = self[text] = (one, two, start)
+        return found
+
+    def trim(self) -> None:
+        if len(self) > REMEMBER:
+            self.clear()
+            self[""] = (0.0, _LOW, 0)
 
 
 def a_star(into: list, best: list[float], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -86,70 +125,86 @@ def a_star(into: list, best: list[float], n: int) -> list[tuple[float, tuple[int
     return out
 
 
-class Encoder:
-    """Chunk results of one task."""
+class Encoder(dict):
+    """Text between spaces -> (score, what the second best lacks, ids of the best as bytes) of its chunk, remembered within a task."""
 
     def __init__(self, path: str | None, n: int):
         self.pieces, self.n = load(path), n
-        self.first: dict[str, tuple] = {}
+        self.forward = Forward(self.pieces)
         self.more: dict[str, list] = {}
 
-    def chunk(self, c: str) -> tuple[float, float, tuple[int, ...]]:
-        """(score, what the second best lacks, ids of the best)."""
-        if (found := self.first.get(c)) is not None:
-            return found
-        into = edges(c, self.pieces)
-        best, by, lacks = forward(into)
-        ids: list[int] = []
-        at = len(c)
-        while at:
-            a, _, piece = into[at][by[at]]
-            ids[:0] = piece
-            at = a
-        out = (best[-1], lacks, tuple(ids))
-        if len(c) <= LONGEST:
-            if len(self.first) >= REMEMBER:
-                self.first.clear()
-            self.first[c] = out
+    def __missing__(self, word: str) -> tuple[float, float, bytes]:
+        chunk = SPACE + word
+        best, second, at = self.forward.at(chunk)
+        end, ids = len(chunk), []
+        while end:
+            p = self.forward.ending.get(chunk[at:end])
+            ids.append(p[1] if p else np.array(self.pieces.ids_of_unknown(chunk[at]), "<u4").tobytes())
+            end = at
+            at = self.forward[chunk[:end]][2]
+        ids.reverse()
+        out = (best, best - second, b"".join(ids))
+        self.forward.trim()
+        if len(chunk) <= LONGEST:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = out
+        else:
+            self.forward.clear()  # a long chunk's beginnings are of no further use
+            self.forward[""] = (0.0, _LOW, 0)
         return out
 
-    def deviations(self, c: str) -> list[tuple[float, tuple[int, ...]]]:
+    def deviations(self, word: str) -> list[tuple[float, bytes]]:
         """(what it lacks, ids) of the chunk's second to n-th best."""
-        if (found := self.more.get(c)) is not None:
+        if (found := self.more.get(word)) is not None:
             return found
-        into = edges(c, self.pieces)
-        best, _, _ = forward(into)
-        out = [(best[-1] - s, ids) for s, ids in a_star(into, best, self.n)[1:]]
-        if len(c) <= LONGEST:
+        chunk = SPACE + word
+        into = edges(chunk, self.pieces)
+        best = [0.0]
+        for e in into[1:]:
+            best.append(max(best[a] + s for a, s, _ in e))
+        out = [(best[-1] - s, np.array(ids, "<u4").tobytes()) for s, ids in a_star(into, best, self.n)[1:]]
+        if len(chunk) <= LONGEST:
             if len(self.more) >= REMEMBER // 10:
                 self.more.clear()
-            self.more[c] = out
+            self.more[word] = out
         return out
 
-    def encode(self, text: str) -> list[tuple[float, list[int]]]:
-        """The n best (score, ids) of a text."""
-        parts = chunks(text)
-        found = [self.chunk(c) for c in parts]
-        total = sum(x[0] for x in found)
+    def encode_bytes(self, text: str) -> list[tuple[float, bytes]]:
+        """The n best (score, ids as little-endian unsigned 32-bit numbers) of a text."""
+        if not text:
+            return [(0.0, b"")]
+        words = text.replace(SPACE, " ").split(" ")
+        found = list(map(self.__getitem__, words))
+        total = sum([x[0] for x in found])
         base = [x[2] for x in found]
-        flat = [i for ids in base for i in ids]
-        out = [(total, flat)]
-        if self.n > 1 and parts:
-            near = heapq.nsmallest(self.n - 1, ((x[1], p) for p, x in enumerate(found) if x[1] != float("inf")))
-            single = sorted((lack, p, r, ids) for _, p in near for r, (lack, ids) in enumerate(self.deviations(parts[p]), 1))[: self.n - 1]
-            sets = []
-            for k in range(1, len(single) + 1):
-                for some in combinations(single, k):
-                    if len({x[1] for x in some}) == k:
-                        order = sorted(((x[1], x[2]) for x in some), reverse=True)
-                        sets.append((sum(x[0] for x in some), order, some))
-            for lack, _, some in sorted(sets, key=lambda x: x[:2])[: self.n - 1]:
-                ids = list(base)
-                for _, p, _, other in some:
-                    ids[p] = other
-                out.append((total - lack, [i for x in ids for i in x]))
+        out = [(total, b"".join(base))]
+        lacks, single = [x[1] for x in found], []
+        for _ in range(min(self.n - 1, len(words))):
+            least = min(lacks)
+            if least == float("inf"):
+                break
+            p = lacks.index(least)
+            lacks[p] = float("inf")
+            single += [(lack, p, r, ids) for r, (lack, ids) in enumerate(self.deviations(words[p]), 1)]
+        single = sorted(single)[: self.n - 1]
+        sets = []
+        for k in range(1, len(single) + 1):
+            for some in combinations(single, k):
+                if len({x[1] for x in some}) == k:
+                    order = sorted(((x[1], x[2]) for x in some), reverse=True)
+                    sets.append((sum(x[0] for x in some), order, some))
+        for lack, _, some in sorted(sets, key=lambda x: x[:2])[: self.n - 1]:
+            ids = list(base)
+            for _, p, _, other in some:
+                ids[p] = other
+            out.append((total - lack, b"".join(ids)))
         return out
 
+    def encode(self, text: str) -> list[tuple[float, list[int]]]:
+        """The n best (score, ids) of a text."""
+        return [(s, np.frombuffer(ids, "<u4").tolist()) for s, ids in self.encode_bytes(text)]
+
 
 def encoded(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
     """Each row of docs as the struct ``row`` with nbest: array of (score, ids), best first."""
@@ -178,12 +233,12 @@ def digest(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
             count, score, scores, crc, same = [], [], [], [], []
             for raw in utf8(b.column("text")):
                 text = raw.decode()
-                best = encoder.encode(text)
-                count.append(len(best[0][1]))
+                best = encoder.encode_bytes(text)
+                count.append(len(best[0][1]) // 4)
                 score.append(best[0][0])
                 scores.append([s for s, _ in best])
-                crc.append([zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in best])
-                same.append(decode(best[0][1], encoder.pieces) == text.replace(SPACE, " "))
+                crc.append([zlib.crc32(ids) for _, ids in best])
+                same.append(decode(np.frombuffer(best[0][1], "<u4").tolist(), encoder.pieces) == text.replace(SPACE, " "))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(score, pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crc, pa.list_(pa.int64())), pa.array(same, pa.bool_())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

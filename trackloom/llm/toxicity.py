@@ -3,7 +3,7 @@
 An example is a labelled document as a TF-IDF vector; a document's score comes from its ``NEAREST`` examples by exact
 cosine, found with an inverted index whose postings are cut into blocks of examples.  Each feature has the largest
 weight it takes in each block, so the sum of those bounds every cosine in a block; blocks are read from the highest
-bound down until the next bound is below the last neighbour.  Votes are weighted by distance and by what the example's
+bound down, and those whose bound is below the last neighbour are left out.  Votes are weighted by distance and by what the example's
 class stands for in the labelled rows, and a logistic curve fitted on leave-one-out votes turns them into probabilities.
 
 Features are lower-cased words and their first 4 and 5 letters, kept where the labelled sample shows an association with
@@ -35,10 +35,12 @@ from .text import utf8
 PER_CLASS = 1500
 #: Features that are kept, and what they need: documents of the sample, chi-squared.
 FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 1000, 3, 20.0
-#: Neighbours that vote, and examples in a block of the index.
-NEAREST, BLOCK = 15, 64
+#: Neighbours that vote, examples in a block of the index, and blocks read before the first threshold.
+NEAREST, BLOCK, FIRST = 15, 64, 3
 #: Weight of the featureless share among the votes; distance at which a vote halves twice.
 PRIOR_VOTES, NEAR = 1.0, 0.05
+#: Words whose features a model remembers.
+REMEMBER = 150_000
 #: Rows with crc32(doc_id as text) modulo FOLDS = 0 are held out.
 FOLDS = 5
 
@@ -49,17 +51,32 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def features(text: str, known=None) -> Counter:
-    """How often each feature (of ``known``, or any) occurs."""
-    count = Counter(_LETTERS.findall(text.lower()))
+def _features_of(word: str) -> tuple[str, ...]:
+    return (word, "4:" + word[:4], "5:" + word[:5]) if len(word) > 5 else (word, "4:" + word[:4]) if len(word) > 4 else (word,)
+
+
+def features(text: str) -> Counter:
+    """How often each feature occurs."""
     out: Counter = Counter()
-    for w, n in count.items():
-        for f in (w, "4:" + w[:4], "5:" + w[:5]) if len(w) > 5 else (w, "4:" + w[:4]) if len(w) > 4 else (w,):
-            if known is None or f in known:
-                out[f] += n
+    for w, n in Counter(_LETTERS.findall(text.lower())).items():
+        for f in _features_of(w):
+            out[f] += n
     return out
 
 
+class _Known(dict):
+    """word -> its features that the model knows."""
+
+    def __init__(self, known):
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= REMEMBER:
+            self.clear()
+        found = self[word] = tuple(f for f in _features_of(word) if f in self.known)
+        return found
+
+
 class Model:
     """The index over examples, and the curve from votes to scores."""
 
@@ -71,7 +88,7 @@ class Model:
         vectors = sorted((x for x in vectors if x[2]), key=lambda x: (max(x[2].items(), key=lambda f: (f[1], f[0]))[0], x[0]))
         self.ids = np.array([x[0] for x in vectors], np.int64)
         self.labels = np.array([x[1] for x in vectors], np.int64)
-        blocks = -(-len(vectors) // BLOCK)
+        self.blocks = -(-len(vectors) // BLOCK)
         postings = defaultdict(list)
         for k, (_, _, v) in enumerate(vectors):
             for f, w in v.items():
@@ -79,10 +96,10 @@ class Model:
         self.postings, self.bounds = {}, {}
         for f, p in postings.items():
             at, w = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            cut = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            top = np.zeros(blocks)
+            top = np.zeros(self.blocks)
             np.maximum.at(top, at // BLOCK, w)
-            self.postings[f], self.bounds[f] = (at % BLOCK, w, cut), top
+            self.postings[f], self.bounds[f] = (at, at // BLOCK, w), top
+        self.known, self.seen = _Known(self.idf), {}
         self.curve = (1.0, 0.0)
         votes = [self.votes(v, skip=k) for k, (_, _, v) in enumerate(vectors)]
         self.curve = self._fit([x[0] for x in votes], self.labels, np.array(weight)[self.labels] if len(vectors) else [])
@@ -98,17 +115,31 @@ class Model:
         if not q:
             return []
         bound = sum(w * self.bounds[f] for f, w in q)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-9 < best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
+        best = np.argsort(-bound, kind="stable")
+        read = np.zeros(self.blocks, bool)
+        read[best[:FIRST]] = True  # the blocks of highest bound, then those that can still hold a neighbour
+        score = np.zeros(len(self.ids))
+        for step in range(2):
             for f, w in q:
-                at, x, cut = self.postings[f]
-                score[at[cut[b] : cut[b + 1]]] += w * x[cut[b] : cut[b + 1]]
-            best += [(round(score[j], 12), b * BLOCK + j) for j in np.flatnonzero(score > 0).tolist() if b * BLOCK + j != skip]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+                at, block, x = self.postings[f]
+                mine = read[block]
+                score[at[mine]] += w * x[mine]
+            if step == 0:
+                if skip >= 0:
+                    score[skip] = 0.0
+                least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+                read = bound + 1e-9 >= max(least, 1e-12)
+                read[best[:FIRST]] = False
+                if not read.any():
+                    break
+        if skip >= 0:
+            score[skip] = 0.0
+        score = np.round(score, 12)
+        hit = np.flatnonzero(score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        order = hit[np.lexsort((hit, -score[hit]))][:k]
+        return list(zip(score[order].tolist(), order.tolist()))
 
     def votes(self, v: dict[str, float], skip: int = -1) -> tuple[float, list[int]]:
         """Share of toxic votes, and the voters' places."""
@@ -141,12 +172,19 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[int], list[str]]:
         """Probability of the toxic label, ids of the examples that voted, and the document's heaviest features."""
-        v = self.vector(features(text, self.idf))
-        if not v:
+        counts = Counter([f for w in _LETTERS.findall(text.lower()) for f in self.known[w]])
+        if not counts:
             return self.share, [], []
-        share, near = self.votes(v)
-        z = self.curve[0] * float(self._logit(np.array(share))) + self.curve[1]
-        return 1 / (1 + math.exp(-z)), self.ids[near].tolist(), [f for f, _ in sorted(v.items(), key=lambda x: (-x[1], x[0]))[:5]]
+        key = tuple(sorted(counts.items()))
+        if (found := self.seen.get(key)) is None:  # texts of few known features are often alike
+            v = self.vector(counts)
+            share, near = self.votes(v)
+            z = self.curve[0] * float(self._logit(np.array(share))) + self.curve[1]
+            found = 1 / (1 + math.exp(-z)), self.ids[near].tolist(), [f for f, _ in sorted(v.items(), key=lambda x: (-x[1], x[0]))[:5]]
+            if len(self.seen) >= REMEMBER // 10:
+                self.seen.clear()
+            self.seen[key] = found
+        return found
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
