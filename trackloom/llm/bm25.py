@@ -4,10 +4,10 @@ Documents are indexed in shards of a bounded number of words: sorted term hashes
 statistics (rows, words, and the document frequencies of query terms) are added up by Spark, so every shard scores alike
 and the k best of all shards' k best are the k best of all.
 
-In a shard, postings are cut into blocks of ``BLOCK`` neighbouring documents.  For a query, the sum of its terms' largest
-impacts in a block bounds every score in it.  The blocks of highest bound are scored first; then only those whose bound
-reaches the k-th score so far.  Scores add a query's terms in the order of their hashes, so equal documents get equal scores
-wherever they lie.
+In a shard, documents form blocks of ``BLOCK`` neighbours.  A query's rare terms are scored from their postings; for its common
+ones, which hold most postings, the largest impact in a document's block bounds what they can add.  The documents of
+highest bound are scored in full first; then only those whose bound reaches the k-th score so far.  Scores are rounded to nine
+places, so equal documents tie wherever they lie.
 
 The index is a table in the shared folder, read once for each block of queries; a block holds at most
 ``QUERY_TERMS`` terms and is broadcast.  Queries are whole texts; each distinct term counts once.
@@ -31,8 +31,8 @@ from .text import WordHashes, alnum_words, utf8
 
 #: BM25's constants, and results of a query.
 K1, B, TOP = 1.2, 0.75, 10
-#: Words and documents after which a shard is closed; documents of a block; blocks scored before the first threshold.
-SHARD_WORDS, SHARD_DOCUMENTS, BLOCK, FIRST = 4_000_000, 10_000, 32, 6
+#: Words and documents after which a shard is closed; documents of a block; documents scored before the first threshold; see Shard.
+SHARD_WORDS, SHARD_DOCUMENTS, BLOCK, FIRST, COMMON = 4_000_000, 10_000, 8, 64, 8
 #: Query terms that are broadcast at once.
 QUERY_TERMS = 600_000
 
@@ -100,47 +100,59 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Shard:
+    """A shard in memory: postings of rare terms as lists; those of common ones (in 1 of ``COMMON`` documents or more) also as rows by document, with block maxima.
+
+    There are at most COMMON times as many common terms as a document has distinct terms on average.
+    """
+
     def __init__(self, row: dict, mean: float):
         get = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, self.null, self.terms = get("ids", "<i8"), get("null_ids", np.uint8), get("terms", np.uint64)
-        offsets, self.docs, tf = get("offsets", "<u4").astype(np.int64), get("docs", "<u2").astype(np.int64), get("tfs", "<u4").astype(np.float64)
+        self.offsets, self.docs, tf = get("offsets", "<u4").astype(np.int64), get("docs", "<u2").astype(np.int64), get("tfs", "<u4").astype(np.float64)
         size = get("sizes", "<u4").astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.docs] / mean)) if len(tf) else tf
-        self.blocks = len(self.ids) // BLOCK + 1
-        block = self.docs // BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(offsets))
-        new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])]) if len(block) else np.zeros(0, np.int64)
-        self.start, self.stop, self.block = new, np.r_[new[1:], len(block)] if len(new) else new, block[new]
-        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.of_term = np.searchsorted(new, offsets)
+        n = len(self.ids)
+        self.blocks = n // BLOCK + 1
+        self.block = np.arange(n) // BLOCK
+        df = np.diff(self.offsets)
+        common = np.flatnonzero(df * COMMON >= n)
+        self.row = np.full(len(self.terms), -1)  # a common term's column in by_document
+        self.row[common] = np.arange(len(common))
+        self.by_document = np.zeros((self.blocks * BLOCK, len(common)))
+        at, of = _ranges(self.offsets[common], self.offsets[common + 1])
+        self.by_document[self.docs[at], of] = self.impact[at]
+        self.most = self.by_document.reshape(self.blocks, BLOCK, len(common)).max(1)
 
     def find(self, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[list[tuple[int, float]], int]:
-        """The k best (place, score) for terms at these places, and how many blocks were scored."""
-        entry, of = _ranges(self.of_term[at], self.of_term[at + 1])
-        block, weight = self.block[entry], idf[of]
-        bound = np.bincount(block, self.most[entry] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        left = np.zeros(self.blocks, bool)
-        left[order[:FIRST]] = True
-        scores = np.zeros(len(self.ids))
-        done = 0
-        for step in range(2):
-            mine = left[block]
-            post, which = _ranges(self.start[entry[mine]], self.stop[entry[mine]])
-            scores += np.bincount(self.docs[post], self.impact[post] * weight[mine][which], len(self.ids))
-            done += int(left.sum())
-            if step == 0:
-                least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-                rest = bound + 1e-9 >= max(least, 1e-12)
-                rest[order[:FIRST]] = False
-                left = rest
-                if not left.any():
-                    break
-        hit = np.flatnonzero(scores > 0)
-        if len(hit) > k:
-            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
-        best = sorted(hit.tolist(), key=lambda d: (-scores[d], bool(self.null[d]), int(self.ids[d])))[:k]
-        return [(d, float(scores[d])) for d in best], done
+        """The k best (place, score) for terms at these places, and how many documents were scored in full."""
+        row = self.row[at]
+        rare = row < 0
+        post, of = _ranges(self.offsets[at[rare]], self.offsets[at[rare] + 1])
+        score = np.bincount(self.docs[post], self.impact[post] * idf[rare][of], len(self.ids)).astype(np.float64)
+        weight = np.zeros(self.by_document.shape[1])
+        weight[row[~rare]] = idf[~rare]
+        bound = score + (self.most @ weight)[self.block] + 1e-9
+
+        def settle(docs: np.ndarray) -> None:
+            score[docs] += self.by_document[docs] @ weight
+
+        # documents of highest bound first; then those whose bound reaches the k-th score so far
+        first = np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else np.arange(len(bound))
+        settle(first)
+        least = np.partition(score[first], -k)[-k] if len(first) > k else 0.0
+        left = bound >= max(least, 2e-9)
+        left[first] = False
+        rest = np.flatnonzero(left)
+        settle(rest)
+        docs = np.concatenate([first, rest])
+        final = np.round(score[docs], 9)
+        keep = final > 0
+        docs, final = docs[keep], final[keep]
+        if len(docs) > k:
+            keep = final >= np.partition(final, -k)[-k]
+            docs, final = docs[keep], final[keep]
+        order = np.lexsort((self.ids[docs], self.null[docs], -final))[:k]
+        return list(zip(docs[order].tolist(), final[order].tolist())), len(first) + len(rest)
 
 
 def _search(queries, mean: float, k: int):
