@@ -20,6 +20,7 @@ null ids come first; an empty table gives no shard.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ from .text import utf8
 VOCABULARY, END = 49408, 1
 #: Ids after which a shard is closed; rounds, most new rules of a round, and occurrences that a pair needs.
 SHARD_IDS, ROUNDS, RULES_OF_ROUND, LEAST = 2_000_000, 5, 3200, 8
-#: Words that a worker remembers, their longest, and texts encoded together.
-REMEMBER, LONGEST, TEXTS = 700_000, 64, 200
+#: Words of a generation (a worker remembers two), their longest, and texts encoded together.
+REMEMBER, LONGEST, TEXTS = 500_000, 64, 200
 
 _FILE = "part long, shard int, doc_ids binary, null_ids binary, counts binary, offsets binary, rules binary, lengths binary, symbols binary"
 
@@ -52,7 +53,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word of letters and the marks after it: to the pattern, two separate pieces.
+#: A word of letters and the marks after it: to the pattern, two separate pieces.  The first form is for ASCII alone.
+_ASCII = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
 _PLAIN = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']*)")
 
 
@@ -69,15 +71,16 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path or default_path())
         self.ids: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.letters: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.before: tuple[dict, dict] = {}, {}  # ids and letters of the generation before
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn_letters(self, words: list[str]) -> None:
+    def _learn_letters(self, words: list[bytes]) -> None:
         groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for group, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.library.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             of, raw = np.array(e.word_ids), np.array(e.ids, "<u2").tobytes()
             edge = 2 * np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])  # in bytes
             if len(edge) - 1 == len(group):
@@ -85,32 +88,44 @@ class Encoder:
                     self.letters[w] = raw[a:b]
             else:
                 for w in group:
-                    self.letters[w] = self._alone(w)
+                    self.letters[w] = self._alone(w.decode())
 
     def _learn(self, words: set[bytes]) -> None:
         plain, new = [], set()
+        old_ids, old_letters = self.before
         for w in words:
-            s = w.decode()
-            m = _PLAIN.fullmatch(s) if b"<|" not in w and len(w) <= LONGEST and is_normalized("NFC", s) else None
-            if m is None:
-                self.ids[w] = self._alone(s)
+            if (known := old_ids.get(w)) is not None:
+                self.ids[w] = known
                 continue
-            a, b = m.groups()
+            if len(w) > LONGEST or b"<|" in w:
+                self.ids[w] = self._alone(w.decode())
+                continue
+            if m := _ASCII.fullmatch(w):
+                a, b = m.groups()
+            else:
+                text = w.decode()
+                m = _PLAIN.fullmatch(text) if is_normalized("NFC", text) else None
+                if m is None:
+                    self.ids[w] = self._alone(text)
+                    continue
+                a, b = (x.encode() for x in m.groups())
             plain.append((w, a, b))
             if a not in self.letters:
-                new.add(a)
+                if (known := old_letters.get(a)) is not None:
+                    self.letters[a] = known
+                else:
+                    new.add(a)
             if b not in self.marks:
-                self.marks[b] = self._alone(b)
+                self.marks[b] = self._alone(b.decode())
         self._learn_letters(sorted(new))
         for w, a, b in plain:
             self.ids[w] = self.letters[a] + self.marks[b]
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, and the end id."""
-        for known in (self.ids, self.letters, self.marks):
-            if len(known) > REMEMBER:
-                known.clear()
-        self.marks[""] = b""
+        if len(self.ids) > REMEMBER:
+            self.before = self.ids, self.letters
+            self.ids, self.letters, self.marks = {}, {}, {b"": b""}
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.ids)
         self._learn(new)
