@@ -32,7 +32,7 @@ from .text import BASES, Rolling, WordHashes, space_words, starts_in_documents,
 #: Words in a window of the contract.
 WINDOW = 35
 #: Words after which a task closes a batch.
-BATCH_WORDS = 3_000_000
+BATCH_WORDS = 1_000_000
 
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.string()), ("at", pa.binary()), ("data", pa.binary())])
 

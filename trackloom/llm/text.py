@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Entries a task keeps in its word caches before it starts a new one (about 100 MB).
-CACHE_ENTRIES = 600_000
+#: Entries a task keeps in its word caches before it starts a new one (about 30 MB).
+CACHE_ENTRIES = 200_000
 
 #: Maps every ASCII byte outside 0-9, A-Z, a-z to a space and lower-cases A-Z; bytes from 0x80 on stay.
 _ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
