@@ -40,6 +40,12 @@ def test_templates_of_a_host(spark, monkeypatch, broadcast):
     assert ht.extracted(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("page", ['<main><p>story</p><div class="comments"><p>c{i}</p></div></main>', '<div><p>story</p></div><div class="comments"><p>c{i}</p></div><footer>f{i}</footer>', "<main><h1>story</h1><div>{i}</div></main>", "<body><blockquote>story</blockquote><ul><li>{i}</ul>"])
+def test_copies_are_no_template(spark, page):
+    df = spark.createDataFrame([(i, "http://copies.com/", page.format(i=i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.text.split("\n")[0] for r in ht.extracted(df).collect()} == {"story"}
+
+
 def test_given_pages(spark, sf):
     """The generator's articles: what a plain pattern finds between the article tags."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")

@@ -8,8 +8,9 @@
    their articles (or of main, or of the body) without template subtrees and without what the markup itself names as
    menu, header, footer, sidebar, notice, advert, form, script, style or reader comment.
 
-Pages that are equal in their whole main text count as one, so copies of an article don't make it a template; paragraphs and headings
-of an article are never template.  The template hashes go to the tasks by broadcast, ``BROADCAST`` at a time (8 bytes each); more of
+Pages that are equal in their main text, without what the markup names as something else, count as one, so copies of an article don't
+make it a template under whatever comments and footers; paragraphs, headings, quotations and preformatted text are never template by
+themselves, and in an article only lists of links are.  The template hashes go to the tasks by broadcast, ``BROADCAST`` at a time (8 bytes each); more of
 them take more narrow steps.  Pages are never shuffled.
 
 A block is the text between borders of block-level elements: references decoded, white space (br too) as one space, trimmed.
@@ -48,6 +49,8 @@ WORDS = frozenset(
     " comment comments commentlist disqus respond reply replies discussion login signup search widget skip pagination pager".split()
 )
 LISTS = frozenset("ul ol menu div section table dl aside nav".split())
+#: Text that is never template by itself.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -175,7 +178,7 @@ class Page:
         digest = xxhash.xxh3_64_intdigest("\x00".join((e.tag, e.key, *e.parts)))
         parent.parts.append(f"\x01{digest:x}")
         mine = self.blocks[e.from_block :]
-        if not mine or e.tag in ("html", "body", "article", "main"):
+        if not mine or e.tag in PROSE or e.tag in ("html", "body", "article", "main"):
             return
         if not e.article or e.tag in LISTS and 2 * sum(b[4] for b in mine) >= sum(len(b[0]) for b in mine):
             self.subtrees.append((digest, e.from_block, len(self.blocks)))
@@ -209,7 +212,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for url, raw in zip(b.column("url").to_pylist(), utf8(b.column("html"))):
             page = Page(raw.decode())
-            whole = xxhash.xxh3_64_intdigest("\n".join(x[0] for x in page.blocks if x[2] or x[3]) or str(page.blocks)) >> 1
+            whole = xxhash.xxh3_64_intdigest(page.main_text()) >> 1
             seen.update((k, whole) for k in set(_keyed(url, (d for d, _, _ in page.subtrees))))
         rows = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["subtree", "page"])
