@@ -23,6 +23,25 @@ def test_small_pages(html, text):
     assert ht.Page(html).main_text() == text
 
 
+NAMED = [
+    ('<div class="layout no-sidebar"><article><p>x</p></article></div>', "x"),
+    ('<div id="page" class="site has-sidebar"><p>y</p><article>x</article><div class="comments"><article>c</article></div></div>', "x"),
+    ('<div class="sidebar"><div class="widget"><main>x</main></div></div>', "x"),
+    ('<article class="post category-social">x</article>', "x"),
+    ('<article class="post related">x</article><article class="comment">c</article>', "x"),
+    ('<article><p>x<section class="discussion"><h2>Discussion</h2><p>y</section></article>', "x\nDiscussion\ny"),
+    ('<form id="f" class="search"><div>a</div><article>x y<p>z</article></form>', "x y\nz"),
+    ('<div>a long story</div><div class="sidebar"><article>x</article></div>', "a long story"),
+    ('<p>x</p><div class="comment-list">c</div><div class="site-footer">f</div><div class="ad-slot-2">a</div><div class="cookie-banner">b</div><nav><article>n</article></nav>', "x"),
+    ("<article>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b<noscript><p>n</p></noscript><object><param>o</object><textarea>1 &lt; <b></textarea></article>", "a x=1 b\nn\no1 < <b>"),
+]
+
+
+@pytest.mark.parametrize("html,text", NAMED)
+def test_names(html, text):
+    assert ht.Page(html).main_text() == text
+
+
 @pytest.mark.parametrize("broadcast", [ht.BROADCAST, 1])
 def test_templates_of_a_host(spark, monkeypatch, broadcast):
     monkeypatch.setattr(ht, "BROADCAST", broadcast)

@@ -13,6 +13,10 @@ make it a template under whatever comments and footers; paragraphs, headings, qu
 themselves, and in an article only lists of links are.  The template hashes go to the tasks by broadcast, ``BROADCAST`` at a time (8 bytes each); more of
 them take more narrow steps.  Pages are never shuffled.
 
+Names are whole tokens of class or id (``sidebar``, ``comment-list``, ``site-footer``; not ``no-sidebar`` or ``category-social``).  An article
+is named as something else only as a comment or advert.  If all articles and mains of a page are in elements so named, those with
+the fewest such elements around them are the page's, and their wrappers count as unnamed, if they hold more text than what is left otherwise.
+
 A block is the text between borders of block-level elements: references decoded, white space (br too) as one space, trimmed.
 Cases: null and empty html give ""; tags that aren't closed end where the next block, item or parent ends; a stray "<" is text;
 pages without a host share one; equal rows are separate pages with equal text.
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +42,23 @@ LEAST_PAGES, BROADCAST = 10, 1_000_000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style title noscript iframe template svg math textarea object select canvas audio video button".split()
+RAW = "script style title iframe template svg textarea select canvas audio video button".split()
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Elements, roles and words of class or id that name what isn't the article.
 NOT_ARTICLE = frozenset("nav footer aside form head menu dialog fieldset".split())
+WRAPPERS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " sidebar aside menu submenu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription"
     " comment comments commentlist disqus respond reply replies discussion login signup search widget skip pagination pager".split()
 )
+#: Words that may stand before and after those in a token; what names an article as a comment or advert; what names no section of an article.
+BEFORE = frozenset("site page main global primary secondary top bottom left right sticky fixed mobile desktop post entry article blog user reader".split())
+AFTER = frozenset("list area section box block wrap wrapper container bar links link button buttons btn form slot unit item items thread body content inner text title author meta posts articles stories region panel column row group icons toggle".split())
+NOT_POST = frozenset("ad ads advert adverts advertisement sponsored comment comments commentlist reply replies respond".split())
+TOPICS, HEADER = frozenset(["discussion"]), frozenset(["header"])
 LISTS = frozenset("ul ol menu div section table dl aside nav".split())
 #: Text that is never template by itself.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
@@ -58,11 +69,23 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+@lru_cache(50_000)
+def _named(tokens: str, words: frozenset[str]) -> bool:
+    """Whether a token is one of the words, or made of them and of words of structure around them."""
+    for token in tokens.split():
+        parts = _WORD.findall(token)
+        while len(parts) > 1 and parts[0] in BEFORE:
+            parts = parts[1:]
+        if parts and parts[0] in words and all(x in words or x in AFTER or x.isdigit() for x in parts[1:]):
+            return True
+    return False
+
+
 class _Element:
-    __slots__ = ("article", "from_block", "key", "link", "main", "out", "parts", "tag")
+    __slots__ = ("article", "from_block", "key", "link", "main", "named", "out", "parts", "tag")
 
-    def __init__(self, tag, out, article, main, link, key, from_block):
-        self.tag, self.out, self.article, self.main, self.link, self.key, self.from_block, self.parts = tag, out, article, main, link, key, from_block, []
+    def __init__(self, tag, out, named, article, main, link, key, from_block):
+        self.tag, self.out, self.named, self.article, self.main, self.link, self.key, self.from_block, self.parts = tag, out, named, article, main, link, key, from_block, []
 
 
 class Page:
@@ -71,9 +94,12 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, bool, bool, int]] = []
         self.subtrees: list[tuple[int, int, int]] = []
+        self.named: list[tuple[int, ...]] = []  # of each block, the elements around it that only their names tell from the article
+        self.roots: set[tuple[int, ...]] = set()  # the same of each outermost article and main
+        self.names = 0
         self.text: list[str] = []
         self.links = 0
-        top = _Element("", False, False, False, False, "", 0)
+        top = _Element("", False, (), False, False, False, "", 0)
         self.stack = [top]
         at, n = 0, len(html)
         while at < n:
@@ -96,6 +122,8 @@ class Page:
             if tag in _RAW_END:
                 end = _RAW_END[tag].search(html, at) if not m[0].endswith("/>") else None
                 if end:
+                    if tag == "textarea":
+                        self._data(html[at : end.start()])
                     at = end.end()
                 elif not m[0].endswith("/>") and tag in ("script", "style"):
                     at = n
@@ -105,6 +133,19 @@ class Page:
         while len(self.stack) > 1:
             self._close()
         self._flush()
+        if any(self.named):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Marks the blocks in elements named as something else, but for those that hold the page's article."""
+        free: set[int] = set()
+        inside = [(set(names), len(b[0])) for b, names in zip(self.blocks, self.named) if (b[2] or b[3]) and not b[1]]
+        if inside and all(names for names, _ in inside):
+            size = {root: sum(n for names, n in inside if names <= set(root)) for root in self.roots}
+            root = min((r for r in size if size[r]), key=lambda r: (len(r), -size[r], r), default=())
+            if size.get(root, 0) > sum(len(b[0]) for b, names in zip(self.blocks, self.named) if not b[1] and not names):
+                free = set(root)
+        self.blocks = [(b[0], b[1] or not free.issuperset(names), *b[2:]) for b, names in zip(self.blocks, self.named)]
 
     def _data(self, text: str, decode: bool = True) -> None:
         text = entities.unescape(text) if decode and "&" in text else text
@@ -118,6 +159,7 @@ class Page:
             if text:
                 e = self.stack[-1]
                 self.blocks.append((text, e.out, e.article, e.main, self.links))
+                self.named.append(e.named)
                 e.parts.append(text)
             self.text = []
         self.links = 0
@@ -139,18 +181,28 @@ class Page:
         if not block and tag != "a":
             if empty:
                 return
-            self.stack.append(_Element(tag, e.out, e.article, e.main, e.link, "", len(self.blocks)))
+            self.stack.append(_Element(tag, e.out, e.named, e.article, e.main, e.link, "", len(self.blocks)))
             self._inherit(e)
             return
         named = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)} if attributes else {}
-        words = set(_WORD.findall(named.get("class", "") + " " + named.get("id", "")))
+        words = named.get("class", "") + " " + named.get("id", "")
         role = named.get("role", "")
-        article = e.article or tag == "article" and not e.out
-        out = e.out or tag in NOT_ARTICLE or role in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        if not out and tag not in ("html", "body", "main"):
-            out = bool(words & WORDS) or not article and (tag == "header" or "header" in words)
-        main = e.main or not out and (tag == "main" or role == "main" or "articlebody" in named.get("itemprop", ""))
-        self.stack.append(_Element(tag, out, article, main, e.link or tag == "a", named.get("class", ""), len(self.blocks)))
+        article = e.article or tag == "article"
+        main = e.main or tag == "main" or role == "main" or "articlebody" in named.get("itemprop", "")
+        root = article > e.article or main > e.main
+        out = e.out or tag in NOT_ARTICLE - WRAPPERS or role in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        other = False
+        if tag == "article" and not e.article:
+            other = _named(words, NOT_POST)
+        elif tag not in ("html", "body") and not (root and main > e.main):
+            other = tag in WRAPPERS or _named(words, WORDS - TOPICS if tag == "section" and article else WORDS) or not article and (tag == "header" or _named(words, HEADER))
+        names = e.named
+        if other:
+            self.names += 1
+            names = (*names, self.names)
+        if root and not out and not (e.article or e.main):
+            self.roots.add(names)
+        self.stack.append(_Element(tag, out, names, article, main, e.link or tag == "a", named.get("class", ""), len(self.blocks)))
         if not block:
             self._inherit(e)
 
