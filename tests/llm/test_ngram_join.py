@@ -71,6 +71,21 @@ def test_exact_step_alone(spark, monkeypatch):
     assert sorted(map(tuple, nj.components(df, 3, (80, 100)).collect()), key=repr) == brute(docs, 3, 80, 100)
 
 
+def test_null_ids(spark, monkeypatch):
+    """Near copies without an id on one side and on both, and as the middle of a chain, by either step."""
+    docs = corpus(4, 12)
+    docs = [(None if d is not None and d % 3 == 0 else d, t) for d, t in docs]
+    words = [f"v{i}" for i in range(60)]
+    chain = [" ".join(words[:k] + ["new"] * (k < 60) + words[k + 1 :]) for k in (60, 20, 40)]
+    docs += [(None, chain[0]), (2000, chain[1]), (2001, chain[2]), (None, "u " + " ".join(words[::-1])), (None, " ".join(words[::-1])), (None, " ".join(words[::-1]).upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, nj.components(df, 3, (80, 100)).collect()), key=repr) == brute(docs, 3, 80, 100)
+    kept = [t.lower() for _, t in map(tuple, nj.keep_one(df, 3, (80, 100)).collect()) if t and t.split()]
+    assert sum(t in {c.lower() for c in chain} for t in kept) == 1 and sum("v59 v58" in t for t in kept) == 1
+    monkeypatch.setattr(nj, "_links_of_part", lambda num, den: lambda g: g.head(0)[["node", "part"]].set_axis(["a", "b"], axis=1))
+    assert sorted(map(tuple, nj.components(df, 3, (80, 100)).collect()), key=repr) == brute(docs, 3, 80, 100)
+
+
 def test_keep_one(spark):
     a = " ".join(f"w{i}" for i in range(40))
     docs = [(1, a, "s"), (2, a + " end", "s"), (2, a + " end", "t"), (3, "other words here", "s"), (4, "", "s"), (5, None, "s"), (6, "", "s"), (3, "other words here", "u")]

@@ -22,7 +22,7 @@ No pair is lost: step 3 skips only pairs whose two sides step 2 already connecte
 
 Cases: texts with fewer than n words are one shingle, the whole sequence; texts without words, and null,
 have no set and are components of their own.  Equal rows and equal ids are fine; a null doc_id never names
-a component.  Sets are equal if the 64-bit hashes of their sorted shingle hashes are.
+a component, but its rows are linked like others (their texts are found by a hash of the text in place of the id).  Sets are equal if the 64-bit hashes of their sorted shingle hashes are.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def _each_set(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Re
             yield b, shingle_sets(utf8(b.column("text")), n, cache, roll)
 
 
-_PROFILE = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("blob", pa.binary())])
+_PROFILE = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("blob", pa.binary()), ("key", pa.int64())])
 
 
 def _profiles(n: int):
@@ -113,10 +113,10 @@ def _profiles(n: int):
             part = b.column("part")[0].as_py()
             counts += np.bincount(_classes(np.concatenate(sets)), minlength=CLASSES)
             size = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(["document"] * len(sets)), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_minhash_keys(s).tobytes() if len(s) else None for s in sets], pa.binary())], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(["document"] * len(sets)), b.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_minhash_keys(s).tobytes() if len(s) else None for s in sets], pa.binary()), b.column("key")], schema=_PROFILE)
         if counts.any():
             slices = np.split(counts.astype("<u4"), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(["counts"] * SLICES), pa.array(range(SLICES), pa.int64()), pa.array([part] * SLICES, pa.int64()), pa.array([None] * SLICES, pa.int64()), pa.array([x.tobytes() for x in slices], pa.binary())], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(["counts"] * SLICES), pa.array(range(SLICES), pa.int64()), pa.array([part] * SLICES, pa.int64()), pa.array([None] * SLICES, pa.int64()), pa.array([x.tobytes() for x in slices], pa.binary()), pa.array([None] * SLICES, pa.int64())], schema=_PROFILE)
 
     return run
 
@@ -273,7 +273,7 @@ def _verify(num: int, den: int):
 
 
 def _sets_of(docs: DataFrame, representatives: DataFrame, n: int) -> DataFrame:
-    """(node, size, shingles) of the documents named in representatives (doc_id)."""
+    """(node, size, shingles) of the documents named in representatives (key, lone: of a row without an id)."""
     kinds = ["node", "size", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,19 +281,32 @@ def _sets_of(docs: DataFrame, representatives: DataFrame, n: int) -> DataFrame:
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], kinds)
 
-    wanted = docs.select("doc_id", "text").join(representatives.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    # texts without ids once each before they are dealt out, as any number of rows may share one
+    lone = docs.where("doc_id is null").select("key", "text").dropDuplicates(["key"]).select(F.lit(True).alias("lone"), "key", "text")
+    each = docs.where("doc_id is not null").select(F.lit(False).alias("lone"), "key", "text").unionByName(lone)
+    wanted = each.join(representatives.hint("shuffle_hash"), ["lone", "key"], "left_semi").select("text")
     return wanted.mapInArrow(run, "node long, size int, shingles binary").dropDuplicates(["node"])
 
 
+def _key(doc_id: str):
+    """What a row is fetched by: its id, or a hash of its text if it has none."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64("text"))
+
+
 def components(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id an integer)."""
+    return _components(docs, n, similarity).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """components with the key of each row and of the row that its component keeps."""
     num, den = similarity
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = cut(texts.select("*", F.spark_partition_id().cast("long").alias("part")).mapInArrow(_profiles(n), "kind string, doc_id long, n long, node long, blob binary"))
-    of_doc = profiles.where("kind = 'document'").select("doc_id", "n", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key("doc_id").alias("key"))
+    profiles = cut(texts.select("*", F.spark_partition_id().cast("long").alias("part")).mapInArrow(_profiles(n), "kind string, doc_id long, n long, node long, blob binary, key long"))
+    of_doc = profiles.where("kind = 'document'").select("doc_id", "n", "node", "key")
     counts = class_counts(profiles, texts.rdd.getNumPartitions())
-    nodes = cut(of_doc.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut(of_doc.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key")).withColumn("lone", F.col("doc_id").isNull()))
 
     # 2: links within groups of a min-hash key
     keyed = profiles.where("kind = 'document' and node is not null").select("node", "blob").dropDuplicates(["node"])
@@ -310,14 +323,14 @@ def components(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] =
     split = member.select("key", "node", F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "key"), F.col("parts")))).alias("part"))
     split = cut(split.select("key", "node", F.explode("part").alias("part")))
     near = split.select("node").distinct()
-    sets = cut(_sets_of(texts, nodes.join(near, "node", "left_semi").select("doc_id"), n))
+    sets = cut(_sets_of(texts, nodes.join(near, "node", "left_semi").select("lone", "key"), n))
     links = cut(split.join(sets, "node").groupBy("key", "part").applyInPandas(_links_of_part(num, den), "a long, b long"))
     first = connected_components(links)
 
     # 3: candidates among different components
     documents = max(1, nodes.count())
     shared = spark.sparkContext.broadcast(counts)
-    prefixes = texts.mapInArrow(_prefixes(n, num, den, shared, documents), _PREFIX).dropDuplicates(["node"])
+    prefixes = texts.select("text").mapInArrow(_prefixes(n, num, den, shared, documents), _PREFIX).dropDuplicates(["node"])
     prefixes = cut(prefixes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")))
     buckets = max(3 * shuffle_width(docs), 2 * texts.rdd.getNumPartitions())
     blocks = prefixes.drop(*(f"parity{i}" for i in range(PARITY))).mapInArrow(_posting_blocks(buckets), "bucket int, postings binary")
@@ -337,28 +350,29 @@ def components(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] =
 
     # 4: verification on whole sets, and components over all links
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    missing = nodes.join(need, "node", "left_semi").join(sets.select("node"), "node", "left_anti").select("doc_id")
+    missing = nodes.join(need, "node", "left_semi").join(sets.select("node"), "node", "left_anti").select("lone", "key")
     more = cut(sets.join(need, "node", "left_semi").unionByName(_sets_of(texts, missing, n)))
     both = pairs.join(more.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(more.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     late = cut(both.mapInArrow(_verify(num, den), "a long, b long"))
     found = connected_components(links.union(late))
-    named = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    name = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(name, "component").select("node", "component_id")
-    out = of_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = nodes.join(found, "node", "left").select("node", "doc_id", "key", F.coalesce("component", "node").alias("component"))
+    name = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("kept_key"))
+    named = named.join(name, "component").select("node", "component_id", "kept_key")
+    out = of_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "kept_key")
     return out
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs with one document of each component, the one with its smallest doc_id; texts without words all stay.
+    """docs with one document of each component, the one with its smallest doc_id (if it has none, one of its rows); texts without words all stay.
 
     Of rows equal in doc_id and lower-cased text one stays; rows that share an id but not a text go or stay together.
     """
-    of = components(docs, n, similarity)
-    stay = of.where("n_shingles > 0 and doc_id <=> component_id").select(F.col("doc_id").alias("kept"), F.lit(False).alias("kept_bare"))
-    bare = of.where("n_shingles = 0").select(F.col("doc_id").alias("kept"), F.lit(True).alias("kept_bare"))
+    of = _components(docs, n, similarity).withColumn("kept_lone", F.col("doc_id").isNull())
+    stay = of.where("n_shingles > 0 and key = kept_key and kept_lone = (component_id is null)").select("kept_lone", "key", F.lit(False).alias("bare"))
+    bare = of.where("n_shingles = 0").select("kept_lone", "key", F.lit(True).alias("bare"))
+    kept = stay.union(bare).distinct().select("kept_lone", F.col("key").alias("kept"), F.col("bare").alias("kept_bare"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).withColumn("bare", F.translate(text, " \t\n\x0b\x0c\r", "") == "")
-    kept = rows.join(stay.union(bare).distinct(), F.col("id").eqNullSafe(F.col("kept")) & (F.col("bare") == F.col("kept_bare")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _key("doc_id").alias("at")).withColumn("bare", F.translate(text, " \t\n\x0b\x0c\r", "") == "")
+    kept = rows.join(kept, (F.col("at") == F.col("kept")) & (F.col("id").isNull() == F.col("kept_lone")) & (F.col("bare") == F.col("kept_bare")))
     turn = F.row_number().over(Window.partitionBy("id", F.xxhash64(F.lower(text))).orderBy(F.xxhash64(text)))
     return kept.withColumn("turn", turn).where("bare or turn = 1").select("row.*")
