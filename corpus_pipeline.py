@@ -14,6 +14,10 @@ from trackloom.llm import decontamination, nbest, ngram_join, substring_dedup, t
 from trackloom.plans.storage import shared_dir
 
 
+#: Words in a shingle, and the Jaccard similarity of near copies as a fraction.
+NEAR_COPIES = 5, (80, 100)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, *NEAR_COPIES)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
