@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.storage import cut
-from .jobs import shuffle_width
-from .text import BASES, Rolling, WordHashes, space_words, utf8
+from .jobs import released, shuffle_width
+from .text import BASES, Rolling, WordHashes, utf8
 
 #: Words in a shingle, and the similarity of a link as a fraction, of the contract.
 SHINGLE, SIMILARITY = 3, (90, 100)
@@ -57,15 +57,15 @@ PARITY = 8
 KEYS = 8
 #: Sets that a task remembers, so as not to send a copy again; those it forgets are merged later.
 SEEN = 300_000
+#: Documents handled together in a task.
+ROWS = 500
 #: Nodes of a key group that one task verifies together.
 PART = 400
 
 
-def shingle_sets(texts: list[bytes], n: int, cache: WordHashes, roll: Rolling) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int, words: WordHashes, roll: Rolling) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = [space_words(t.lower()) for t in texts]
-    count = np.array([len(w) for w in words], np.int64)
-    x = cache.array([w for ws in words for w in ws])
+    x, count = words(texts)
     h, end = roll(x), np.cumsum(count)
     out = []
     for b, c in zip(end.tolist(), count.tolist()):
@@ -96,17 +96,18 @@ def _minhash_keys(s: np.ndarray) -> np.ndarray:
 
 
 def _each_set(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    cache, roll = WordHashes(), Rolling(n, BASES[0])
+    words, roll = WordHashes(lower=True), Rolling(n, BASES[1])
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            b = whole.slice(at, 1000)
-            yield b, shingle_sets(utf8(b.column("text")), n, cache, roll)
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
+            yield b, shingle_sets(utf8(b.column("text")), n, words, roll)
 
 
 _PROFILE = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("blob", pa.binary()), ("key", pa.int64())])
 
 
 def _profiles(n: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, part = np.zeros(CLASSES, np.int64), 0
         for b, sets in _each_set(batches, n):
@@ -208,6 +209,7 @@ _PREFIX = "node long, size int, offers int, level int, reads int, prefix binary,
 def _prefixes(n: int, num: int, den: int, counts, documents: int):
     kinds = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("offers", pa.int32()), ("level", pa.int32()), ("reads", pa.int32()), ("prefix", pa.binary()), *((f"parity{i}", pa.int64()) for i in range(PARITY))])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
         for _, sets in _each_set(batches, n):
@@ -233,6 +235,7 @@ _POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("component", "<i8"), ("size
 
 
 def _posting_blocks(buckets: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = [np.frombuffer(x, np.uint64) for x in b.column("prefix").to_pylist()]
@@ -263,6 +266,7 @@ def _shared_postings(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _verify(num: int, den: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = b.column("sa").to_pylist(), b.column("sb").to_pylist()
@@ -276,6 +280,7 @@ def _sets_of(docs: DataFrame, representatives: DataFrame, n: int) -> DataFrame:
     """(node, size, shingles) of the documents named in representatives (key, lone: of a row without an id)."""
     kinds = ["node", "size", "shingles"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _each_set(batches, n):
             sets = [s for s in sets if len(s)]
@@ -311,6 +316,7 @@ def _components(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
     # 2: links within groups of a min-hash key
     keyed = profiles.where("kind = 'document' and node is not null").select("node", "blob").dropDuplicates(["node"])
 
+    @released
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = np.frombuffer(b"".join(b.column("blob").to_pylist()), np.int64)

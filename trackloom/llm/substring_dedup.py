@@ -26,13 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import row_key, shuffle_width
+from .jobs import released, row_key, shuffle_width
 from .text import BASES, Rolling, WordHashes, space_words, starts_in_documents, utf8
 
 #: Words in a window of the contract.
 WINDOW = 35
 #: Words after which a task closes a batch.
 BATCH_WORDS = 1_000_000
+#: Documents handled together in a task.
+ROWS = 500
 
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.string()), ("at", pa.binary()), ("data", pa.binary())])
 
@@ -65,22 +67,25 @@ def _blocks(n: int, buckets: int):
             rows.append((int(b), batch, "hashes", _pack(at[mine]), h[mine].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rolls, number = WordHashes(), (Rolling(n, BASES[0]), Rolling(n, BASES[1])), 0
+        words, rolls, number, part = WordHashes(), (Rolling(n, BASES[0]), Rolling(n, BASES[1])), 0, 0
         keys, counts, hashes, held = [], [], [], 0
-        for b in batches:
-            part = b.column("part")[0].as_py() if b.num_rows else 0
-            for k1, k2, text in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), utf8(b.column("text"))):
-                words = space_words(text)
-                if len(words) < n:
-                    continue
-                keys.append((k1, k2))
-                counts.append(len(words))
-                hashes.append(cache.array(words))
-                held += len(words)
-                if held >= BATCH_WORDS:
-                    yield close(part << 24 | number, keys, counts, hashes, rolls)
-                    keys, counts, hashes, held, number = [], [], [], 0, number + 1
+        for whole in batches:
+            part = whole.column("part")[0].as_py() if whole.num_rows else part
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                x, count = words(utf8(b.column("text")))
+                for k1, k2, c, h in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), count.tolist(), np.split(x, np.cumsum(count)[:-1])):
+                    if c < n:
+                        continue
+                    keys.append((k1, k2))
+                    counts.append(c)
+                    hashes.append(h)
+                    held += c
+                    if held >= BATCH_WORDS:
+                        yield close(part << 24 | number, keys, counts, hashes, rolls)
+                        keys, counts, hashes, held, number = [], [], [], 0, number + 1
         if keys:
             yield close(part << 24 | number, keys, counts, hashes, rolls)
 
@@ -159,6 +164,7 @@ def with_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 def removal_digest(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (the kept words joined by one space) of every row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, removed, sha = [], [], []

@@ -18,11 +18,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .jobs import released
 from .pieces import Pieces, chunks, load
-from .text import CACHE_ENTRIES, utf8
+from .text import utf8
 
-#: Longest chunk that is remembered.
-LONGEST = 64
+#: Chunks that a task remembers, and the longest that it does.
+REMEMBER, LONGEST = 200_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -70,7 +71,7 @@ class Counts(dict):
     def __missing__(self, chunk: str) -> int:
         n = count_chunk(chunk, self.matches, self.pieces)
         if len(chunk) <= LONGEST:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= REMEMBER:
                 self.clear()
             self[chunk] = n
         return n
@@ -79,6 +80,7 @@ class Counts(dict):
 def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens of every row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(path)
         for b in batches:
