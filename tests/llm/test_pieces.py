@@ -67,12 +67,11 @@ def every(chunk, pieces):
     if not chunk:
         return [(0.0, (), ())]
     out = []
-    into = nbest.edges(chunk, pieces)
 
     def back(at, score, starts, ids):
         if at == 0:
             out.append((-score, starts, ids))
-        for a, s, piece in into[at] if at else ():
+        for a, s, piece in nbest.into(chunk, at, pieces) if at else ():
             back(a, score + s, (*starts, a), piece + ids)
 
     back(len(chunk), 0.0, (), ())
@@ -105,3 +104,35 @@ def test_queries_over_tables(spark):
     for r in nbest.decoded(best).collect():
         assert r.text == (r.row.text or "").replace(SPACE, " ")
     assert nbest.digest(df.where("false")).collect() == [] == token_count.counted(df.where("false")).collect()
+
+
+def test_long_text_without_spaces_takes_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    r = random.Random(9)
+    encoder = nbest.Encoder(None, nbest.N)
+    some = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/日本語=") for _ in range(60_000))
+    took, most = [], []
+    for text in (some[:6_000], some, "a" * 30_000):
+        began = time.process_time()
+        tracemalloc.start()
+        ((best, decodes),) = encoder.batch([text.encode()])
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        took.append(time.process_time() - began)
+        assert decodes and len(best) == nbest.N and [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+        assert len({ids for _, ids in best}) == nbest.N and not encoder.known and not encoder.more
+    assert took[1] < 30 * took[0] and most[1] < 30 * most[0] and most[1] < 200e6, (took, most)
+
+
+def test_short_and_long_chunks_agree(monkeypatch):
+    texts = [t.encode() for t in [*TEXTS, *(" ".join(words(8, s)) for s in range(40)), "日本語日本" * 9, "\0a\0", "=" * 60]]
+    want = list(nbest.Encoder(None, 4).batch(texts))
+    monkeypatch.setattr(nbest, "LONGEST", 2)
+    got = list(nbest.Encoder(None, 4).batch(texts))
+    assert [(round(s, 6), ids) for best, _ in got for s, ids in best] == [(round(s, 6), ids) for best, _ in want for s, ids in best]
+    monkeypatch.setattr(nbest, "LONGEST", 64)
+    monkeypatch.setattr(nbest, "REMEMBER", 5)
+    monkeypatch.setattr(nbest, "TEXTS", 3)
+    assert list(nbest.Encoder(None, 4).batch(texts)) == want and all(d for _, d in want)

@@ -21,13 +21,14 @@ def default_path() -> str:
 
 
 class Pieces:
-    """piece -> (score, id) of the ordinary pieces; ids of the byte pieces; the bytes of every id."""
+    """piece -> (score, id) of the ordinary pieces; ids of the byte pieces; the bytes and the piece of every id."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.normal: dict[str, tuple[float, int]] = {}
         self.byte: dict[int, int] = {}
         self.bytes_of: list[bytes] = []
+        self.text_of: list[str] = []
         for i in range(model.get_piece_size()):
             piece, score = model.id_to_piece(i), model.get_score(i)
             out = b""
@@ -40,6 +41,7 @@ class Pieces:
                     self.normal[piece] = (score, i)
             # what stays b"" is never produced by encoding
             self.bytes_of.append(out)
+            self.text_of.append(piece)
         if SPACE in self.normal:
             self.normal[SPACE] = (min(s for s, _ in self.normal.values() if s > LEAST_SCORE), self.normal[SPACE][1])
         self.unknown = min(s for s, _ in self.normal.values()) - UNKNOWN_COST
