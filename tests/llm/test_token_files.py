@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ SCHEMA = "doc_id long, text string, part string"
 
 def texts(seed=2):
     r = random.Random(seed)
-    some = ["the", "Tion", "er's", "anst", "ÉAU", "ß", "é", "12", "--", "́x", " ", " y", "\x1c", "ΣΑΣ", "<|endoftext|>", "I'll", "日本", "🙂"]
+    some = ["the", "Tion", "er's", "anst", "ÉAU", "ß", "é", "12", "--", "́x", " ", " y", "\x1c", "ΣΑΣ", "<|endoftext|>", "I'll", "日本", "🙂", "GEZİ.", "EVİ,"]
     return ["".join(r.choice([*some, " ", "\n", "\t ", "  "]) for _ in range(r.randrange(0, 60))) for _ in range(60)]
 
 
@@ -42,6 +43,8 @@ def test_expand_ranges():
         mine = s[offsets[k] : offsets[k + 1]]
         want = ids[end[k] - counts[k] : end[k]]
         assert (tf.expand(mine, rules, lengths) == want).all()
+        shard = {"offsets": offsets.astype("<u4").tobytes(), "symbols": s.tobytes(), "rules": rules.tobytes(), "lengths": lengths.astype("<u4").tobytes()}
+        assert (tf.document(shard, k) == want).all()
         for _ in range(30):
             a, b = sorted(r.randrange(counts[k] + 1) for _ in range(2))
             assert (tf.expand(mine, rules, lengths, a, b) == want[a:b]).all()
@@ -49,3 +52,39 @@ def test_expand_ranges():
 
 def test_empty_table(spark):
     assert tf.written_and_read(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def fuzz(seed=7):
+    """Every cased or composed character, next to letters, digits, marks and spaces of several kinds."""
+    r = random.Random(seed)
+    odd = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c.lower() != c or c.upper() != c or unicodedata.combining(c) or unicodedata.decomposition(c))]
+    around = ["a", "Z", "1", ".", ",", "'", "'s", "'LL", " ", "\u0301", "\u0307", "\u00a0", "\u0085", "\u3000", "\x1c", "\0", "İ", "Σ", "ﬁ", "가", "ᄀ", "ᅡ", "-", "<", "|", "\n"]
+    texts = []
+    for i in range(0, len(odd), 6):
+        texts.append("".join(c + "".join(r.choice(around) for _ in range(r.randrange(3))) for c in odd[i : i + 6]))
+    return texts + ["".join(r.choice(around) for _ in range(r.randrange(1, 12))) for _ in range(3000)]
+
+
+def test_encoder_equals_the_library(monkeypatch):
+    monkeypatch.setattr(tf, "BYTES", 3000)
+    monkeypatch.setattr(tf, "REMEMBER", 2500)
+    encoder, texts = tf.Encoder(None), fuzz()
+    assert encoder.splits
+    ids, counts = (np.concatenate(x) for x in zip(*encoder.documents([t.encode() for t in texts])))
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, tf.END], text
+
+
+def test_other_tokenizers_get_whole_texts():
+    encoder = tf.Encoder(None)
+    encoder.splits = False
+    ids, counts = zip(*encoder.documents([b"Some words, here", b""]))
+    assert np.concatenate(ids).tolist() == [*encoder.library.encode("Some words, here", add_special_tokens=False).ids, tf.END, tf.END]
+
+
+def test_copies_shrink_to_deep_rules():
+    r = random.Random(5)
+    one = np.array([*(r.randrange(40_000) for _ in range(400)), 1])
+    s, offsets, rules, lengths = tf.repair(np.tile(one, 300), np.full(300, len(one)))
+    assert lengths.max() > 100 and len(s) < 300 * 4
+    assert (tf.expand(s, rules, lengths) == np.tile(one, 300)).all()
