@@ -17,8 +17,13 @@ def side(df: DataFrame, name: str, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def pairs_by_iou(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY, min_iou: float = 0.0, iou_fn=g.iou) -> DataFrame:
-    """All pairs of a frame with at least min_iou, columns prefixed a_ and b_."""
+    """All pairs of a frame with at least min_iou, columns prefixed a_ and b_.
+
+    Where min_iou is above 0 and iou_fn is 0 for boxes apart, pairs that don't overlap end at the join's four comparisons.
+    """
     both = side(a, "a", key).join(side(b, "b", key), list(key))
+    if min_iou > 0 and iou_fn is g.iou:
+        both = both.where((F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("a_y2")))
     return both.withColumn("iou", iou_fn(g.box("a_"), g.box("b_"))).where(F.col("iou") >= min_iou)
 
 

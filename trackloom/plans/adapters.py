@@ -23,12 +23,15 @@ def _period(c: str = "ts") -> Column:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, frame, det_id, box, cls and conf; a detection for each (order, line)."""
+    """seq, frame, det_id, box, cls and conf; a detection for each (order, line).
+
+    A sequence is five suppliers, so sequences grow with the table and frames hold about a dozen boxes at any scale.
+    """
     first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(first)).where("rn = 1")
     rows = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), _days("l_shipdate").alias("days"))
     return rows.selectExpr(
-        "CAST(s % 20 AS INT) seq", "CAST(days div 10 AS INT) frame", "CAST(k*10+ln AS BIGINT) det_id",
+        "CAST(s div 5 AS INT) seq", "CAST(days div 10 AS INT) frame", "CAST(k*10+ln AS BIGINT) det_id",
         "CAST((k*37+ln*101)%600 AS DOUBLE) x1", "CAST((p*53+ln*17)%300 AS DOUBLE) y1",
         "CAST((k*37+ln*101)%600 + 20+p%40 AS DOUBLE) x2", "CAST((p*53+ln*17)%300 + 40+k%60 AS DOUBLE) y2",
         "CASE (k+ln)%20 WHEN 0 THEN 'ball' WHEN 1 THEN 'referee' WHEN 2 THEN 'goalkeeper' ELSE 'player' END cls",
@@ -88,7 +91,7 @@ _K = "CAST(json_extract_string(props, '$.k') AS INT)"
 
 #: DuckDB SQL of each adapter, to stand in a WITH list under its name.
 SQL = {
-    "detections": """SELECT CAST(s % 20 AS INT) seq, CAST(days // 10 AS INT) frame, k*10+ln det_id,
+    "detections": """SELECT CAST(s // 5 AS INT) seq, CAST(days // 10 AS INT) frame, k*10+ln det_id,
   CAST((k*37+ln*101)%600 AS DOUBLE) x1, CAST((p*53+ln*17)%300 AS DOUBLE) y1,
   CAST((k*37+ln*101)%600 + 20+p%40 AS DOUBLE) x2, CAST((p*53+ln*17)%300 + 40+k%60 AS DOUBLE) y2,
   CASE (k+ln)%20 WHEN 0 THEN 'ball' WHEN 1 THEN 'referee' WHEN 2 THEN 'goalkeeper' ELSE 'player' END cls,

@@ -40,7 +40,7 @@ def camera_adjusted(spark: SparkSession, sf: str) -> DataFrame:
 
 def same_frame_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     d = ad.detections(spark, sf).select("seq", "frame", "det_id", *joins.BOX, "cls")
-    p = joins.pairs_by_iou(d, d, min_iou=0.3).where("a_det_id < b_det_id and a_cls = b_cls")
+    p = joins.pairs_by_iou(d, d, (*joins.KEY, "cls"), 0.3).where("a_det_id < b_det_id")
     a, b = g.box("a_"), g.box("b_")
     return p.select("a_det_id", "b_det_id", *(F.round(x, 6).alias(n) for n, x in (("iou", F.col("iou")), ("biou", g.buffered_iou(a, b)), ("giou", g.giou(a, b)), ("diou", g.diou(a, b)), ("ciou", g.ciou(a, b)), ("cover", g.overlap_ratio(a, b)))))
 
