@@ -74,3 +74,17 @@ def test_given_pages(spark, sf):
         inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"<(?!p\b|/p\b|h1|/h1)[^>]*>", " " if "<br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
         assert re.sub(r"\s", "", r.text) == re.sub(r"\s", "", "".join(re.sub(r"<[^>]*>", "", w) for w in want))
+
+
+def test_names_in_an_article():
+    for html, want in [
+        ('<article><h2 id="search">Search trees</h2><p>a b</p></article>', "Search trees\na b"),
+        ('<article><section id="discussion"><p>kept</p></section></article>', "kept"),
+        ('<article><p class="notice">kept</p></article>', "kept"),
+        ('<article><figure class="social"><figcaption>cap</figcaption></figure></article>', "cap"),
+        ('<article class="search"><p>art</p></article><footer>foot</footer>', "art"),
+        ('<div class="post-with-sidebar"><p>hello main</p></div>', "hello main"),
+        ("<article>let <math><mi>x</mi></math> be</article>", "let x be"),
+        ('<article><p>t</p><p class="advert">Buy</p><div class="share">Share</div><div class="comments"><p>c</p></div></article>', "t"),
+    ]:
+        assert ht.Page(html).main_text() == want, html

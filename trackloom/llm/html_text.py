@@ -13,8 +13,8 @@ make it a template under whatever comments and footers; paragraphs, headings, qu
 themselves, and in an article only lists of links are.  The template hashes go to the tasks by broadcast, ``BROADCAST`` at a time (8 bytes each); more of
 them take more narrow steps.  Pages are never shuffled.
 
-Names are whole tokens of class or id (``sidebar``, ``comment-list``, ``site-footer``; not ``no-sidebar`` or ``category-social``).  An article
-is named as something else only as a comment or advert.  If all articles and mains of a page are in elements so named, those with
+Names are whole tokens of class or id (``sidebar``, ``comment-list``, ``site-footer``; not ``no-sidebar`` or ``category-social``).  An article,
+and a paragraph, heading, quotation, preformatted text or figure in one, is named as something else only as a comment or advert.  If all articles and mains of a page are in elements so named, those with
 the fewest such elements around them are the page's, and their wrappers count as unnamed, if they hold more text than what is left otherwise.
 
 A block is the text between borders of block-level elements: references decoded, white space (br too) as one space, trimmed.
@@ -60,6 +60,8 @@ AFTER = frozenset("list area section box block wrap wrapper container bar links
 NOT_POST = frozenset("ad ads advert adverts advertisement sponsored comment comments commentlist reply replies respond".split())
 TOPICS, HEADER = frozenset(["discussion"]), frozenset(["header"])
 LISTS = frozenset("ul ol menu div section table dl aside nav".split())
+#: What an article tells in.
+TELLING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption".split())
 #: Text that is never template by itself.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
@@ -194,6 +196,8 @@ class Page:
         other = False
         if tag == "article" and not e.article:
             other = _named(words, NOT_POST)
+        elif article and tag in TELLING:  # in an article, one word in a name is no evidence against its text
+            other = _named(words, NOT_POST)
         elif tag not in ("html", "body") and not (root and main > e.main):
             other = tag in WRAPPERS or _named(words, WORDS - TOPICS if tag == "section" and article else WORDS) or not article and (tag == "header" or _named(words, HEADER))
         names = e.named
