@@ -124,7 +124,7 @@ def brute(docs, labels):
             toxic, all_ = toxic + w * y, all_ + w
         return toxic / all_
 
-    told = [(votes(v, i), y) for i, y, v in vectors if set(v) & strong]
+    told = [(votes(v, i), y) for i, y, v in vectors]
     curve = tx.Model._fit(tx.Model, [x for x, _ in told], [y for _, y in told], [stands[y] / scale for _, y in told])
     out = []
     for i, t in docs:

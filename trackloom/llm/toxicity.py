@@ -4,7 +4,7 @@ An example is a labelled document as a TF-IDF vector; a document's score comes f
 cosine, found with a block-max inverted index: a common feature has the largest weight that it takes in each block of examples, so those and the
 weights of rare features bound every cosine, and the postings of common features are not read for examples whose bound is below the last neighbour.  Votes are weighted
 by distance and by what the example's class stands for in the labelled rows, and a logistic curve fitted on leave-one-out votes
-on the examples with an associated feature turns them into probabilities.
+turns them into probabilities.
 
 Features are words ``[a-z\\x80-]+`` after lower-casing A-Z, and those beginnings of words (4 and 5 bytes) that the examples associate with the label (chi-squared
 of ``LEAST_CHI2`` or more).  All words that occur in an example are in the index, with document frequencies counted over all
@@ -123,8 +123,7 @@ class Model:
             a, b = np.searchsorted(of, [k, k + SCORED])
             n = min(SCORED, len(examples) - k)
             found += self.votes(of[a:b] - k, at[a:b], w[a:b], n, np.arange(k, k + n))[0].tolist()
-        told = np.bincount(of, self.associated[at], len(examples)) > 0  # the curve is for what associated features tell
-        self.curve = self._fit(np.array(found)[told], self.labels[told], np.array(votes)[self.labels[told]]) if told.any() else (1.0, 0.0)
+        self.curve = self._fit(np.array(found), self.labels, np.array(votes)[self.labels]) if examples else (1.0, 0.0)
 
     def vectors(self, of: np.ndarray, at: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, weight) of unit vectors from counts."""
