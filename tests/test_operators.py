@@ -1,5 +1,6 @@
 """Rules of the operators on small literal tables, and folds against brute force."""
 
+import hashlib
 import itertools
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import decisions, dupes, evaluate, events, filters, graph, joins, kinematics, matching, splits, temporal
+from trackloom.operators import decisions, dupes, evaluate, events, filters, graph, joins, kinematics, matching, splits, teams, temporal
 
 BOX = "seq int, frame int, det_id long, x1 double, y1 double, x2 double, y2 double, cls string, conf double"
 
@@ -127,23 +128,29 @@ def test_linking_invariants(spark):
     assert out[300] is None and out[0] != out[200] and all(t is None or t > 0 for t in out.values())
 
 
-def brute_select(cands, frames, accept=0.25, floor=0.10, max_gap=0.6, gate=60.0, growth=40.0):
+def brute_select(cands, frames, accept=0.25, floor=0.10, max_gap=0.6, gate=60.0, growth=40.0, look_ahead=False):
     out, a, b = {}, None, None
-    for seq, frame, ts, dt, cut in frames:
+    for at, (seq, frame, ts, dt, cut) in enumerate(frames):
         if cut:
             a = b = None
         mine = sorted((-c[6], *c[2:6]) for c in cands if c[0] == seq and c[1] == frame and c[6] >= floor)
         got, state = None, "unknown"
         if mine and -mine[0][0] >= accept:
             got, state = mine[0], "observed"
-        elif b and ts - b[0] <= max_gap + 1e-9:
+        weak = [c for c in mine if -c[0] < accept]
+        near = []
+        if not got and b and ts - b[0] <= max_gap + 1e-9:
             k = (ts - b[0]) / (b[0] - a[0]) if a and b[0] > a[0] else 0.0
             px, py = (b[1] + ((b[1] - a[1]) * k if a else 0.0)), (b[2] + ((b[2] - a[2]) * k if a else 0.0))
             r = gate + growth * max(0, round((ts - b[0]) / dt) - 1)
-            near = sorted((((((c[1] + c[3]) / 2 - px) ** 2 + ((c[2] + c[4]) / 2 - py) ** 2) ** 0.5), *c) for c in mine if -c[0] < accept)
-            near = [c for c in near if c[0] <= r]
-            if near:
-                got, state = near[0][1:], "recovered_low_conf"
+            near = [(d, *c) for c in weak if (d := (((c[1] + c[3]) / 2 - px) ** 2 + ((c[2] + c[4]) / 2 - py) ** 2) ** 0.5) <= r]
+        if not got and look_ahead and at + 1 < len(frames) and not frames[at + 1][4]:
+            nxt = max((c for c in cands if c[1] == frames[at + 1][1] and c[6] >= accept), key=lambda c: (c[6], -c[2]), default=None)
+            if nxt:
+                x, y = (nxt[2] + nxt[4]) / 2, (nxt[3] + nxt[5]) / 2
+                near += [(d, *c) for c in weak if (d := (((c[1] + c[3]) / 2 - x) ** 2 + ((c[2] + c[4]) / 2 - y) ** 2) ** 0.5) <= gate]
+        if near:
+            got, state = min(near)[1:], "recovered_low_conf"
         if got:
             a, b = b, (ts, (got[1] + got[3]) / 2, (got[2] + got[4]) / 2)
         out[frame] = (state, got[1] if got else None)
@@ -164,6 +171,8 @@ def test_ball_selector_equals_brute_force(spark, seed):
     sel = temporal.select_ball(cd, fd)
     got = {x.frame: (x.state, x.x1) for x in sel.collect()}
     assert got == brute_select(cands, frames) and len({s for s, _ in got.values()}) == 3
+    ahead = {x.frame: (x.state, x.x1) for x in temporal.select_ball(cd, fd, look_ahead=True).collect()}
+    assert ahead == brute_select(cands, frames, look_ahead=True)
     states = [x.state for x in temporal.interpolate_ball(sel, fd).orderBy("frame").collect()]
     assert all(s == t for s, t in zip(states, (got[f][0] for f in range(60))) if s != "interpolated_short_gap")
 
@@ -199,6 +208,57 @@ def test_splits(spark):
         splits.assign_splits(src, ratios, 1, twice).collect()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_diverse_batch_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, r.choice("aab"), r.choice([None, r.getrandbits(64) - (1 << 63), 5]), r.randrange(4)) for i in range(90)]
+    tie = lambda i: hashlib.md5(f"{i}:{seed}".encode()).hexdigest()
+    want = set()
+    for source in "ab":
+        left = sorted((x for x in rows if x[1] == source), key=lambda x: (-x[3], tie(x[0])))
+        quota = min(len(left), max(1, round(len(left) * 20 / len(rows))))
+        chosen = [left.pop(0)]
+        while len(chosen) < quota:
+            far = lambda x: 32 if x[2] is None else min((bin((x[2] ^ c[2]) & (1 << 64) - 1).count("1") for c in chosen if c[2] is not None), default=64)  # noqa: B023, E731
+            chosen.append(left.pop(max(range(len(left)), key=lambda k: (far(left[k]) + left[k][3], -k))))
+        want |= {(x[0], source, turn) for turn, x in enumerate(chosen)}
+    images = spark.createDataFrame(rows, "image_id long, source string, dhash long, priority int")
+    for width in (3, 1000):
+        assert {tuple(x) for x in splits.diverse_batch(images, 20, seed, width).collect()} == want
+
+
+def test_nearest_frame_and_segments_keep_repeats(spark):
+    points = spark.createDataFrame([(1, 2, 5.0), (1, 6, 7.0), (1, 6, 9.0), (2, 0, 1.0)], "track_id int, frame int, v double")
+    asked = spark.createDataFrame([(1, 4), (1, 0), (1, 6), (1, 99), (2, 7), (3, 1)], "track_id int, frame int")
+    got = {(r.track_id, r.frame): (r.at_frame, r.v) for r in joins.nearest_frame(points, asked).collect()}
+    assert got == {(1, 4): (2, 5.0), (1, 0): (2, 5.0), (1, 6): (6, 7.0), (1, 99): (6, 7.0), (2, 7): (0, 1.0)}
+    segments = spark.createDataFrame([(0, 1, 0, 9, [1.0]), (0, 0, 5, 9, [2.0])], "seq int, ord int, f0 int, f1 int, h array<double>")
+    at = spark.createDataFrame([(0, 1), (0, 6), (0, 6), (0, 99), (7, 1)], "seq int, frame int")
+    assert sorted((r.seq, r.frame, r.seg_ord) for r in joins.attach_segment(at, segments).na.fill(-1).collect()) == [(0, 1, 1), (0, 6, 0), (0, 6, 0), (0, 99, -1), (7, 1, -1)]
+
+
+def test_change_points_and_switches(spark):
+    def series(t, values):
+        return [(t, k, [float(v), 0.1 * (k % 3)]) for k, v in enumerate(values)]
+
+    rows = series(1, [0, 0.1, 0, 0.1, 9, 9.1, 9, 9.1]) + series(2, [1, 1.1, 0.9, 1, 1.1, 1, 0.9, 1]) + series(3, [1, 9]) + series(4, [0, 9, 0, 0.1, 0, 0, 9.1, 0.1, 0, 0])
+    d = spark.createDataFrame(rows, "track_id int, ord int, d array<double>")
+    got = {r.track_id: (r.split, r.changed) for r in teams.change_point(d).collect()}
+    assert got == {1: (4, True), 2: (None, False), 3: (None, False), 4: (None, False)}
+    kinds = {r.track_id: (r.kind, r.longest) for r in teams.switch_classes(d.withColumnRenamed("ord", "frame"), 2, separation=10.0).collect()}
+    assert kinds[1] == ("sustained", 4) and kinds[2][0] == "unimodal" and kinds[3][0] == "too_short" and kinds[4] == ("intermittent", 1)
+
+
+def test_possession_is_scored_by_what_can_be_judged(spark):
+    rows = [("PLAYER", 1, 5, 1, 2), ("PLAYER", 1, 5, 3, 1), ("PLAYER", 1, None, None, None), ("PLAYER", 1, 5, None, 1), ("NO_BALL", None, 5, 1, 1), ("NO_CONTROL", None, None, None, None), ("AMBIGUOUS", None, 5, 1, 1)]
+    df = spark.createDataFrame([(1, "observed", k % 2 == 0, k, *r) for k, r in enumerate(rows)], "window int, ball_state string, ball_present boolean, frame int, label string, gt_player long, assigned long, mapped long, mapped_before long")
+    whole = evaluate.possession_scores(df).where("by = 'all'").first().asDict()
+    want = {"frames": 7, "ambiguous": 1, "player": 4, "mappable": 2, "correct": 1, "wrong": 1, "unassigned": 1, "unmappable": 1, "no_control": 1, "false_no_control": 0, "no_ball": 1, "false_no_ball": 1}
+    assert {k: whole[k] for k in want} == want
+    assert {r.error: r.n for r in evaluate.possession_errors(df).collect()} == {"BALL_MISSING": 1, "UNASSIGNED_PLAYER": 1, "UNMAPPABLE": 1, "SHOULD_BE_UNKNOWN": 1}
+    assert {tuple(r) for r in evaluate.possession_changes(df, "frame").collect()} == {(0, "wrong", "correct"), (1, "correct", "wrong"), (3, "correct", "unmappable")}
+
+
 def test_mcnemar(spark):
     rows = spark.createDataFrame([(0, 0), (5, 5), (1, 9), (0, 12), (30, 10)], "b long, c long")
     from math import comb

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import decisions
+from trackloom.operators import decisions, temporal
 from trackloom.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -83,3 +83,16 @@ def test_latest_decisions_equal_batch(spark, stream, tmp_path):
     got = spark.read.parquet(str(tmp_path / "state" / "v=2"))
     want = decisions.effective_state(spark.createDataFrame(log, schema))
     assert {(r.box_id, r.value) for r in got.collect()} == {(r.box_id, r.value) for r in want.collect()}
+
+
+def test_ball_stream_equals_batch(spark, stream, tmp_path):
+    frames = [(s, f, f in (9, 20)) for f in range(30) for s in (0, 1)]
+    found = lambda s, f: [(x, 50.0, x + 8, 58.0, c) for x, c in ((5.0 * f + 7 * (f % 4), (5 + (f * 13 + s * 7) % 40) / 100), (400.0, 0.12)) if (f + s) % 5]
+    box = "x1: double, y1: double, x2: double, y2: double, conf: double"
+    data = [(s, f, T0 + dt.timedelta(seconds=f / 5), 0.2, cut, found(s, f)) for s, f, cut in frames]
+    got = drain(spark, jobs.select_ball_stream(stream(data, f"seq int, frame int, ts timestamp, dt double, cut boolean, cands array<struct<{box}>>")), "balls", tmp_path)
+    cands = spark.createDataFrame([(s, f, *c) for s, f, _ in frames for c in found(s, f)], "seq int, frame int, x1 double, y1 double, x2 double, y2 double, conf double")
+    batch = temporal.select_ball(cands, spark.createDataFrame([(s, f, f / 5, 0.2, cut) for s, f, cut in frames], "seq int, frame int, ts double, dt double, cut boolean"))
+    key = lambda df: sorted((r.seq, r.frame, r.state, r.x1, r.conf) for r in df.select("seq", "frame", "state", "x1", "conf").collect())
+    plain = key(got.na.fill(-1.0))
+    assert plain == key(batch.na.fill(-1.0)) and len({r[2] for r in plain}) == 3

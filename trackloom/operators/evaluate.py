@@ -199,3 +199,43 @@ def prevalence(answers: DataFrame, population: DataFrame, by: str) -> DataFrame:
     a = answers.groupBy(by).agg(F.count(F.lit(1)).alias("asked"), F.sum((F.col("answer") == "yes").cast("int")).alias("positives"), F.sum((F.col("answer") == "unsure").cast("int")).alias("unsure"))
     j = p.join(a, by, "left").na.fill(0, ["asked", "positives", "unsure"])
     return j.withColumn("low", _ratio(F.col("positives"), F.col("asked"))).withColumn("high", _ratio(F.col("positives") + F.col("unsure"), F.col("asked")))
+
+
+def _judged_possession(rows: DataFrame) -> DataFrame:
+    """rows with outcome (correct, wrong, unassigned, unmappable of PLAYER frames; false or none of frames where nobody has the ball) and the outcome of the earlier mapping."""
+    assigned, player = F.col("assigned").isNotNull(), F.col("label") == "PLAYER"
+    right = lambda c: F.when(F.coalesce(F.col(c) == F.col("gt_player"), F.lit(False)), "correct").otherwise("wrong")
+    nobody = F.when(F.col("label").isin("NO_CONTROL", "NO_BALL"), F.when(assigned, "false").otherwise("none"))
+    now = F.when(player & ~assigned, "unassigned").when(player & F.col("mapped").isNull(), "unmappable").when(player, right("mapped")).otherwise(nobody)
+    was = F.when(player & ~assigned, "unassigned").when(player, right("mapped_before"))
+    return rows.withColumn("outcome", now).withColumn("outcome_before", was)
+
+
+def possession_scores(rows: DataFrame, window: str = "window", state: str = "ball_state") -> DataFrame:
+    """Scores of who has the ball, per window, per state of the ball and over all (the other column null; by: window, state or all).
+
+    rows: label (PLAYER, NO_CONTROL, NO_BALL, AMBIGUOUS), gt_player, assigned (a track, null: nobody), mapped (its true player, null: none).
+    Ambiguous frames are counted and not judged.  mappable = correct + wrong.
+    """
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    label, outcome = F.col("label"), F.col("outcome")
+    player = [n(outcome == o).alias(o) for o in ("correct", "wrong", "unassigned", "unmappable")]
+    nobody = [x for k in ("NO_CONTROL", "NO_BALL") for x in (n(label == k).alias(k.lower()), n((label == k) & (outcome == "false")).alias(f"false_{k.lower()}"))]
+    found = _judged_possession(rows.withColumn("mapped_before", F.lit(None).cast("long"))).groupingSets([[window], [state], []], window, state).agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("frames"), n(label == "AMBIGUOUS").alias("ambiguous"), n(label == "PLAYER").alias("player"), n(outcome.isin("correct", "wrong")).alias("mappable"), *player, *nobody
+    )
+    by = F.when(F.col("g") == 1, "window").when(F.col("g") == 2, "state").otherwise("all")
+    return found.withColumn("by", by).drop("g")
+
+
+def possession_errors(rows: DataFrame) -> DataFrame:
+    """error, n: WRONG_PLAYER (BALL_MISSING where the frame has no ball), UNASSIGNED_PLAYER, UNMAPPABLE, and SHOULD_BE_UNKNOWN where nobody has it."""
+    o = F.col("outcome")
+    error = F.when(o == "unmappable", "UNMAPPABLE").when(o == "unassigned", "UNASSIGNED_PLAYER").when((o == "wrong") & F.col("ball_present"), "WRONG_PLAYER").when(o == "wrong", "BALL_MISSING").when(o == "false", "SHOULD_BE_UNKNOWN")
+    judged = _judged_possession(rows.withColumn("mapped_before", F.lit(None).cast("long")))
+    return judged.select(error.alias("error")).where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def possession_changes(rows: DataFrame, *keys: str) -> DataFrame:
+    """PLAYER frames whose outcome differs between two mappings of tracks to players (mapped_before, mapped): keys, outcome_before, outcome."""
+    return _judged_possession(rows).where("label = 'PLAYER' and outcome <> outcome_before").select(*keys, "outcome_before", "outcome")

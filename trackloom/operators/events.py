@@ -24,14 +24,18 @@ def _with_speed(points: DataFrame, keys: list[str], n: int) -> DataFrame:
     return rows.withColumn("mean_speed", F.when((F.count(F.lit(1)).over(last) == n) & (time > 0), F.sum("step").over(inner) / time)).withColumn("x0", F.first("x").over(last)).withColumn("y0", F.first("y").over(last)).drop("step")
 
 
-def nearest_latest(ball: DataFrame, players: DataFrame) -> DataFrame:
+def nearest_latest(ball: DataFrame, players: DataFrame, block: int = 64) -> DataFrame:
     """For each ball row the player nearest to it: track_id, team, distance (m).
 
-    A player stands where they were last seen, however long ago; ties: the smaller track_id.
+    A player stands where they were last seen, however long ago; ties: the smaller track_id.  Each stay is dealt to the blocks of
+    frames that it covers, up to the sequence's last ball row, so a ball row meets the stays of its own block only.
     """
-    spans = players.withColumn("until", F.lead("frame").over(Window.partitionBy("seq", "track_id").orderBy("frame")))
-    p = spans.select("seq", F.col("frame").alias("since"), "until", "track_id", "team", F.col("x").alias("px"), F.col("y").alias("py"))
-    both = ball.join(p, "seq").where("frame >= since and (until is null or frame < until)")
+    of = lambda c: F.floor(F.col(c) / block).cast("int")
+    stays = players.withColumn("until", F.lead("frame").over(Window.partitionBy("seq", "track_id").orderBy("frame")))
+    stays = stays.join(ball.groupBy("seq").agg(F.max("frame").alias("end")), "seq").where(F.col("frame") <= F.col("end"))
+    stays = stays.withColumn("end", F.least(F.col("end"), F.col("until") - 1)).where(F.col("frame") <= F.col("end"))
+    p = stays.select("seq", F.explode(F.sequence(of("frame"), of("end"))).alias("block"), F.col("frame").alias("since"), "end", "track_id", "team", F.col("x").alias("px"), F.col("y").alias("py"))
+    both = ball.withColumn("block", of("frame")).join(p, ["seq", "block"]).where(F.col("frame").between(F.col("since"), F.col("end")))
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
     best = both.groupBy("seq", "frame").agg(F.min_by(F.struct("track_id", "team", d.alias("distance")), F.struct(d, "track_id")).alias("p"))
     return ball.join(best, ["seq", "frame"], "left").select(*ball.columns, "p.track_id", "p.team", "p.distance")

@@ -41,21 +41,31 @@ def nearest_human(tracks: DataFrame, ball: DataFrame, max_px: float = 70.0, clas
 
 
 def attach_segment(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """points with the first segment (by load order ``ord``) of their sequence that covers the frame; seg_ord is null outside."""
-    named = segments.select("seq", F.col("ord").alias("seg_ord"), "f0", "f1", "h")
-    inside = points.join(named, (points["seq"] == named["seq"]) & points["frame"].between(named["f0"], named["f1"]), "left").drop(named["seq"])
-    key = [c for c in points.columns]
-    first = Window.partitionBy(*key).orderBy(F.asc_nulls_last("seg_ord"))
-    return inside.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "f0", "f1")
+    """points with the first segment (by load order ``ord``) of their sequence that covers the frame; seg_ord is null outside.
+
+    The segments of a sequence are one array, so each point is one row throughout and repeated points stay apart.
+    """
+    each = segments.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("seg_ord"), "f0", "f1", "h"))).alias("segments"))
+    first = F.get(F.filter("segments", lambda s: F.col("frame").between(s["f0"], s["f1"])), F.lit(0))
+    rows = points.join(each, "seq", "left").withColumn("first", first)
+    return rows.select(*points.columns, "first.seg_ord", "first.h")
 
 
 def nearest_frame(points: DataFrame, queries: DataFrame, by: str = "track_id") -> DataFrame:
-    """For each query (by, frame) the point of least distance in frames; ties: the earlier."""
-    p = points.withColumnRenamed("frame", "at_frame")
-    both = queries.join(p, by)
+    """For each query (by, frame) the point of least distance in frames; ties: the earlier.  Queries of a track without points have no row.
+
+    Two passes over points and queries together, one in each direction, carry the last point seen.  Of the points of one frame the least counts.
+    """
     rest = [c for c in points.columns if c not in (by, "frame")]
-    best = both.groupBy(by, "frame").agg(F.min_by(F.struct("at_frame", *rest), F.struct(F.abs(F.col("at_frame") - F.col("frame")), "at_frame")).alias("p"))
-    return best.select(by, "frame", "p.*")
+    point = F.struct(F.col("frame").alias("at_frame"), *rest)
+    known = points.groupBy(by, "frame").agg(F.min(point).alias("p"))
+    asked = queries.select(by, "frame").distinct().withColumn("asked", F.lit(True))
+    both = known.join(asked, [by, "frame"], "full_outer")
+    up, down = (Window.partitionBy(by).orderBy(o("frame")).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    rows = both.withColumn("before", F.last("p", ignorenulls=True).over(up)).withColumn("after", F.last("p", ignorenulls=True).over(down))
+    later = F.col("after.at_frame") - F.col("frame") < F.col("frame") - F.col("before.at_frame")
+    best = F.when(F.col("before").isNull() | later, F.col("after")).otherwise(F.col("before"))
+    return rows.where("asked").withColumn("p", best).where("p is not null").select(by, "frame", "p.*")
 
 
 def adjacent_pairs(boxes: DataFrame, min_iou: float = 0.4, cls: str = "cls") -> DataFrame:

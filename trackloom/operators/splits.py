@@ -6,9 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
+
 
 def assign_splits(sources: DataFrame, ratios: dict[str, float], seed: int, pins: DataFrame | None = None) -> DataFrame:
     """match, split: whole matches to splits, within each domain greedily to the split that lacks most of its share.
@@ -40,34 +42,59 @@ def assign_splits(sources: DataFrame, ratios: dict[str, float], seed: int, pins:
     return pinned.groupBy("domain").applyInPandas(run, f"match {kind}, split string")
 
 
-def diverse_batch(images: DataFrame, size: int, seed: int) -> DataFrame:
-    """image_id, source, turn: each source's share of ``size`` (by its number of images, one at least), picked farthest first by hash distance.
+def diverse_batch(images: DataFrame, size: int, seed: int, width: int = 1000) -> DataFrame:
+    """image_id, source, turn: each source's share of ``size`` (by its number of images, one at least), picked for priority and unlike hashes.
+
+    The first is the one of highest priority, then always the one of highest hash distance to its nearest pick plus priority (64 while no
+    pick has a hash, 32 for an image without one; ties: priority, then a seeded hash of the id).  A source within its share gives all its images.
 
-    The first is the one of highest priority, then always the one farthest from those picked (ties: priority, then a seeded hash).
+    A value only falls as picks are added.  So each round takes every source's ``width`` best images, which Spark finds before its shuffle,
+    and picks among them while the best is no worse than the last of them was: no other image could win.  The rest waits for the next round.
     """
     n = images.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     total = images.count()
-    quota = n.select("source", F.greatest(F.lit(1), F.least(F.col("n"), F.round(F.col("n") * size / max(1, total)))).cast("int").alias("quota"))
+    share = F.bround(F.col("n") * (min(size, total) / max(1, total))).cast("int")
+    quota = n.select("source", F.least(F.col("n"), F.greatest(F.lit(1), share)).cast("int").alias("quota"), "n")
+    keyed = images.select("image_id", "source", "dhash", F.col("priority").cast("double").alias("priority"), F.md5(F.concat_ws(":", "image_id", F.lit(seed))).alias("tie"))
+    rows = cut(keyed.join(quota, "source"))
+    kinds = [images.schema[c].dataType.simpleString() for c in ("image_id", "source")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        h = group["dhash"].to_numpy(np.int64).view(np.uint64)
-        tie = [hashlib.md5(f"{i}:{seed}".encode()).hexdigest() for i in group["image_id"]]
-        order = sorted(range(len(group)), key=lambda k: (-group["priority"].iloc[k], tie[k]))
-        rank = np.empty(len(group), np.int64)
-        rank[order] = np.arange(len(group))
-        far, picked = np.full(len(group), 65, np.int64), []
-        for _ in range(int(group["quota"].iloc[0])):
-            k = min((k for k in range(len(group)) if far[k] >= 0), key=lambda k: (-far[k], rank[k]), default=None)
-            if k is None:
+        g = group.sort_values(["value", "priority", "tie"], ascending=[False, False, True])
+        value, priority, tie = g["value"].to_numpy(float), g["priority"].to_numpy(float), g["tie"].to_numpy()
+        known, h = g["known"].to_numpy(bool), g["hash"].to_numpy(np.int64).view(np.uint64)
+        done, all_there = int(g["done"].iloc[0]), len(g) < width
+        bound = (-value[-1], -priority[-1], tie[-1])
+        left, picked = np.ones(len(g), bool), []
+        while done + len(picked) < int(g["quota"].iloc[0]) and left.any():
+            at = np.flatnonzero(left & (value == value[left].max()))
+            k = min(at, key=lambda i: (-priority[i], tie[i]))
+            if not all_there and (-value[k], -priority[k], tie[k]) > bound:
                 break
             picked.append(k)
-            far = np.where(far < 0, far, np.minimum(far, np.bitwise_count(h ^ h[k]).astype(np.int64)))
-            far[k] = -1
-        ids = group["image_id"].to_numpy()[picked]
-        return pd.DataFrame({"image_id": ids, "source": group["source"].iloc[0], "turn": np.arange(len(ids))})
-
-    kind = images.schema["source"].dataType.simpleString()
-    return images.join(quota, "source").select("image_id", "source", "dhash", "priority", "quota").groupBy("source").applyInPandas(run, f"image_id long, source {kind}, turn int")
+            left[k] = False
+            far = np.bitwise_count(h ^ h[k]).astype(float) if known[k] else np.full(len(g), 64.0)
+            value = np.minimum(value, priority + np.where(known, far, 32.0))
+        ids = g["image_id"].to_numpy()[picked]
+        return pd.DataFrame({"image_id": ids, "source": g["source"].iloc[0], "turn": done + np.arange(len(ids)), "pick": pd.array([int(h[i].astype(np.int64)) if known[i] else None for i in picked], "Int64")})
+
+    picked = None
+    while True:
+        if picked is None:
+            state = rows.withColumn("done", F.lit(0)).withColumn("value", F.col("priority") + 64.0)
+        else:
+            so_far = picked.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("done"), F.collect_list("pick").alias("picks"))
+            near = F.array_min(F.transform("picks", lambda p: F.bit_count(p.bitwiseXOR(F.col("dhash")))))
+            far = F.when(F.col("dhash").isNull(), 32).otherwise(F.coalesce(near, F.lit(64)))
+            open_ = rows.join(so_far.join(quota, "source").where("done < quota").select("source", "done", "picks"), "source")
+            state = open_.join(picked.select("source", "image_id"), ["source", "image_id"], "left_anti").withColumn("value", F.col("priority") + far)
+        best = Window.partitionBy("source").orderBy(F.desc("value"), F.desc("priority"), "tie")
+        top = state.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= width)
+        new = top.select("image_id", "source", F.coalesce("dhash", F.lit(0)).cast("long").alias("hash"), F.col("dhash").isNotNull().alias("known"), "priority", "tie", "quota", "done", "value").groupBy("source").applyInPandas(run, f"image_id {kinds[0]}, source {kinds[1]}, turn int, pick long")
+        picked = cut(new if picked is None else picked.union(new))
+        behind = picked.groupBy("source").agg(F.count(F.lit(1)).alias("done")).join(quota, "source").where("done < quota")
+        if not behind.limit(1).count():
+            return picked.select("image_id", "source", "turn")
 
 
 def pick_frames(features: DataFrame, interval: int = 30, burst_ratio: float = 2.5, blur_pct: float = 20.0, warm_up: int = 300, near: int = 6, last: int = 20) -> DataFrame:

@@ -17,6 +17,11 @@ def _so_far():
     return _seq().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _from_here():
+    """This frame and all later ones, latest first: the last value over it is the nearest one ahead."""
+    return Window.partitionBy("seq").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def cut_flags(frames: DataFrame, threshold: float = 30.0) -> DataFrame:
     """frames (seq, frame, sig: array) with cut: the mean absolute difference to the frame before is over the threshold (first: false)."""
     before = F.lag("sig").over(_seq())
@@ -42,18 +47,23 @@ def continuity_runs(breaks: DataFrame, lag: int = 8, need: int = 300) -> DataFra
     return found.select("seq", "first", "last", "length", (F.col("length") >= need).alias("long_enough"))
 
 
-def select_ball(cands: DataFrame, frames: DataFrame, accept: float = 0.25, floor: float = 0.10, max_gap: float = 0.6, gate: float = 60.0, growth: float = 40.0, width: float = 640.0) -> DataFrame:
+def select_ball(cands: DataFrame, frames: DataFrame, accept: float = 0.25, floor: float = 0.10, max_gap: float = 0.6, gate: float = 60.0, growth: float = 40.0, width: float = 640.0, look_ahead: bool = False) -> DataFrame:
     """seq, frame, state, box, conf: the ball of every frame, with where it comes from.
 
     The best candidate (confidence, then smaller x1) of accept or more is observed.  Else, up to max_gap seconds after the last
     anchor, a candidate of the floor or more within gate + growth * missed frames of the place that the last two anchors
     predict is recovered_low_conf: the nearest, then the most confident.  Recovered boxes are anchors too.  A cut forgets them.
-    Else the frame is unknown.  A fold over each stretch between cuts: what it keeps depends on what it recovered before.
+    With look_ahead, a candidate within the gate of the next frame's observed ball counts too, unless a cut begins that frame; each
+    candidate has the smaller of its two distances.  Else the frame is unknown.  A fold over each stretch between cuts: what it keeps depends on what it recovered before.
     """
     scale = width / 640.0
     near = cands.where(F.col("conf") >= floor).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("o"), "x1", "y1", "x2", "y2", "conf"))).alias("cands"))
     rows = frames.select(*KEY, "ts", "dt", "cut").join(near, list(KEY), "left").withColumn("part", F.sum(F.col("cut").cast("int")).over(_so_far()))
-    item = F.struct("frame", "ts", "dt", "cands")
+    if look_ahead:
+        top = F.get(F.filter("cands", lambda c: c["conf"] >= accept), F.lit(0))
+        seen_at = F.when(top.isNotNull() & ~F.col("cut"), F.struct(((top["x1"] + top["x2"]) / 2).alias("x"), ((top["y1"] + top["y2"]) / 2).alias("y")))
+        rows = rows.withColumn("next", F.lead(seen_at).over(_seq()))
+    item = F.struct("frame", "ts", "dt", "cands", *(["next"] if look_ahead else []))
     each = rows.groupBy("seq", "part").agg(F.array_sort(F.collect_list(item)).alias("frames"))
     point = "struct<t:double,x:double,y:double>"
     box = "struct<x1:double,y1:double,x2:double,y2:double,conf:double>"
@@ -68,9 +78,12 @@ def select_ball(cands: DataFrame, frames: DataFrame, accept: float = 0.25, floor
         px, py = b["x"] + F.coalesce((b["x"] - a["x"]) * move, F.lit(0.0)), b["y"] + F.coalesce((b["y"] - a["y"]) * move, F.lit(0.0))
         missed = F.greatest(F.lit(0.0), F.round(gap / f["dt"]) - 1)
         far = lambda c: F.sqrt(F.pow((c["x1"] + c["x2"]) / 2 - px, 2) + F.pow((c["y1"] + c["y2"]) / 2 - py, 2))
-        weak = F.filter(f["cands"], lambda c: (c["conf"] < accept) & (far(c) <= (gate + growth * missed) * scale))
-        ranked = F.array_min(F.transform(weak, lambda c: F.struct(far(c).alias("d"), (-c["conf"]).alias("o"), c["x1"].alias("x1"), c["y1"].alias("y1"), c["x2"].alias("x2"), c["y2"].alias("y2"), c["conf"].alias("conf"))))
-        again = F.when(b.isNotNull() & (gap <= max_gap + 1e-9), ranked)
+        by_past = lambda c: F.when(b.isNotNull() & (gap <= max_gap + 1e-9) & (far(c) <= (gate + growth * missed) * scale), far(c))
+        to_next = lambda c: F.sqrt(F.pow((c["x1"] + c["x2"]) / 2 - f["next"]["x"], 2) + F.pow((c["y1"] + c["y2"]) / 2 - f["next"]["y"], 2))
+        by_next = lambda c: F.when(to_next(c) <= gate * scale, to_next(c))
+        d = (lambda c: F.least(by_past(c), by_next(c))) if look_ahead else by_past
+        weak = F.filter(f["cands"], lambda c: (c["conf"] < accept) & d(c).isNotNull())
+        again = F.array_min(F.transform(weak, lambda c: F.struct(d(c).alias("d"), (-c["conf"]).alias("o"), c["x1"].alias("x1"), c["y1"].alias("y1"), c["x2"].alias("x2"), c["y2"].alias("y2"), c["conf"].alias("conf"))))
         take = lambda c: F.struct(*(c[n].alias(n) for n in (*BOX, "conf")))
         got = F.when(seen.isNotNull(), take(seen)).when(again.isNotNull(), take(again)).otherwise(F.lit(None).cast(box))
         state = F.when(seen.isNotNull(), "observed").when(again.isNotNull(), "recovered_low_conf").otherwise("unknown")
@@ -88,8 +101,7 @@ def interpolate_ball(sel: DataFrame, frames: DataFrame, max_gap: float = 0.4) ->
     stretch (from the left anchor to the frame before the right one) is over 0 and at most max_gap seconds.  conf stays null."""
     rows = sel.join(frames.select(*KEY, "ts", "dt", "cut"), list(KEY)).withColumn("cuts", F.sum(F.col("cut").cast("int")).over(_so_far()))
     anchor = F.when(F.col("state") != "unknown", F.struct("ts", "dt", "cuts", *BOX))
-    ahead = _seq().rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("left", F.last(anchor, ignorenulls=True).over(_so_far())).withColumn("right", F.first(anchor, ignorenulls=True).over(ahead))
+    rows = rows.withColumn("left", F.last(anchor, ignorenulls=True).over(_so_far())).withColumn("right", F.last(anchor, ignorenulls=True).over(_from_here()))
     span = F.col("right.ts") - F.col("left.ts")
     gap = span - F.col("right.dt")
     ok = (F.col("state") == "unknown") & (F.col("left.cuts") == F.col("right.cuts")) & (gap > 1e-9) & (gap <= max_gap + 1e-9)

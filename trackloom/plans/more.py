@@ -151,6 +151,11 @@ ORACLE_SQL = {
 SELECT seq, "window", a AS "first", b AS "last" FROM (SELECT *, lag(b) OVER (PARTITION BY seq ORDER BY "window") p FROM w) WHERE p IS NULL OR a > p""", "frames"),
     "uniform_frames": ad.with_adapters("SELECT seq, CAST(i AS INT) i, CAST(((2*i+1)*n) // 14 AS INT) frame FROM (SELECT seq, count(*) n FROM frames GROUP BY 1), range(7) t(i)", "frames"),
     "track_colour_medians": "SELECT track_id, i - 1 AS i, round(quantile_cont(CAST(embedding[i] AS DOUBLE), 0.5), 6) m FROM (SELECT vec_id // 20 track_id, embedding, unnest(range(1, 7)) i FROM embeddings WHERE vec_id % 20 < 9) GROUP BY 1, 2",
+    "colour_changes": """WITH o AS (SELECT vec_id // 20 t, embedding e, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id % 20) - 1 k, count(*) OVER (PARTITION BY vec_id // 20) n FROM embeddings), p AS (SELECT t, unnest(range(3, max(n) - 2)) s FROM o GROUP BY t HAVING max(n) >= 6),
+x AS (SELECT t, s, k, k >= s b, i, CAST(e[i] AS DOUBLE) v FROM o JOIN p USING (t), range(1, 7) r(i)), m AS (SELECT t, s, b, i, quantile_cont(v, 0.5) m FROM x GROUP BY ALL), d AS (SELECT t, s, b, k, sqrt(sum(pow(v - m, 2))) d FROM x JOIN m USING (t, s, b, i) GROUP BY ALL),
+w AS (SELECT t, s, (avg(d) FILTER (WHERE b) + avg(d) FILTER (WHERE NOT b)) / 2 w FROM d GROUP BY ALL), f AS (SELECT t, s, sqrt(sum(pow(v - u, 2))) f FROM (SELECT t, s, i, max(m) FILTER (WHERE b) v, max(m) FILTER (WHERE NOT b) u FROM m GROUP BY ALL) GROUP BY ALL),
+q AS (SELECT t, s, f / greatest(w, 1e-6) q FROM w JOIN f USING (t, s) QUALIFY row_number() OVER (PARTITION BY t ORDER BY f / greatest(w, 1e-6) DESC, s) = 1)
+SELECT a.t track_id, CAST(CASE WHEN q >= 1.5 THEN s END AS INT) split, round(q, 6) score, coalesce(q >= 1.5, false) changed FROM (SELECT DISTINCT t FROM o) a LEFT JOIN q USING (t)""",
     "odd_kits": ad.with_adapters("""WITH c AS (SELECT seq grp, det_id track_id, (x1*7) % 180 h, (y1*3) % 256 s FROM detections), v AS (SELECT * FROM c WHERE s > 60),
 t AS (SELECT grp, (floor(h/15)+0.5)*15 c FROM v GROUP BY grp, floor(h/15) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, floor(h/15)) <= 2), n AS (SELECT grp, count(*) n FROM v GROUP BY 1)
 SELECT grp, track_id, h FROM v JOIN n USING (grp) WHERE n >= 6 AND NOT EXISTS (SELECT 1 FROM t WHERE t.grp = v.grp AND least(abs(h - t.c), 180 - abs(h - t.c)) <= 22)""", "detections"),

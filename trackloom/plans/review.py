@@ -311,6 +311,7 @@ FROM (SELECT *, unnest(range(frame, coalesce(nf, frame + 1))) f FROM (SELECT *,
     "sprint_events": with_adapters(f"WITH {_OBS}, {_M}, {_SP.format(name='sp', n=10, m=9, j=8, k='seq, track_id', src='pm')} SELECT seq, frame, track_id, team, 'sprint' AS \"type\", round(mean_speed, 6) mean_speed FROM sp WHERE mean_speed > 2", "ball_candidates", "frames", "track_points"),
     "goal_events": with_adapters(f"WITH {_OBS}, {_M}, {_GOAL} SELECT seq, frame, 'goal' AS \"type\", side, CASE WHEN distance < 20 THEN track_id END track_id, CASE WHEN distance < 20 THEN team END team FROM nl", "ball_candidates", "frames", "track_points"),
     "pass_events": with_adapters(f"WITH {_OBS}, {_M}, {_PASS} SELECT seq, frame, \"type\", from_id, to_id, team, round(length, 6) length FROM ps", "ball_candidates", "frames", "track_points"),
+    "event_counts": with_adapters(f"""WITH {_OBS}, {_M}, {_SHOT.replace("nl AS", "nsh AS")}, {_GOAL.replace("nl AS", "ngo AS")}, {_PASS} SELECT seq, "type", count(*) n FROM (SELECT seq, 'shot' AS "type" FROM nsh UNION ALL SELECT seq, 'goal' FROM ngo UNION ALL SELECT seq, "type" FROM ps) GROUP BY 1, 2""", "ball_candidates", "frames", "track_points"),
     "exact_duplicates": "SELECT md5(text) sha, count(*) copies, count(DISTINCT source) collections, count(DISTINCT source) > 1 crosses FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "augmentation_copies": with_adapters("SELECT image_id, count(*) OVER (PARTITION BY stem) copies, row_number() OVER (PARTITION BY stem ORDER BY image_id) = 1 AS \"keep\" FROM images", "images"),
     "hash_neighbours": with_adapters("SELECT a.image_id a, b.image_id b, bit_count(xor(a.dhash, b.dhash)) distance FROM images a JOIN images b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 14", "images"),

@@ -132,6 +132,60 @@ def link_stream(stream: DataFrame, least: float = 0.2, ttl_seconds: float = 1.0)
     return stream.groupBy("seq").transformWithStateInPandas(_Links(least, ttl_seconds), "seq int, ts timestamp, det_id long, track_id long", "Append", "None")
 
 
+class _Ball(StatefulProcessor):
+    """The last two anchors of a sequence's ball (time in microseconds, so that gaps are exact); decides each frame from them and its candidates."""
+
+    def __init__(self, accept: float, floor: float, max_gap: float, gate: float, growth: float):
+        self.accept, self.floor, self.max_gap, self.gate, self.growth = accept, floor, max_gap, gate, growth
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("anchors", "at long, t0 long, x0 double, y0 double, t1 long, x1 double, y1 double")
+
+    def _again(self, a, b, now: int, dt: float, weak: list) -> tuple | None:
+        if b is None or not 0 < (now - b[0]) / 1e6 <= self.max_gap + 1e-9:
+            return None
+        move = (now - b[0]) / (b[0] - a[0]) if a is not None and b[0] > a[0] else 0.0
+        px, py = (b[i] + ((b[i] - a[i]) * move if a is not None else 0.0) for i in (1, 2))
+        reach = self.gate + self.growth * max(0, round((now - b[0]) / 1e6 / dt) - 1)
+        near = [(((c[1] + c[3]) / 2 - px) ** 2 + ((c[2] + c[4]) / 2 - py) ** 2, *c) for c in weak]
+        best = min(near, default=None)
+        return best[1:] if best is not None and best[0] ** 0.5 <= reach else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was = self.state.get() if self.state.exists() else (None,) * 7
+        seen, a, b = was[0], (tuple(was[1:4]) if was[1] is not None else None), (tuple(was[4:7]) if was[4] is not None else None)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("ts").itertuples():
+            now = r.ts.value // 1000
+            if seen is not None and now <= seen:
+                continue  # not after what was already decided
+            if r.cut:
+                a = b = None
+            cands = sorted((-c["conf"], c["x1"], c["y1"], c["x2"], c["y2"]) for c in (r.cands if r.cands is not None else ()) if c["conf"] >= self.floor)
+            state, got = ("observed", cands[0]) if cands and -cands[0][0] >= self.accept else ("recovered_low_conf", self._again(a, b, now, r.dt, cands))
+            if got is None:
+                state = "unknown"
+            else:
+                a, b = b, (now, (got[1] + got[3]) / 2, (got[2] + got[4]) / 2)
+            out.append((key[0], r.frame, r.ts, state, *(got[1:] if got else (None,) * 4), -got[0] if got else None))
+            seen = now
+        if seen is not None:
+            self.state.update((seen, *(a or (None,) * 3), *(b or (None,) * 3)))
+        yield pd.DataFrame(out, columns=["seq", "frame", "ts", "state", "x1", "y1", "x2", "y2", "conf"])
+
+    def close(self) -> None:
+        pass
+
+
+def select_ball_stream(stream: DataFrame, accept: float = 0.25, floor: float = 0.10, max_gap: float = 0.6, gate: float = 60.0, growth: float = 40.0) -> DataFrame:
+    """The ball of every frame of a stream (seq, frame, ts, dt, cut, cands: array of box and conf), by the rules of ``select_ball``; short gaps are not filled.
+
+    A frame is one row.  State is two anchors a sequence; a frame not after the last one decided is skipped.
+    """
+    box = ", ".join(f"{c} double" for c in ("x1", "y1", "x2", "y2", "conf"))
+    return stream.groupBy("seq").transformWithStateInPandas(_Ball(accept, floor, max_gap, gate, growth), f"seq int, frame int, ts timestamp, state string, {box}", "Append", "None")
+
+
 def latest_decisions(stream: DataFrame, table: str, checkpoint: str):
     """A streaming query that keeps the latest decision of each box in the Parquet folder ``table``: order is (recorded_utc, line_no).
 
