@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import pytest
@@ -259,6 +260,22 @@ def test_possession_is_scored_by_what_can_be_judged(spark):
     assert {tuple(r) for r in evaluate.possession_changes(df, "frame").collect()} == {(0, "wrong", "correct"), (1, "correct", "wrong"), (3, "correct", "unmappable")}
 
 
+def test_exact_intervals_equal_enumeration(spark):
+    rows = [(3, 30, 1232 // 10), (0, 10, 40), (10, 10, 40), (5, 12, 12), (3, 300, 1232), (4, 2, 9), (0, 0, 5), (None, 3, 9)]
+    got = evaluate.exact_intervals(spark.createDataFrame(rows, "k long, n long, population long")).collect()
+    for r in got:
+        if (r.k, r.n) in ((4, 2), (0, 0), (None, 3)):
+            assert (r.low, r.high, r.least, r.most) == (None,) * 4
+            continue
+        p = lambda m, ks: sum(math.comb(m, j) * math.comb(r.population - m, r.n - j) for j in ks) / math.comb(r.population, r.n)  # noqa: B023, E731
+        ok = [m for m in range(r.population + 1) if p(m, range(r.k, r.n + 1)) >= 0.025 and p(m, range(r.k + 1)) >= 0.025]
+        assert (r.least, r.most) == (min(ok), max(ok)), r
+        tail = lambda q, ks: sum(math.comb(r.n, j) * q**j * (1 - q) ** (r.n - j) for j in ks)  # noqa: B023, E731
+        assert r.low == 0 if r.k == 0 else tail(r.low, range(r.k, r.n + 1)) == pytest.approx(0.025, abs=1e-9)
+        assert r.high == 1 if r.k == r.n else tail(r.high, range(r.k + 1)) == pytest.approx(0.025, abs=1e-9)
+    assert next(r.least for r in got if r.n == 300) == 4
+
+
 def test_mcnemar(spark):
     rows = spark.createDataFrame([(0, 0), (5, 5), (1, 9), (0, 12), (30, 10)], "b long, c long")
     from math import comb

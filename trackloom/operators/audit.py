@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .joins import KEY, side
+from .running import running_sums
 
 
 def inventory(labels: DataFrame) -> DataFrame:
@@ -47,9 +48,9 @@ def cost_curve(cands: DataFrame, targets: list[float], images: int) -> DataFrame
     cands: conf, hit (1: confirmed).  Recall is of the confirmed ones; candidates of one confidence come together.
     """
     per = cands.groupBy("conf").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each confidence
-    total = F.sum("hits").over(Window.partitionBy(F.lit(0)))
-    rows = per.select("conf", F.sum("n").over(down).alias("proposals"), (F.sum("hits").over(down) / total).alias("recall"))
+    summed = running_sums(per.withColumn("all", F.lit(0)), ["all"], [F.desc("conf")], {"proposals": "n", "found": "hits"})
+    total = F.broadcast(per.agg(F.sum("hits").alias("total")))  # one row
+    rows = summed.join(total, F.lit(True)).select("conf", "proposals", (F.col("found") / F.col("total")).alias("recall"))
     each = rows.withColumn("target", F.explode(F.filter(F.array(*(F.lit(float(t)) for t in targets)), lambda t: t <= F.col("recall") + 1e-12)))
     best = each.groupBy("target").agg(F.max_by(F.struct("conf", "proposals", "recall"), "conf").alias("b"))
     return best.select("target", F.col("b.conf").alias("threshold"), (F.col("b.proposals") / images).alias("per_image"), F.col("b.recall").alias("recall"))

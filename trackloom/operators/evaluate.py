@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .joins import BOX, KEY
 from .matching import match_by_confidence, match_one_to_one
+from .running import running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -62,19 +65,20 @@ def average_precision(gt: DataFrame, preds: DataFrame, ious: list[float]) -> Dat
     Predictions in the order of confidence, then id.  A class without truth has no row.
     """
     n = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    out = None
+    rows = None
     for t in ious:
         hit = match_by_confidence(gt, preds, t).select("p_det_id", F.col("g_det_id").isNotNull().cast("int").alias("tp"))
-        rows = preds.select("cls", "conf", F.col("det_id").alias("p_det_id")).join(hit, "p_det_id").join(n, "cls")
-        w = Window.partitionBy("cls").orderBy(F.desc("conf"), "p_det_id").rowsBetween(Window.unboundedPreceding, 0)
-        curve = rows.select("cls", (F.sum("tp").over(w) / F.col("n")).alias("r"), (F.sum("tp").over(w) / F.count(F.lit(1)).over(w)).alias("p"))
-        # a recall level is reached by the points at or beyond it: each point counts at its own level, and levels take the best of later ones
-        level = curve.groupBy("cls", F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("p").alias("p"))
-        levels = n.select("cls", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("level")).join(level, ["cls", "level"], "left")
-        best = F.max("p").over(Window.partitionBy("cls").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
-        ap = levels.withColumn("best", F.coalesce(best, F.lit(0.0))).groupBy("cls").agg(F.avg("best").alias("ap")).select("cls", F.lit(float(t)).alias("iou"), "ap")
-        out = ap if out is None else out.union(ap)
-    return out
+        one = preds.select(F.lit(float(t)).alias("iou"), "cls", "conf", F.col("det_id").alias("p_det_id"), F.lit(1).alias("one")).join(hit, "p_det_id").select("iou", "cls", "conf", "p_det_id", "tp", "one")
+        rows = one if rows is None else rows.union(one)
+    key = ["iou", "cls"]
+    summed = running_sums(rows, key, [F.desc("conf"), F.asc("p_det_id")], {"hits": "tp", "seen": "one"}).join(n, "cls")
+    curve = summed.select(*key, (F.col("hits") / F.col("n")).alias("r"), (F.col("hits") / F.col("seen")).alias("p"))
+    # a recall level is reached by the points at or beyond it: each point counts at its own level, and levels take the best of later ones
+    level = curve.groupBy(*key, F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("p").alias("p"))
+    asked = n.select("cls", F.explode(F.array(*(F.lit(float(t)) for t in ious))).alias("iou")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("level"))
+    best = F.max("p").over(Window.partitionBy(*key).orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+    levels = asked.join(level, [*key, "level"], "left").withColumn("best", F.coalesce(best, F.lit(0.0)))
+    return levels.groupBy("cls", "iou").agg(F.avg("best").alias("ap"))
 
 
 def mcnemar(b: Column, c: Column) -> Column:
@@ -148,6 +152,65 @@ def describe(df: DataFrame, value: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(x)).alias(k) for k, x in q.items()), *(F.sum((F.col(value) <= x).cast("int")).alias(f"le{x}") for x in (5, 8, 12)))
 
 
+def _bisected(ok, low, high, whole: bool):
+    """The least value (integer where whole) in [low, high] from which on ok holds."""
+    for _ in range(200):
+        if (high - low <= 1) if whole else (high - low < 1e-13):
+            break
+        mid = (low + high) // 2 if whole else (low + high) / 2
+        low, high = (low, mid) if ok(mid) else (mid, high)
+    return low if ok(low) else high
+
+
+def _binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of n draws."""
+    if k <= 0 or p >= 1:
+        return 1.0
+    if p <= 0:
+        return 0.0
+    at = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+    return math.fsum(math.exp(at(j)) for j in range(k, n + 1))
+
+
+def _draws_tail(k: int, n: int, positives: int, population: int) -> float:
+    """P(X >= k) of n draws without putting back."""
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    first, last = max(k, n - (population - positives), 0), min(n, positives)
+    if first > last:
+        return 0.0
+    if k <= max(0, n - (population - positives)):
+        return 1.0
+    return math.fsum(math.exp(choose(positives, j) + choose(population - positives, n - j) - choose(population, n)) for j in range(first, last + 1))
+
+
+def exact_intervals(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """counts (k of n asked, of a population) with low and high of the share (binomial, both tails alpha / 2) and least and most positives in the population.
+
+    The second pair is for draws without putting back: the positives under which k or more, or k or fewer, have at least alpha / 2.  Null where
+    not 0 <= k <= n <= population or n is 0.  A row is a stratum that people were asked about: its work grows with n.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, n, size in zip(b["k"], b["n"], b["population"]):
+                if any(pd.isna(v) for v in (k, n, size)) or not 0 <= k <= n <= size or n == 0:
+                    out.append((None,) * 4)
+                    continue
+                k, n, size = int(k), int(n), int(size)
+                low = 0.0 if k == 0 else _bisected(lambda p: _binomial_tail(k, n, p) >= alpha / 2, 0.0, 1.0, False)
+                high = 1.0 if k == n else _bisected(lambda p: 1 - _binomial_tail(k + 1, n, p) < alpha / 2, 0.0, 1.0, False)
+                least = _bisected(lambda m: _draws_tail(k, n, m, size) >= alpha / 2, 0, size, True)
+                # k or fewer positives are n - k or more of the others
+                most = size - _bisected(lambda m: _draws_tail(n - k, n, m, size) >= alpha / 2, 0, size, True)
+                out.append((low, high, least, most))
+            ends = pd.DataFrame(out, columns=["low", "high", "least", "most"], index=b.index)
+            yield pd.concat([b, ends.astype({"least": "Int64", "most": "Int64"})], axis=1)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema)
+    return counts.mapInPandas(run, f"{fields}, low double, high double, least long, most long")
+
+
 def attribute_stability(tracks: DataFrame, *attributes: str) -> DataFrame:
     """Per track: span in frames, points, and how many values each attribute takes."""
     return tracks.groupBy("seq", "track_id").agg((F.max("frame") - F.min("frame") + 1).alias("span"), F.count(F.lit(1)).alias("points"), *(F.countDistinct(a).alias(f"n_{a}") for a in attributes))

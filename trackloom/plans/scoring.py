@@ -48,7 +48,15 @@ def kit_switches(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("track_id", "n", F.round("minority", 6).alias("minority"), F.round("separation", 6).alias("separation"), "longest", "kind")
 
 
-QUERIES = {f.__name__: f for f in (possession_scores, possession_errors, possession_changes, rescued_ball, kit_switches)}
+def exact_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    documents = ad.table(spark, sf, "documents").select("doc_id", "source")
+    population = documents.groupBy("source").agg(F.count(F.lit(1)).alias("population"))
+    asked = ad.table(spark, sf, "labels").where("doc_id % 7 = 0").join(documents, "doc_id").groupBy("source").agg(F.sum(F.col("toxic").cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
+    found = evaluate.exact_intervals(population.join(asked, "source"))
+    return found.select("source", "k", "n", "population", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "least", "most")
+
+
+QUERIES = {f.__name__: f for f in (possession_scores, possession_errors, possession_changes, rescued_ball, kit_switches, exact_intervals)}
 
 _ANSWERS = f"""{_POSS}, ob AS (SELECT DISTINCT seq, frame FROM ball_candidates WHERE conf >= 0.25),
 an AS (SELECT p.seq, p.frame, p.seq * 100 + p.frame // 12 AS "window", CASE WHEN ob.seq IS NULL THEN 'unknown' ELSE 'observed' END ball_state, ob.seq IS NOT NULL ball_present, p.possessor_id assigned,
