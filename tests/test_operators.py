@@ -276,6 +276,31 @@ def test_exact_intervals_equal_enumeration(spark):
     assert next(r.least for r in got if r.n == 300) == 4
 
 
+def test_export_conditions_find_what_was_not_decided(spark):
+    box = (0.0, 0.0, 4.0, 8.0)
+    ledger = spark.createDataFrame([(f"b{k}", k % 2, k, f"i{k % 3}", "player", *box) for k in range(8)], "box_id string, split int, id long, image string, cls string, x1 double, y1 double, x2 double, y2 double")
+    state = spark.createDataFrame([("b1", "FALSE_POSITIVE", "remove"), ("b3", "referee", "keep"), ("b4", "referee", "keep")], "box_id string, value string, action string")
+    gone = spark.createDataFrame([("i2",)], "image string")
+    balls = spark.createDataFrame([("b4", "DRAW_BALL_BOX", 1.0, 1.0, 2.0, 2.0), ("b6", "REMOVE_ONLY", *box)], "box_id string, action string, x1 double, y1 double, x2 double, y2 double")
+    repairs = spark.createDataFrame([("b7", "goalkeeper", 9.0, 0.0, 12.0, 8.0), ("b1", "goalkeeper", *box)], "box_id string, cls string, x1 double, y1 double, x2 double, y2 double")
+    added = spark.createDataFrame([("n2", 0, "i0", "player", *box, None), ("n1", 0, "i0", "player", *box, None), ("n3", 1, "i2", "player", *box, None)], "box_id string, split int, image string, cls string, x1 double, y1 double, x2 double, y2 double, flagged_utc string")
+    out = decisions.apply_decisions(ledger, state, gone, balls, repairs, added)
+    got = {r.box_id: (r.outcome, r.id, r.cls, r.x1) for r in out.collect()}
+    assert got == {
+        "b0": ("kept", 0, "player", 0.0), "b1": ("removed", None, "player", 0.0), "b2": ("excluded", None, "player", 0.0), "b3": ("changed", 3, "referee", 0.0), "b4": ("ball_fix", 4, "ball", 1.0),
+        "b5": ("excluded", None, "player", 0.0), "b6": ("removed", None, "player", 0.0), "b7": ("repaired", 7, "goalkeeper", 9.0), "n1": ("added", 7, "player", 0.0), "n2": ("added", 8, "player", 0.0),
+    }
+    failing = lambda df: {r.condition for r in decisions.export_conditions(ledger, df, state, gone, balls).collect() if not r.passed}
+    assert failing(out) == set()
+    assert failing(out.withColumn("x1", F.col("x1") + F.when(F.col("box_id") == "b0", 1).otherwise(0))) == {"geometry_moves_by_repair_only"}
+    assert failing(out.where("box_id <> 'b3'")) == {"geometry_moves_by_repair_only", "every_source_box_has_an_outcome"}
+    assert failing(out.withColumn("outcome", F.expr("if(box_id = 'b0', 'removed', outcome)"))) == {"removals_are_decided"}
+    assert failing(out.withColumn("cls", F.expr("if(box_id = 'b0', 'ball', cls)"))) == {"new_balls_are_approved"}
+    assert failing(out.withColumn("id", F.expr("if(box_id = 'n2', 7, id)"))) == {"ids_are_unique"}
+    assert failing(out.withColumn("id", F.expr("if(box_id = 'b0', 99, id)"))) == {"ids_are_kept"}
+    assert failing(out.withColumn("image", F.expr("if(box_id = 'b0', 'i2', image)"))) == {"excluded_images_are_absent"}
+
+
 def test_mcnemar(spark):
     rows = spark.createDataFrame([(0, 0), (5, 5), (1, 9), (0, 12), (30, 10)], "b long, c long")
     from math import comb

@@ -77,3 +77,57 @@ def export_plan(ledger: DataFrame, state: DataFrame, repairs: DataFrame) -> Data
     rows = ledger.select("box_id", "cls").join(state.select("box_id", "value", "action"), "box_id", "left").join(repairs.select("box_id", F.lit(True).alias("repair")).distinct(), "box_id", "left")
     plan = F.when(F.col("action") == "remove", "removed").when(F.col("repair"), "repaired").when((F.col("action") == "keep") & (F.col("value") != F.col("cls")), "changed").otherwise("kept")
     return rows.select("box_id", plan.alias("plan"), F.when(plan == "changed", F.col("value")).otherwise(F.col("cls")).alias("cls"))
+
+
+def apply_decisions(ledger: DataFrame, state: DataFrame, excluded: DataFrame, balls: DataFrame, repairs: DataFrame, added: DataFrame) -> DataFrame:
+    """The exported boxes: split, id, image, cls, box, outcome, box_id (outcome also names what is left out, with a null id).
+
+    ledger: box_id, split, id, image, cls, box.  excluded: image.  balls: box_id, action (REMOVE_ONLY, RECLASSIFY_TO_BALL, DRAW_BALL_BOX), box.
+    repairs: box_id, cls, box.  added: box_id, split, image, cls, box, flagged_utc.
+    Precedence: excluded, removed by its decision, ball case (removed or ball_fix), repaired, changed, kept.  Repaired boxes and ball cases keep their id.
+    Added boxes of images that stay get ids above their split's largest, in order of (image, flagged_utc, box_id): a rerun gives the same.
+    A split's added boxes are what people drew, so numbering them by split is a small window.
+    """
+    box = ("x1", "y1", "x2", "y2")
+    of = lambda df, name, *more: df.select("box_id", F.struct(*box, *more).alias(name))
+    rows = ledger.join(state.select("box_id", "value", "action"), "box_id", "left").join(excluded.select("image", F.lit(True).alias("gone")).distinct(), "image", "left")
+    rows = rows.join(of(balls, "ball", "action"), "box_id", "left").join(of(repairs, "repair", "cls"), "box_id", "left")
+    case = F.when(F.col("ball.action") == "REMOVE_ONLY", "removed").otherwise("ball_fix")
+    changed = (F.col("action") == "keep") & (F.col("value") != F.col("cls"))
+    outcome = F.when(F.col("gone"), "excluded").when(F.col("action") == "remove", "removed").when(F.col("ball").isNotNull(), case).when(F.col("repair").isNotNull(), "repaired").when(changed, "changed").otherwise("kept")
+    rows = rows.withColumn("outcome", outcome)
+    is_ = lambda o: F.col("outcome") == o
+    drawn = is_("ball_fix") & (F.col("ball.action") == "DRAW_BALL_BOX")
+    placed = [F.when(is_("repaired"), F.col(f"repair.{c}")).when(drawn, F.col(f"ball.{c}")).otherwise(F.col(c)).alias(c) for c in box]
+    cls = F.when(is_("ball_fix"), "ball").when(is_("repaired"), F.col("repair.cls")).when(is_("changed"), F.col("value")).otherwise(F.col("cls"))
+    old = rows.select("split", F.when(~F.col("outcome").isin("excluded", "removed"), F.col("id")).alias("id"), "image", cls.alias("cls"), *placed, "outcome", "box_id")
+    top = ledger.groupBy("split").agg(F.max("id").alias("top"))
+    turn = F.row_number().over(Window.partitionBy("split").orderBy("image", F.coalesce(F.col("flagged_utc").cast("string"), F.lit("")), "box_id"))
+    new = added.join(excluded.select("image"), "image", "left_anti").withColumn("turn", turn).join(top, "split", "left")
+    return old.union(new.select("split", (F.coalesce("top", F.lit(0)) + F.col("turn")).alias("id"), "image", "cls", *box, F.lit("added").alias("outcome"), "box_id"))
+
+
+def export_conditions(ledger: DataFrame, exported: DataFrame, state: DataFrame, excluded: DataFrame, balls: DataFrame) -> DataFrame:
+    """Named conditions of an export with how many boxes fail them, and passed; each is a count over joins of box ids."""
+    out = exported.where("id is not null")
+    old = out.where("outcome <> 'added'")
+    key = lambda df, name: df.select("box_id", F.struct(*df.columns).alias(name))
+    both = key(ledger, "a").join(key(exported.where("outcome <> 'added'"), "b"), "box_id", "full_outer").join(state.select("box_id", "action"), "box_id", "left").join(balls.select("box_id", F.col("action").alias("case")), "box_id", "left")
+    o = F.col("b.outcome")
+    moved = ~(F.struct(*(F.col(f"a.{c}") for c in ("x1", "y1", "x2", "y2"))).eqNullSafe(F.struct(*(F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")))))
+    failing = {
+        "geometry_moves_by_repair_only": moved & ~(o.eqNullSafe("repaired") | (o.eqNullSafe("ball_fix") & F.col("case").eqNullSafe("DRAW_BALL_BOX"))),
+        "class_changes_by_decision_only": o.eqNullSafe("changed") & F.col("action").isNull(),
+        "removals_are_decided": o.eqNullSafe("removed") & ~(F.col("action").eqNullSafe("remove") | F.col("case").eqNullSafe("REMOVE_ONLY")),
+        "new_balls_are_approved": (F.col("b.cls") == "ball") & (F.col("a.cls") != "ball") & F.col("b.id").isNotNull() & F.col("case").isNull() & ~o.isin("changed", "repaired"),
+        "every_source_box_has_an_outcome": F.col("a").isNull() | F.col("b").isNull(),
+    }
+    counts = both.agg(*(F.count(F.when(c, 1)).alias(n) for n, c in failing.items()))
+    each = [counts.select(F.lit(n).alias("condition"), F.col(n).alias("failing")) for n in failing]
+    each.append(out.join(excluded.select("image").distinct(), "image", "left_semi").agg(F.lit("excluded_images_are_absent").alias("condition"), F.count(F.lit(1)).alias("failing")))
+    each.append(out.groupBy("split", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").agg(F.lit("ids_are_unique").alias("condition"), F.count(F.lit(1)).alias("failing")))
+    each.append(old.join(ledger.select("box_id", F.col("id").alias("was")), "box_id").agg(F.lit("ids_are_kept").alias("condition"), F.count(F.when(F.col("id") != F.col("was"), 1)).alias("failing")))
+    rows = each[0]
+    for e in each[1:]:
+        rows = rows.union(e)
+    return rows.withColumn("passed", F.col("failing") == 0)

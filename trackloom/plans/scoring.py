@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, teams, temporal
+from ..operators import decisions, evaluate, teams, temporal
 from . import adapters as ad
 from .adapters import with_adapters
 from .more import _descriptors
 from .play import _POSS, possession
-from .review import _observed
+from .review import _EFF, _observed
 
 DIMS = 6
 
@@ -56,7 +56,27 @@ def exact_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", "k", "n", "population", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "least", "most")
 
 
-QUERIES = {f.__name__: f for f in (possession_scores, possession_errors, possession_changes, rescued_ball, kit_switches, exact_intervals)}
+def _export(spark, sf):
+    """A ledger with its decisions, left-out images, ball cases, repairs and added boxes, made from the detections."""
+    d = ad.detections(spark, sf).withColumn("box_id", F.concat(F.lit("box"), F.col("det_id").cast("string"))).withColumn("split", F.expr("CAST(seq % 3 AS INT)")).withColumn("image", F.concat_ws("-", "seq", "frame"))
+    box = ["x1", "y1", "x2", "y2"]
+    balls = d.where("det_id % 29 = 0").selectExpr("box_id", "CASE det_id % 3 WHEN 0 THEN 'REMOVE_ONLY' WHEN 1 THEN 'RECLASSIFY_TO_BALL' ELSE 'DRAW_BALL_BOX' END action", "x1 + 2 AS x1", "y1", "x2 - 2 AS x2", "y2")
+    repairs = d.where("det_id % 19 = 0").selectExpr("box_id", "'player' cls", "x1 + 1 AS x1", "y1", "x2", "y2 + 1 AS y2")
+    added = d.where("det_id % 53 = 0").selectExpr("concat('new', det_id) box_id", "split", "image", "'referee' cls", "x1 + 9 AS x1", "y1", "x2 + 9 AS x2", "y2", "CAST(NULL AS STRING) flagged_utc")
+    ledger = d.select("box_id", "split", F.col("det_id").alias("id"), "image", "cls", *box)
+    return ledger, decisions.effective_state(ad.decisions(spark, sf)), d.where("frame % 23 = 0").select("image").distinct(), balls, repairs, added
+
+
+def exported_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.apply_decisions(*_export(spark, sf))
+
+
+def export_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    ledger, state, excluded, balls, repairs, added = _export(spark, sf)
+    return decisions.export_conditions(ledger, decisions.apply_decisions(ledger, state, excluded, balls, repairs, added), state, excluded, balls)
+
+
+QUERIES = {f.__name__: f for f in (possession_scores, possession_errors, possession_changes, rescued_ball, kit_switches, exact_intervals, exported_boxes, export_conditions)}
 
 _ANSWERS = f"""{_POSS}, ob AS (SELECT DISTINCT seq, frame FROM ball_candidates WHERE conf >= 0.25),
 an AS (SELECT p.seq, p.frame, p.seq * 100 + p.frame // 12 AS "window", CASE WHEN ob.seq IS NULL THEN 'unknown' ELSE 'observed' END ball_state, ob.seq IS NOT NULL ball_present, p.possessor_id assigned,
@@ -98,4 +118,9 @@ ORACLE_SQL = {
     "possession_errors": with_adapters(f"""WITH {_ANSWERS} SELECT error, count(*) n FROM (SELECT CASE o WHEN 'unmappable' THEN 'UNMAPPABLE' WHEN 'unassigned' THEN 'UNASSIGNED_PLAYER' WHEN 'wrong' THEN CASE WHEN ball_present THEN 'WRONG_PLAYER' ELSE 'BALL_MISSING' END WHEN 'false' THEN 'SHOULD_BE_UNKNOWN' END error FROM ou) WHERE error IS NOT NULL GROUP BY 1""", "track_points", "ball_candidates", "frames"),
     "possession_changes": with_adapters(f"""WITH {_ANSWERS} SELECT seq, frame, ob4 outcome_before, o outcome FROM ou WHERE "label" = 'PLAYER' AND o <> ob4""", "track_points", "ball_candidates", "frames"),
     "kit_switches": _switch_sql(),
+    "exported_boxes": with_adapters(f"""WITH {_EFF}, d AS (SELECT *, 'box' || CAST(det_id AS VARCHAR) box_id, CAST(seq % 3 AS INT) split, CAST(seq AS VARCHAR) || '-' || CAST(frame AS VARCHAR) image FROM detections),
+p AS (SELECT d.*, e."value" v, CASE WHEN frame % 23 = 0 THEN 'excluded' WHEN "action" = 'remove' OR (det_id % 29 = 0 AND det_id % 3 = 0) THEN 'removed' WHEN det_id % 29 = 0 THEN 'ball_fix' WHEN det_id % 19 = 0 THEN 'repaired' WHEN "action" = 'keep' AND e."value" <> cls THEN 'changed' ELSE 'kept' END outcome, det_id % 3 = 2 drawn FROM d LEFT JOIN e USING (box_id))
+SELECT split, CASE WHEN outcome NOT IN ('excluded', 'removed') THEN det_id END id, image, CASE outcome WHEN 'ball_fix' THEN 'ball' WHEN 'repaired' THEN 'player' WHEN 'changed' THEN v ELSE cls END cls, x1 + CASE WHEN outcome = 'repaired' THEN 1 WHEN outcome = 'ball_fix' AND drawn THEN 2 ELSE 0 END x1, y1,
+ x2 - CASE WHEN outcome = 'ball_fix' AND drawn THEN 2 ELSE 0 END x2, y2 + CASE WHEN outcome = 'repaired' THEN 1 ELSE 0 END y2, outcome, box_id FROM p
+UNION ALL SELECT split, m.top + row_number() OVER (PARTITION BY split ORDER BY image, 'new' || CAST(det_id AS VARCHAR)), image, 'referee', x1 + 9, y1, x2 + 9, y2, 'added', 'new' || CAST(det_id AS VARCHAR) FROM d JOIN (SELECT split, max(det_id) top FROM d GROUP BY 1) m USING (split) WHERE det_id % 53 = 0 AND frame % 23 <> 0""", "decisions", "detections"),
 }
