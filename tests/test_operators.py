@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
-from trackloom.operators import decisions, dupes, evaluate, events, filters, graph, joins, kinematics, matching, splits, teams, temporal
+from trackloom.operators import audit, decisions, dupes, evaluate, events, filters, graph, joins, kinematics, matching, splits, teams, temporal
 
 BOX = "seq int, frame int, det_id long, x1 double, y1 double, x2 double, y2 double, cls string, conf double"
 
@@ -78,9 +78,58 @@ def test_hamming_pairs_equal_brute_force(spark):
             h[i] ^= 1 << r.randrange(64)
     signed = [x - (1 << 64) if x >> 63 else x for x in h]
     df = spark.createDataFrame(list(enumerate(signed)), "image_id long, dhash long")
-    for d in (0, 8, 10):
-        got = sorted((x.a, x.b, x.distance) for x in joins.hamming_pairs(df, d).collect())
-        assert got == sorted((i, j, bin(h[i] ^ h[j]).count("1")) for i, j in itertools.combinations(range(150), 2) if bin(h[i] ^ h[j]).count("1") <= d)
+    first = {}
+    for i, x in enumerate(h):
+        first.setdefault(x, i)
+    reps = sorted(first.values())
+    for d in (0, 8, 10, 14):
+        want = [(i, j, bin(h[i] ^ h[j]).count("1")) for i, j in itertools.combinations(reps, 2) if bin(h[i] ^ h[j]).count("1") <= d] + [(first[x], i, 0) for i, x in enumerate(h) if first[x] != i]
+        assert sorted((x.a, x.b, x.distance) for x in joins.hamming_pairs(df, d).collect()) == sorted(want)
+        for bands in (2, 4, 7, 16):
+            near = sorted((x.dhash, x.other) for x in joins.near_hashes(df, df, d, bands=bands).where("dhash < other").collect()) if d < 14 or bands > 2 else None
+            assert near is None or near == sorted({tuple(sorted((signed[i], signed[j]))) for i, j in itertools.combinations(reps, 2) if bin(h[i] ^ h[j]).count("1") <= d})
+
+
+def test_hamming_candidates_are_few():
+    for n in (1_200, 100_000, 10_000_000):
+        bands = joins._bands(8, joins.choose_bands(8, n, n))
+        assert sum(joins._flips(b, m) / 2**b for _, b, m in bands) < 0.01
+    assert joins._bands(8, 4) == [(0, 16, 2), (16, 16, 1), (32, 16, 1), (48, 16, 1)]
+    assert joins._bands(0, 4) == [(0, 16, 0)]
+
+
+def test_equal_hashes_are_a_class(spark):
+    df = spark.createDataFrame([(i, 5 if i else None) for i in range(60)] + [(99, 4)], "image_id long, dhash long")
+    got = joins.hamming_pairs(df, 8).collect()
+    assert len(got) == 59 and {(r.a, r.b) for r in got if r.distance} == {(1, 99)}
+
+
+def test_near_duplicate_verdicts_of_classes(spark):
+    flat = [float(i % 7) for i in range(64)]
+    near = [x + (0.01 if i == 3 else 0.0) for i, x in enumerate(flat)]
+    other = [float((i * 5) % 11) for i in range(64)]
+    rows = [(3, 9, flat), (1, 9, flat), (2, 9, near), (7, 9, other), (8, 9, flat), (4, None, flat)]
+    got = {(r.a, r.b): r.verdict for r in dupes.near_duplicates(spark.createDataFrame(rows, "image_id long, dhash long, sig array<double>"), 8, 0.2).collect()}
+    assert got == {(1, 3): "EXACT", (1, 8): "EXACT", (1, 2): "NEAR_IDENTICAL", (1, 7): "DISTINCT", (2, 7): "DISTINCT"}
+
+
+def test_group_similarity_by_tiles(spark):
+    r = random.Random(9)
+    rows = [(i, i % 2, [r.random() for _ in range(5)]) for i in range(23)] + [(100, 7, [1.0] * 5), (101, 8, [0.5] * 5), (102, 8, [0.1, 0.2, 0.3, 0.4, 0.9])]
+    df = spark.createDataFrame(rows, "image_id long, g int, sig array<double>")
+    a, b = ({r.g: (r.pairs, round(r.median, 9), round(r.p90, 9), r.alike) for r in dupes.group_similarity(df, "g", tile=t).collect()} for t in (3, 1000))
+    assert a == b and a[0][0] == 66 and a[8] == (1, 0.0, 0.0, 0) and 7 not in a
+    (big,) = [r for r in dupes.group_similarity(df, "g", most=11).collect() if r.g == 0]
+    assert big.pairs == 66 and big.median is None
+
+
+def test_leakage_finds_every_orientation(spark):
+    r = random.Random(4)
+    sig = [r.random() for _ in range(64)]
+    held = spark.createDataFrame([(1, sig, "val")], "image_id long, sig array<double>, split string")
+    turned = audit.oriented(held.select("image_id", "sig"), 8).select((10 + F.col("turn")).cast("long").alias("image_id"), "sig")
+    noise = spark.createDataFrame([(50, [r.random() for _ in range(64)])], "image_id long, sig array<double>")
+    assert sorted(x.image_id for x in audit.leakage(turned.union(noise), held, 8).collect()) == list(range(10, 18))
 
 
 def test_components(spark):

@@ -244,13 +244,26 @@ def moved_frac(a: Column, b: Column, t: float = 12) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), lambda d: d > t)) / F.size(a)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it; f(value) would compute it anew for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def unit(a: Column) -> Column:
+    """An array less its mean, at length 1; zeros where it is constant.  The product of two of them is their ncc."""
+    named = F.struct(F.transform(a, lambda x: x.cast("double")).alias("a"), (_fold(a, lambda x: x) / F.size(a)).alias("mean"))
+    centred = _let(named, lambda t: F.transform(t["a"], lambda x: x - t["mean"]))
+    sized = _let(centred, lambda c: F.struct(c.alias("c"), F.sqrt(_fold(c, lambda x: x * x)).alias("length")))
+    return _let(sized, lambda t: F.transform(t["c"], lambda x: F.when(t["length"] > 0, x / t["length"]).otherwise(0.0)))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return _fold(F.zip_with(a, b, lambda x, y: x * y), lambda x: x)
+
+
 def ncc(a: Column, b: Column) -> Column:
     """Normalised cross-correlation; 0 where one side is constant."""
-    n = F.size(a)
-    ma, mb = _fold(a, lambda x: x) / n, _fold(b, lambda x: x) / n
-    ab = _fold(F.zip_with(a, b, lambda x, y: (x.cast("double") - ma) * (y.cast("double") - mb)), lambda x: x)
-    aa, bb = _fold(a, lambda x: F.pow(x - ma, 2)), _fold(b, lambda x: F.pow(x - mb, 2))
-    return F.when((aa > 0) & (bb > 0), ab / F.sqrt(aa * bb)).otherwise(0.0)
+    return dot(unit(a), unit(b))
 
 
 def size_bucket(w: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .joins import KEY, side
+from ..plans.storage import cut
+from .joins import KEY, near_hashes, side
 from .running import running_sums
 
 
@@ -107,15 +108,11 @@ def difference_hash(sig: Column) -> Column:
 def leakage(external: DataFrame, heldout: DataFrame, n: int, max_dist: int = 10, least: float = 0.95) -> DataFrame:
     """image_id, held_id, split, ncc: external images that show a held-out one in any orientation.
 
-    external and heldout: image_id, sig (n x n, row order); heldout has its split.  Candidates by banded hash distance, then the correlation.
+    external and heldout: image_id, sig (n x n, row order); heldout has its split.  Candidates by hash distance (held-out hashes look up
+    the external ones), then the correlation of centred and scaled signatures.
     """
-    a = oriented(external.select("image_id", "sig"), n).withColumn("dhash", difference_hash(F.col("sig")))
-    b = heldout.select(F.col("image_id").alias("held_id"), "split", F.col("sig").alias("held_sig")).withColumn("held_hash", difference_hash(F.col("held_sig")))
-    bands = max(2, max_dist + 1)
-    edges = [64 * i // bands for i in range(bands + 1)]
-    cut = lambda h: F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, x).bitwiseAND(F.lit((1 << (y - x)) - 1)).alias("bits")) for i, (x, y) in enumerate(zip(edges, edges[1:])))))
-    ha = a.select("dhash").distinct().select("dhash", cut("dhash").alias("p")).select("dhash", "p.*")
-    hb = b.select("held_hash").distinct().select("held_hash", cut("held_hash").alias("p")).select("held_hash", "p.*")
-    near = ha.join(hb, ["band", "bits"]).where(F.bit_count(F.col("dhash").bitwiseXOR(F.col("held_hash"))) <= max_dist).select("dhash", "held_hash").distinct()
-    both = a.join(near, "dhash").join(b, "held_hash").withColumn("ncc", g.ncc(F.col("sig"), F.col("held_sig"))).where(F.col("ncc") >= least)
+    a = cut(oriented(external.select("image_id", "sig"), n).select("image_id", difference_hash(F.col("sig")).alias("dhash"), g.unit(F.col("sig")).alias("u")))
+    b = cut(heldout.select(F.col("image_id").alias("held_id"), "split", difference_hash(F.col("sig")).alias("dhash"), g.unit(F.col("sig")).alias("held_u")))
+    near = near_hashes(b, a, max_dist).select(F.col("dhash").alias("held_hash"), F.col("other").alias("dhash"))
+    both = a.join(near, "dhash").join(b.withColumnRenamed("dhash", "held_hash"), "held_hash").withColumn("ncc", g.dot(F.col("u"), F.col("held_u"))).where(F.col("ncc") >= least)
     return both.groupBy("image_id", "held_id", "split").agg(F.max("ncc").alias("ncc"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .joins import hamming_pairs
+from ..plans.storage import cut
+from .joins import classes, near_hashes
 
 
 def exact_groups(images: DataFrame, sha: str = "sha", collection: str = "grp") -> DataFrame:
@@ -31,20 +32,37 @@ def _verdict():
 
 
 def near_duplicates(images: DataFrame, max_dist: int = 8, moved_over: float = 12.0) -> DataFrame:
-    """a, b, distance, ncc, moved, verdict of pairs whose difference hashes are close: the cheap gate first, then the signatures."""
-    pairs = hamming_pairs(images, max_dist)
-    one = lambda s: images.select(F.col("image_id").alias(s), F.col("sig").alias(f"s{s}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    scored = both.select("a", "b", "distance", g.ncc(F.col("sa"), F.col("sb")).alias("ncc"), g.moved_frac(F.col("sa"), F.col("sb"), moved_over).alias("moved"), (F.col("sa") == F.col("sb")).alias("same"))
-    return scored.withColumn("verdict", _verdict()).drop("same")
+    """a, b, distance, ncc, moved, verdict of pairs whose difference hashes are close: the cheap gate first, then the signatures.
 
-
-def group_similarity(images: DataFrame, group: str) -> DataFrame:
-    """Pairwise correlation within small groups: pairs, median, p90, and how many reach 0.985."""
-    a = images.select(group, F.col("image_id").alias("a"), F.col("sig").alias("sa"))
-    b = images.select(group, F.col("image_id").alias("b"), F.col("sig").alias("sb"))
-    rows = a.join(b, group).where("a < b").withColumn("ncc", g.ncc(F.col("sa"), F.col("sb")))
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.percentile("ncc", F.lit(0.5)).alias("median"), F.percentile("ncc", F.lit(0.9)).alias("p90"), F.sum((F.col("ncc") >= 0.985).cast("int")).alias("alike"))
+    Images of one signature and hash are a class, which its smallest image_id stands for; its other members are EXACT pairs with that one.
+    """
+    named = cut(classes(images.where("dhash is not null").select("image_id", "dhash", "sig"), "dhash", "sig"))
+    reps = named.where("image_id = rep")
+    near = near_hashes(reps, reps, max_dist).where("dhash <= other")
+    one = lambda s, h: reps.select(F.col("dhash").alias(h), F.col("rep").alias(s), F.col("sig").alias(f"s{s}"))
+    both = near.join(one("a", "dhash"), "dhash").join(one("b", "other"), "other").where("dhash < other or a < b")
+    swap = F.col("a") > F.col("b")
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", F.when(swap, F.col("sb")).otherwise(F.col("sa")).alias("sa"), F.when(swap, F.col("sa")).otherwise(F.col("sb")).alias("sb"))
+    scored = both.select("a", "b", "distance", g.ncc(F.col("sa"), F.col("sb")).alias("ncc"), g.moved_frac(F.col("sa"), F.col("sb"), moved_over).alias("moved"), F.lit(False).alias("same"))
+    members = named.where("image_id <> rep").select(F.col("rep").alias("a"), F.col("image_id").alias("b"), F.lit(0).alias("distance"), g.ncc(F.col("sig"), F.col("sig")).alias("ncc"), F.lit(0.0).alias("moved"), F.lit(True).alias("same"))
+    return scored.union(members).withColumn("verdict", _verdict()).drop("same")
+
+
+def group_similarity(images: DataFrame, group: str, most: int = 2000, tile: int = 64) -> DataFrame:
+    """Pairwise correlation within small groups: pairs, median, p90, and how many reach 0.985.
+
+    The work is a group's size squared: a group of more than ``most`` images has its pairs counted and no figures (null), and those
+    of any other are dealt out by tiles of ``tile`` x ``tile`` images, so no task takes a whole group.  Signatures are centred and scaled once, so a pair costs one product.
+    """
+    size = images.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("image_id")) - 1
+    placed = images.join(size.where(F.col("n") <= most), group).select(group, "n", "image_id", g.unit(F.col("sig")).alias("u"), place.alias("place"))
+    placed = placed.withColumn("block", F.expr(f"CAST(place div {tile} AS INT)")).withColumn("blocks", F.expr(f"CAST((n - 1) div {tile} AS INT)"))
+    rows = placed.select(group, F.col("place").alias("a"), F.col("u").alias("ua"), F.col("block").alias("i"), F.explode(F.sequence("block", "blocks")).alias("j"))
+    columns = placed.select(group, F.col("place").alias("b"), F.col("u").alias("ub"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    pairs = rows.join(columns, [group, "i", "j"]).where("a < b").withColumn("ncc", g.dot(F.col("ua"), F.col("ub")))
+    told = pairs.groupBy(group).agg(F.percentile("ncc", F.lit(0.5)).alias("median"), F.percentile("ncc", F.lit(0.9)).alias("p90"), F.sum((F.col("ncc") >= 0.985).cast("int")).alias("alike"))
+    return size.join(told, group, "left").select(group, F.expr("n * (n - 1) div 2").alias("pairs"), "median", "p90", "alike")
 
 
 def completeness(images: DataFrame, boxes: DataFrame, by: str = "source") -> DataFrame:
@@ -88,7 +106,7 @@ def fingerprint(df: DataFrame, *cols: str) -> DataFrame:
 def stratified_round_robin(df: DataFrame, strata: list[str], k: int, seed: int, key: str) -> DataFrame:
     """k rows in turns over the strata: the first of each stratum by hash, then the second, …"""
     h = lambda *c: F.md5(F.concat_ws(":", *(F.col(x).cast("string") for x in c), F.lit(str(seed))))
-    rows = df.withColumn("turn", F.row_number().over(Window.partitionBy(*strata).orderBy(h(key), key)))
+    rows = df.withColumn("turn", F.row_number().over(Window.partitionBy(*strata).orderBy(h(key), key))).where(F.col("turn") <= k)
     return rows.orderBy("turn", h(*strata), *strata).limit(k)
 
 

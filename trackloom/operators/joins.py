@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..plans.storage import cut
 
 KEY = ("seq", "frame")
 BOX = ("x1", "y1", "x2", "y2")
@@ -91,25 +95,82 @@ def roundtrip_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str
     return both.select(*keys, status.alias("status"), F.greatest(*(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) for v in values)).alias("deviation"))
 
 
+#: Bits of a hash.
+BITS = 64
+
+
+def _bands(max_dist: int, bands: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, most differing bits) of each band: of two hashes that differ in max_dist bits or fewer, some band differs that little.
+
+    If the first a + 1 bands all differed in more than r bits and the rest in more than r - 1, where max_dist = bands * r + a, that would be
+    bands * r + a + 1 bits.  A band that may differ in less than 0 bits is left out.
+    """
+    r, a = divmod(max_dist, bands)
+    edges = [BITS * i // bands for i in range(bands + 1)]
+    return [(x, y - x, r - (i > a)) for i, (x, y) in enumerate(zip(edges, edges[1:])) if r - (i > a) >= 0]
+
+
+def _flips(bits: int, most: int) -> int:
+    return sum(comb(bits, k) for k in range(most + 1))
+
+
+def choose_bands(max_dist: int, probing: int, indexed: int) -> int:
+    """How many bands make the fewest rows, probes and expected candidates of random hashes together; those that make candidates of fewer than 1 % of all pairs go first."""
+    costs = []
+    for n in range(3, 17):
+        bands = _bands(max_dist, n)
+        probes, share = sum(_flips(b, m) for _, b, m in bands), sum(_flips(b, m) / 2**b for _, b, m in bands)
+        if probes <= 30_000:
+            costs.append((share > 0.01, probing * probes + probing * indexed * share, n))
+    return min(costs)[2] if costs else 16
+
+
+def near_hashes(left: DataFrame, right: DataFrame, max_dist: int, keep: tuple[str, ...] = (), bands: int | None = None) -> DataFrame:
+    """(dhash, other, distance) of all pairs of distinct 64-bit hashes (column dhash) of two tables that differ in at most max_dist bits, exactly and each once.
+
+    Multi-index hashing: right is indexed by the bits of a few wide bands; each hash of left looks up, in every band, all values within the few bits
+    that the band may differ in.  A pair that meets in several bands counts in the first.  keep: columns that must be equal, too.  The number of
+    bands follows from how many hashes there are, unless it is given.
+    """
+    a, c = (t.where("dhash is not null").select("dhash", *keep).distinct() for t in (left, right))
+    if not bands:
+        n = a.count()
+        bands = choose_bands(max_dist, n, n if left is right else c.count())
+    of = _bands(max_dist, bands)
+    part = lambda h, x, n: F.shiftrightunsigned(h, x).bitwiseAND(F.lit((1 << n) - 1))
+    flips = lambda n, most: F.split(F.lit(",".join(str(sum(1 << i for i in c)) for k in range(most + 1) for c in combinations(range(n), k))), ",").cast("array<bigint>")
+    entry = lambda i, v: F.struct(F.lit(i).alias("band"), v.alias("bits"))
+    flipped = lambda i, x, n, m: F.transform(flips(n, m), lambda v: entry(i, part("dhash", x, n).bitwiseXOR(v)))
+    probes = F.concat(*(flipped(i, *b) for i, b in enumerate(of)))
+    looked = a.select("dhash", *keep, F.explode(probes).alias("p")).select("dhash", *keep, "p.band", "p.bits")
+    index = c.select(F.col("dhash").alias("other"), *keep, F.explode(F.array(*(entry(i, part("dhash", x, n)) for i, (x, n, _) in enumerate(of)))).alias("p")).select("other", *keep, "p.band", "p.bits")
+    differ = F.col("dhash").bitwiseXOR(F.col("other"))
+    met = looked.join(index, ["band", "bits", *keep]).where(F.bit_count(differ) <= max_dist)
+    for i, (x, n, m) in enumerate(of[:-1]):
+        met = met.where((F.col("band") <= i) | (F.bit_count(part(differ, x, n)) > m))
+    return met.select("dhash", "other", F.bit_count(differ).alias("distance"), *keep)
+
+
+def classes(images: DataFrame, *content: str) -> DataFrame:
+    """images with rep: the smallest image_id of those with the same content."""
+    of = images.groupBy(*(F.col(c).alias(f"of_{c}") for c in content)).agg(F.min("image_id").alias("rep"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in content]
+    return images.join(of, same).select(*images.columns, "rep")
+
+
 def hamming_pairs(images: DataFrame, max_dist: int = 8, group_col: str | None = None) -> DataFrame:
-    """(a, b, distance) of all images whose 64-bit hashes differ in at most max_dist bits, exactly.
+    """(a, b, distance) of images whose 64-bit hashes differ in at most max_dist bits, exactly.
 
-    Two such hashes are equal in at least one of max_dist + 1 bands, so an equi-join on (band, value) finds every pair.  Equal
-    hashes are one row in that join; their members pair through the hash itself.
+    Images of one hash are a class: its smallest image_id stands for it in pairs with other classes, and is paired at distance 0 with each of its other
+    members, so a class of n images has n - 1 rows of its own.
     """
-    bands = max(2, max_dist + 1)
-    edges = [64 * i // bands for i in range(bands + 1)]
-    keep = [group_col] if group_col else []
-    hashes = images.where("dhash is not null").select("dhash", *keep).distinct()
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("dhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    cut = hashes.select("dhash", *keep, F.explode(F.array(*parts)).alias("p")).select("dhash", *keep, "p.band", "p.bits")
-    other = cut.withColumnRenamed("dhash", "other")
-    near = cut.join(other, ["band", "bits", *keep]).where("dhash < other").withColumn("distance", g.hamming64(F.col("dhash"), F.col("other"))).where(F.col("distance") <= max_dist)
-    near = near.select("dhash", "other", "distance", *keep).distinct().union(hashes.select("dhash", F.col("dhash").alias("other"), F.lit(0).alias("distance"), *keep))
-    a = images.select(F.col("image_id").alias("a"), "dhash", *keep)
-    b = images.select(F.col("image_id").alias("b"), F.col("dhash").alias("other"), *keep)
-    both = near.join(a, ["dhash", *keep]).join(b, ["other", *keep]).where("dhash <> other or a < b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    keep = (group_col,) if group_col else ()
+    named = cut(classes(images.where("dhash is not null").select("image_id", "dhash", *keep), "dhash", *keep))
+    reps = named.where("image_id = rep")
+    near = near_hashes(reps, reps, max_dist, keep).where("dhash < other")
+    both = near.join(reps.select("dhash", F.col("rep").alias("a"), *keep), ["dhash", *keep]).join(reps.select(F.col("dhash").alias("other"), F.col("rep").alias("b"), *keep), ["other", *keep])
+    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    return pairs.union(named.where("image_id <> rep").select("rep", "image_id", F.lit(0)))
 
 
 def center_matches(preds: DataFrame, gt: DataFrame, k: float = 1.5, floor_px: float = 8.0) -> DataFrame:

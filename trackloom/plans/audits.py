@@ -81,6 +81,15 @@ _TRIAGE = f"""b AS (SELECT * FROM detections WHERE cls <> 'ball'), s AS (SELECT
 j AS (SELECT b.det_id, b.seq, b.frame, seen, CASE WHEN b.det_id % 4 <> 0 THEN CASE WHEN b.det_id % 9 = 0 THEN 'referee' ELSE b.cls END END kit FROM b LEFT JOIN s USING (det_id)),
 t AS (SELECT det_id, seq, frame, CASE WHEN seen = kit OR seen IS NULL OR kit IS NULL THEN coalesce(seen, kit, 'AMBIGUOUS') ELSE 'AMBIGUOUS' END AS "label", CASE WHEN seen IS NULL AND kit IS NULL THEN 'none' WHEN seen IS NULL OR kit IS NULL THEN 'one' WHEN seen = kit THEN 'both' ELSE 'differ' END agreement FROM j)"""
 
+#: The places of an 8 x 8 signature's values in each of its orientations, in DuckDB SQL; i is a place.
+_PLACES = ", ".join(f"[{t} FOR i IN range(64)]" for t in ("i", "(i % 8) * 8 + 7 - i // 8", "(7 - i // 8) * 8 + 7 - i % 8", "(7 - i % 8) * 8 + i // 8", "(i // 8) * 8 + 7 - i % 8", "(7 - i // 8) * 8 + i % 8", "(i % 8) * 8 + i // 8", "(7 - i % 8) * 8 + 7 - i // 8"))
+_HASH = "list_sum([CASE WHEN {0}[i + 2] > {0}[i + 1] THEN CAST(1 AS HUGEINT) << i ELSE CAST(0 AS HUGEINT) END FOR i IN range(63)])::BIGINT"
+_LEAKAGE = f"""WITH e AS (SELECT vec_id image_id, embedding sig FROM embeddings), places AS (SELECT unnest([{_PLACES}]) p, unnest(range(8)) turn),
+turned AS (SELECT image_id, turn, [sig[i + 1] FOR i IN p] sig FROM e, places), x AS (SELECT image_id, sig FROM e WHERE image_id % 7 <> 0 UNION ALL SELECT image_id + 1000000, sig FROM turned WHERE image_id % 7 = 0 AND turn = 1),
+o AS MATERIALIZED (SELECT image_id, sig, {_HASH.format('sig')} h FROM (SELECT image_id, [sig[i + 1] FOR i IN p] sig FROM x, places)), k AS MATERIALIZED (SELECT image_id held_id, CASE WHEN image_id % 2 = 0 THEN 'val' ELSE 'test' END split, sig held, {_HASH.format('sig')} hh FROM e WHERE image_id % 7 = 0),
+n AS (SELECT image_id, held_id, split, list_cosine_similarity([CAST(v AS DOUBLE) - list_avg(sig) FOR v IN sig], [CAST(v AS DOUBLE) - list_avg(held) FOR v IN held]) ncc FROM o JOIN k ON bit_count(xor(h, hh)) <= 10)
+SELECT image_id, held_id, split, round(max(ncc), 6) ncc FROM n WHERE ncc >= 0.95 GROUP BY 1, 2, 3"""
+
 ORACLE_SQL = {
     "label_inventory": with_adapters("""WITH r AS (SELECT seq source, det_id % 5 cls_id, x1/580 cx, y1/290 cy, CASE WHEN det_id % 33 = 0 THEN 0.0 ELSE CAST(0.125 AS DOUBLE) END w, CAST(0.25 AS DOUBLE) h FROM detections),
 p AS (SELECT *, cx BETWEEN 0 AND 1 AND cy BETWEEN 0 AND 1 i, cx-w/2 < 0 OR cx+w/2 > 1 OR cy-h/2 < 0 OR cy+h/2 > 1 e FROM r),
@@ -97,4 +106,7 @@ SELECT target, max(conf) threshold, arg_max(k, conf) / CAST(100 AS DOUBLE) per_i
     "clean_images": with_adapters(f"WITH {_TRIAGE} SELECT CAST(seq AS VARCHAR) || '-' || CAST(frame AS VARCHAR) image, count(*) boxes FROM t GROUP BY 1 HAVING bool_and(agreement = 'both')", "detections"),
     "kit_modes": with_adapters("""WITH c AS (SELECT 'run' || CAST(seq % 4 AS VARCHAR) run, cls AS "role", (x1*7) % 180 h, y1 s, y2 v FROM detections), n AS (SELECT run, "role", count(*) k FROM c GROUP BY 1, 2)
 SELECT c.run, c."role", CAST(floor(h/15) AS INT) bucket, count(*) n, quantile_cont(h, 0.5) h, quantile_cont(s, 0.5) s, quantile_cont(v, 0.5) v FROM c JOIN n ON n.run = c.run AND n."role" = c."role" GROUP BY 1, 2, 3, k HAVING count(*) >= 3 AND count(*) >= k * CAST(0.05 AS DOUBLE)""", "detections"),
+    "picture_cuts": """WITH e AS (SELECT CAST(vec_id // 25 AS INT) seq, CAST(vec_id % 25 AS INT) frame, embedding sig FROM embeddings), p AS (SELECT *, lag(sig) OVER (PARTITION BY seq ORDER BY frame) b FROM e)
+SELECT seq, frame, coalesce(list_avg([abs(CAST(z[1] AS DOUBLE) * 100 - CAST(z[2] AS DOUBLE) * 100) FOR z IN list_zip(sig, b)]) > 12, false) cut FROM p""",
+    "heldout_leakage": _LEAKAGE,
 }

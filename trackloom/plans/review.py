@@ -314,7 +314,22 @@ FROM (SELECT *, unnest(range(frame, coalesce(nf, frame + 1))) f FROM (SELECT *,
     "event_counts": with_adapters(f"""WITH {_OBS}, {_M}, {_SHOT.replace("nl AS", "nsh AS")}, {_GOAL.replace("nl AS", "ngo AS")}, {_PASS} SELECT seq, "type", count(*) n FROM (SELECT seq, 'shot' AS "type" FROM nsh UNION ALL SELECT seq, 'goal' FROM ngo UNION ALL SELECT seq, "type" FROM ps) GROUP BY 1, 2""", "ball_candidates", "frames", "track_points"),
     "exact_duplicates": "SELECT md5(text) sha, count(*) copies, count(DISTINCT source) collections, count(DISTINCT source) > 1 crosses FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "augmentation_copies": with_adapters("SELECT image_id, count(*) OVER (PARTITION BY stem) copies, row_number() OVER (PARTITION BY stem ORDER BY image_id) = 1 AS \"keep\" FROM images", "images"),
-    "hash_neighbours": with_adapters("SELECT a.image_id a, b.image_id b, bit_count(xor(a.dhash, b.dhash)) distance FROM images a JOIN images b ON a.image_id < b.image_id WHERE bit_count(xor(a.dhash, b.dhash)) <= 14", "images"),
+    "hash_neighbours": with_adapters("""WITH c AS (SELECT image_id, min(image_id) OVER (PARTITION BY dhash) rep, dhash FROM images), r AS (SELECT rep, dhash FROM c WHERE image_id = rep)
+SELECT a.rep a, b.rep b, bit_count(xor(a.dhash, b.dhash)) distance FROM r a JOIN r b ON a.rep < b.rep WHERE bit_count(xor(a.dhash, b.dhash)) <= 14 UNION ALL SELECT rep, image_id, 0 FROM c WHERE image_id <> rep""", "images"),
+    "near_duplicate_verdicts": with_adapters("""WITH c AS (SELECT image_id, min(image_id) OVER (PARTITION BY dhash, sig) rep, dhash, sig, [CAST(x AS DOUBLE) - list_avg(sig) FOR x IN sig] u FROM images), r AS (SELECT * FROM c WHERE image_id = rep),
+p AS (SELECT a.rep a, b.rep b, bit_count(xor(a.dhash, b.dhash)) distance, list_cosine_similarity(a.u, b.u) ncc, len([1 FOR z IN list_zip(a.sig, b.sig) IF abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) > 0.2]) / CAST(64 AS DOUBLE) moved FROM r a JOIN r b ON a.rep < b.rep WHERE bit_count(xor(a.dhash, b.dhash)) <= 14)
+SELECT a, b, distance, round(ncc, 6) ncc, round(moved, 6) moved, CASE WHEN ncc >= 0.985 AND moved <= 0.02 THEN 'NEAR_IDENTICAL' WHEN ncc >= 0.95 AND moved <= 0.10 THEN 'SAME_SCENE' ELSE 'DISTINCT' END verdict FROM p UNION ALL SELECT rep, image_id, 0, 1.0, 0.0, 'EXACT' FROM c WHERE image_id <> rep""", "images"),
+    "group_similarity": with_adapters("""WITH c AS (SELECT image_id, stem, [CAST(x AS DOUBLE) - list_avg(sig) FOR x IN sig] u FROM images), p AS (SELECT stem, list_cosine_similarity(a.u, b.u) ncc FROM c a JOIN c b USING (stem) WHERE a.image_id < b.image_id)
+SELECT stem, count(*) pairs, round(quantile_cont(ncc, 0.5), 6) median, round(quantile_cont(ncc, 0.9), 6) p90, count(*) FILTER (WHERE ncc >= 0.985) alike FROM p GROUP BY 1""", "images"),
+    "population_fingerprint": """WITH h AS (SELECT md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(lang, ''), coalesce(source, ''))) h FROM documents)
+SELECT count(*) AS "rows", CAST(sum(CAST('0x' || h[1:12] AS BIGINT)) AS DOUBLE) low, CAST(sum(CAST('0x' || h[13:24] AS BIGINT)) AS DOUBLE) high FROM h""",
+    "label_line_errors": with_adapters("""WITH l AS (SELECT CAST(seq AS VARCHAR) || '-' || CAST(frame AS VARCHAR) image, det_id line_no, CASE WHEN det_id % 23 = 0 THEN 9 ELSE det_id % 4 END c, (det_id % 8) / CAST(8 AS DOUBLE) cx, CASE WHEN det_id % 29 = 0 THEN CAST(-0.5 AS DOUBLE) WHEN det_id % 31 = 0 THEN NULL ELSE CAST(0.25 AS DOUBLE) END w, det_id % 37 <> 0 five FROM detections),
+n AS (SELECT *, five AND w IS NOT NULL ok, row_number() OVER (PARTITION BY image, c, cx, w, five ORDER BY line_no) rn FROM l),
+f AS (SELECT * FROM n WHERE ok AND rn = 1 AND w > 0),
+v AS (SELECT image, line_no, 'fields' rule FROM n WHERE NOT five UNION ALL SELECT image, line_no, 'number' FROM n WHERE five AND NOT ok UNION ALL SELECT image, line_no, 'class' FROM n WHERE ok AND c > 3 UNION ALL SELECT image, line_no, 'size' FROM n WHERE ok AND w <= 0
+UNION ALL SELECT image, line_no, 'edge' FROM n WHERE ok AND w > 0 AND (cx - w / 2 < -1e-6 OR cx + w / 2 > 1 + 1e-6) UNION ALL SELECT image, line_no, 'repeat' FROM n WHERE rn > 1
+UNION ALL SELECT DISTINCT b.image, b.line_no, 'near_repeat' FROM f a JOIN f b ON a.image = b.image AND a.c = b.c AND a.line_no < b.line_no WHERE greatest(0, least(a.cx, b.cx) - greatest(a.cx, b.cx) + 0.25) / (0.5 - greatest(0, least(a.cx, b.cx) - greatest(a.cx, b.cx) + 0.25)) >= 0.9)
+SELECT * FROM v""", "detections"),
     "source_completeness": with_adapters("""WITH d AS (SELECT CAST(seq AS VARCHAR) || '-' || CAST(frame AS VARCHAR) image, * FROM detections), i AS (SELECT DISTINCT image, seq FROM d), b AS (SELECT * FROM d WHERE frame % 17 <> 0 AND NOT (seq < 3 AND cls <> 'ball') AND NOT (seq BETWEEN 4 AND 6 AND cls = 'ball')),
 p AS (SELECT image, max(CAST(cls = 'ball' AS INT)) ball, max(CAST(cls <> 'ball' AS INT)) human FROM b GROUP BY 1),
 s AS (SELECT i.seq source, count(*) images, avg(CAST(p.image IS NULL AS INT)) empty, coalesce(max(ball), 0) ball, coalesce(max(human), 0) human FROM i LEFT JOIN p USING (image) GROUP BY 1)
