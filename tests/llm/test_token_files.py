@@ -75,6 +75,24 @@ def test_encoder_equals_the_library(monkeypatch):
         assert got.tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, tf.END], text
 
 
+def test_letters_beside_marks_equal_the_library(monkeypatch):
+    """A capital may have no composed form where its small letter has one: T, H, J, W, Y with some marks."""
+    encoder = tf.Encoder(None)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    marks = [c for c in map(chr, range(0x300, 0x1E000)) if unicodedata.combining(c)]
+    texts = ["T\u0308", "J\u030c x", "H\u0331amza", "W\u030a", "Y\u030a"] + ["".join(a + m + " x"[i % 2] for i, a in enumerate(letters)) for m in marks]
+    ids, counts = (np.concatenate(x) for x in zip(*encoder.documents([t.encode() for t in texts])))
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, tf.END], text
+
+
+def test_rows_without_an_id_are_many_tasks(spark):
+    rows = [(None, f"text {i}", "x") for i in range(300)]
+    path = f"{tf.shared_dir(spark)}/{tf.uuid.uuid4().hex}"
+    tf.write(spark.createDataFrame(rows, SCHEMA).repartition(4), path)
+    assert tf.read_shards(spark, path).select("part").distinct().count() > 1
+
+
 def test_other_tokenizers_get_whole_texts():
     encoder = tf.Encoder(None)
     encoder.splits = False

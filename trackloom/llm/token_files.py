@@ -1,6 +1,6 @@
 """Token ids in Re-Pair compressed files, with random access (operator 9).
 
-Documents are dealt out by ranges of doc_id and sorted; each task encodes its texts and closes a shard every ``SHARD_IDS``
+Documents are dealt out by ranges of (doc_id, text's hash), so that rows without an id are many tasks' too, and sorted; each task encodes its texts and closes a shard every ``SHARD_IDS``
 ids.  Re-Pair: in each round the most frequent pairs of neighbouring symbols become rules and are replaced from left to right,
 never across the end of a document.  Ids and rules together stay below 65,536, so a symbol takes two bytes.  A round takes at most
 half of the rules that are left, so there is room for rules of rules; rounds end when no pair occurs ``LEAST`` times (a rule
@@ -14,7 +14,7 @@ without touching the rest.
 
 Encoding equals the tokenizers library's on the whole text.  Texts are cut at ASCII white space, and words of plain ASCII at the borders of
 the pattern's pieces; each unit goes to the library once and is remembered by its hash within a task.  Words with other characters or
-apostrophes are units as they are, as case and composition may move borders in them.  That holds for the normalizer and pattern named
+apostrophes are units as they are, capitals included, as case and composition may move borders in them (a capital and a mark may have no composed form where the small letter has).  That holds for the normalizer and pattern named
 in ``SPLITS``; of a tokenizer with others, whole texts go to the library.
 
 Cases: a null or empty text is the end id alone; rows with equal ids follow each other in an order that depends on their texts;
@@ -120,8 +120,8 @@ class Encoder:
         self.places.learn(keys[order])
 
     def _units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        blob = b"\n".join(texts).lower() + b"\n"
-        x = np.frombuffer(blob, np.uint8)
+        blob = b"\n".join(texts) + b"\n"
+        x = np.frombuffer(blob.lower(), np.uint8)
         kind = _CLASS[x]
         filled = kind != _SPACE
         before = np.r_[False, filled[:-1]]
@@ -131,6 +131,8 @@ class Encoder:
             whole = np.zeros(int(word[-1]) + 1, bool)
             whole[word[odd]] = True
             kind[whole[word] & filled] = _WHOLE
+            x = np.where(kind == _WHOLE, np.frombuffer(blob, np.uint8), x)  # as it stands: the library composes before it lower-cases
+        blob = x.tobytes()
         start = np.flatnonzero(filled & (~before | (kind != np.r_[_SPACE, kind[:-1]]) | (kind == _DIGIT)))
         size = np.r_[start[1:], len(x)] - start
         gap = np.r_[0, np.cumsum(~filled)]
@@ -291,7 +293,7 @@ def write(docs: DataFrame, path: str, model: str | None = None) -> None:
             yield close()
 
     width = max(shuffle_width(docs), docs.rdd.getNumPartitions())
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").repartitionByRange(width, "id").sortWithinPartitions("id", F.xxhash64("text"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").repartitionByRange(width, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, _FILE).write.parquet(path)
 
 
