@@ -23,6 +23,14 @@ def test_cases(spark, monkeypatch):
     assert rv.resolve(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_repeated_ids_lose_nothing(spark):
+    """Rows are matched by URL and time, so an id of two revisits, or of two responses, mixes nothing up."""
+    rows = [(i, u, at, "response", 200, {"etag": t}, f"p{t}", 0) for i, u, at, t in ((1, "http://a.com/", 1, "a"), (1, "http://b.com/", 1, "b"), (None, "http://c.com/", 1, "c"))]
+    rows += [(i, u, 5, "revisit", 304, {"etag": t}, None, 0) for i, u, t in ((7, "http://a.com/", "a"), (7, "http://b.com/", "b"), (None, "http://c.com/", "c"), (7, "http://a.com/", "z"))]
+    got = rv.resolve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.url, r.outcome, r.payload) for r in got) == [("http://a.com/", "resolved", "pa"), ("http://a.com/", "validator_mismatch", None), ("http://b.com/", "resolved", "pb"), ("http://c.com/", "resolved", "pc")]
+
+
 @pytest.mark.parametrize("ranges", [64, 4])
 def test_report_equals_sql(spark, sf, monkeypatch, ranges):
     monkeypatch.setattr(rv, "RANGES", ranges)

@@ -10,7 +10,8 @@ timestamps; within (URL, range) a window finds the latest full response, and bet
 response is carried on, at most a row for each URL and range.
 
 Captures of equal time are not earlier than each other; of several full responses at one time the largest id counts.
-Null URLs and times never match; headers may be null; equal rows are each resolved.  Other columns stay behind.
+Null URLs and times never match; headers may be null; equal rows are each resolved.  Ids name responses in the result and break ties, but rows are matched by URL and time, so ids
+that are repeated or null lose nothing.  Other columns stay behind.
 """
 
 from __future__ import annotations
@@ -65,24 +66,26 @@ def resolve(records: DataFrame) -> DataFrame:
         numbers = F.array(*(F.lit(x) for x in edges))
         part = F.size(F.filter(numbers, lambda x: x <= F.col("at")))
     stamp = F.struct(F.col("at").alias("at"), F.col("record_id").alias("id"))
-    events = full.select("url", "at", F.lit(1).alias("turn"), stamp.alias("response"), F.lit(None).cast("long").alias("revisit")).union(
-        revisit.where("url is not null and at is not null").select("url", "at", F.lit(0), F.lit(None).cast(full.select(stamp.alias("s")).schema["s"].dataType), "record_id")
-    ).withColumn("part", part)
+    # what a revisit stands for follows from its URL and time alone, so equal ones are asked once, whatever their ids
+    asked = revisit.where("url is not null and at is not null").select("url", "at").distinct()
+    events = full.select("url", "at", F.lit(1).alias("turn"), stamp.alias("response")).union(asked.select("url", "at", F.lit(0), F.lit(None).cast(full.select(stamp.alias("s")).schema["s"].dataType))).withColumn("part", part)
     inside = Window.partitionBy("url", "part").orderBy("at", "turn", F.col("response.id")).rowsBetween(Window.unboundedPreceding, 0)
-    near = events.withColumn("found", F.last("response", ignorenulls=True).over(inside)).where("revisit is not null").select("url", "part", "revisit", "found")
+    near = events.withColumn("found", F.last("response", ignorenulls=True).over(inside)).where("turn = 0").select("url", "part", "at", "found")
     last = events.groupBy("url", "part").agg(F.max("response").alias("last"))
     before = Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.withColumn("carried", F.last("last", ignorenulls=True).over(before)).select("url", "part", "carried")
-    asof = near.join(carried, ["url", "part"], "left").select(F.col("revisit").alias("record_id"), F.coalesce("found", "carried").alias("of"))
-    asof = asof.select("record_id", F.col("of.id").alias("response_id"), F.col("of.at").alias("response_at")).where("response_id is not null").dropDuplicates(["record_id"])
-    named = revisit.join(asof, "record_id", "left")
-    base = full.select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), "payload").dropDuplicates(["response_id"])
-    both = named.join(base, "response_id", "left")
+    asof = near.join(carried, ["url", "part"], "left").select("url", "at", F.coalesce("found", "carried").alias("of"))
+    asof = asof.where("of is not null").select("url", "at", F.col("of.id").alias("response_id"), F.col("of.at").alias("response_at"))
+    named = revisit.join(asof, ["url", "at"], "left")
+    # of full responses of one URL, time and id the one with the least payload, then headers, counts
+    base = full.groupBy("url", F.col("at").alias("response_at"), F.col("record_id").alias("response_id")).agg(F.min_by(F.struct(F.col("headers").alias("old"), "payload"), F.struct("payload", F.to_json("headers"))).alias("b"))
+    base = base.select(F.col("url").alias("of_url"), F.col("response_at").alias("of_at"), F.col("response_id").alias("of_id"), "b.*")
+    both = named.join(base, (F.col("url") == F.col("of_url")) & (F.col("response_at") == F.col("of_at")) & F.col("response_id").eqNullSafe(F.col("of_id")), "left")
     new, old = F.col("headers"), F.col("old")
     tags = _tag(new).isNotNull() & _tag(old).isNotNull()
     dates = _value(new, "last-modified").isNotNull() & _value(old, "last-modified").isNotNull()
     agree = F.when(tags, _tag(new) == _tag(old)).when(dates, _value(new, "last-modified") == _value(old, "last-modified")).otherwise(False)
-    outcome = F.when(F.col("response_id").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch")
+    outcome = F.when(F.col("response_at").isNull(), "no_earlier_response").when(agree, "resolved").otherwise("validator_mismatch")
     update = F.map_filter(F.coalesce(new, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(update), k)), update)
     done = both.withColumn("outcome", outcome)
