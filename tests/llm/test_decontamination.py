@@ -57,6 +57,19 @@ def test_equals_brute_force(spark, monkeypatch, seed, block):
         assert sorted(map(tuple, found.collect()), key=repr) == brute(docs, bench, n)
 
 
+def test_equal_items_are_one_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 4000)
+    held = []
+    made = dc.Index.__init__
+    monkeypatch.setattr(dc.Index, "__init__", lambda self, items, *a: (held.append(sum(len(t) for _, t in items)), made(self, items, *a))[1])
+    long = " ".join(f"b{i}" for i in range(400))
+    bench = [(i, long) for i in range(200)] + [(1000 + i, f"item {i} " + " ".join(f"c{i}x{k}" for k in range(60))) for i in range(30)] + [(None, long)]
+    docs = [(1, f"x {long} y"), (2, bench[205][1]), (3, "clean words only")]
+    got = {r.doc_id: r for r in dc.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert (got[1].n_items, got[1].n_hit, got[2].n_items, got[3].n_items) == (200, 400, 1, 0)
+    assert len(held) > 3 and max(held) < 8000
+
+
 def test_clean_keeps_columns(spark):
     item = " ".join(f"b{i}" for i in range(14))
     docs = spark.createDataFrame([(1, item, "x", 3), (2, "fine text", "y", 4), (3, None, None, None)], "doc_id long, text string, row string, spans long")

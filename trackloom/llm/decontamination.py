@@ -8,8 +8,8 @@ necessary prefix, and the rarest one makes the fewest candidates.  Two passes ov
 2. find each window's rarest shingle, at its known offset, and check every candidate: the length bound (the words before
    and after it must be there), then the exact words of the item-sized window.
 
-The benchmark is the side that is broadcast, in blocks of at most ``BLOCK_BYTES`` of text (and one item more): its size is checked first, and a benchmark
-of several blocks takes as many narrow steps over the documents.  What is broadcast holds windows as places in the block's words,
+The benchmark is the side that is broadcast, in blocks of at most ``BLOCK_BYTES`` of text and ids (and one item more): items of equal text are one with all their ids,
+and running sums of bytes deal them to blocks.  A benchmark of several blocks takes as many narrow steps over the documents.  What is broadcast holds windows as places in the block's words,
 about eight times its text.  Documents are never shuffled.
 
 Cases: null has no words; an item without words occurs nowhere; equal items each count; repeated document
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running_sums
+from ..plans.storage import cut
 from .jobs import released
 from .text import BASES, Rolling, WordHashes, alnum_words, starts_in_documents, utf8
 
@@ -46,7 +48,8 @@ class Index:
     Windows of equal words stand for themselves, each with its item.
     """
 
-    def __init__(self, items: list[tuple], window: int, shingle: int):
+    def __init__(self, items: list[tuple[list, str | None]], window: int, shingle: int):
+        """items: ids and text of each."""
         words = [alnum_words((text or "").encode()) for _, text in items]
         count = np.array([len(w) for w in words], np.int64)
         self.ids, self.shingle, self.of_word = [i for i, _ in items], shingle, np.cumsum(count)
@@ -162,7 +165,7 @@ def _match(index, prefixes):
             for d, found in hits.items():
                 spans[d] = (spans[d] or b"") + np.array([y[:2] for y in found], np.int32).tobytes()
                 items = np.unique(np.searchsorted(it.of_word, it.first[[y[2] for y in found]], "right"))
-                names[d] = sorted({*(names[d] or ()), *(str(it.ids[i]) for i in items if it.ids[i] is not None)})
+                names[d] = sorted({*(names[d] or ()), *(str(i) for k in items for i in it.ids[k])})
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(count, pa.int64()), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
     return run
@@ -171,13 +174,18 @@ def _match(index, prefixes):
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Each row of docs as the struct ``row``, with n_words, spans (int32 pairs [first word, end) of window occurrences; null: none) and items (sorted ids as strings)."""
     spark = docs.sparkSession
-    sized = benchmark.select("item_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
-    blocks = max(1, -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
+    items = benchmark.where("text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids"))  # ids of equal items are named together in any result, too
+    items = items.withColumn("bytes", (F.octet_length("text") + 24 * F.size("ids")).cast("long"))
+    blocks = 1
+    if (items.agg(F.sum("bytes")).first()[0] or 0) > BLOCK_BYTES:
+        items = running_sums(items.withColumn("all", F.lit(1)), ["all"], [F.xxhash64("text"), F.col("text")], {"total": "bytes"})
+        items = cut(items.select("text", "ids", F.floor((F.col("total") - F.col("bytes")) / BLOCK_BYTES).alias("block")))
+        blocks = items.agg(F.max("block")).first()[0] + 1
     out = docs.select(F.struct(*docs.columns).alias("row"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     schema = out.schema
     for block in range(blocks):
-        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = Index([(r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()], window, shingle)
+        part = items if blocks == 1 else items.where(F.col("block") == block)
+        index = Index([(r.ids, r.text) for r in part.select("ids", "text").toLocalIterator()], window, shingle)
         wanted = index.wanted()
         counted = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(wanted), shingle), "k int, at int, seen long").groupBy("k", "at").agg(F.sum("seen").alias("seen"))
         seen = {k: np.zeros(len(w), np.int64) for k, w in wanted.items()}
