@@ -28,6 +28,13 @@ def latest_by_mode(log: DataFrame) -> DataFrame:
     return log.groupBy("mode", "box_id").agg(F.max_by(F.struct("value", "line_no"), _order()).alias("d")).select("mode", "box_id", "d.value", "d.line_no")
 
 
+def latest_repairs(log: DataFrame, kinds: tuple[str, ...] = ("geometry", "ball_case"), retract: str = "RETRACT") -> DataFrame:
+    """box_id, a column for each kind with its latest repair (null: none, or taken back) and last_line, of the boxes that have one left.  A kind is a mode of the log."""
+    own = latest_by_mode(log.where(F.col("mode").isin(*kinds))).withColumn("live", F.when(F.col("value") != retract, F.col("value")))
+    found = own.groupBy("box_id").agg(*(F.max(F.when(F.col("mode") == k, F.col("live"))).alias(k) for k in kinds), F.max("line_no").alias("last_line"))
+    return found.where(F.coalesce(*kinds).isNotNull())
+
+
 def conflicts(log: DataFrame) -> DataFrame:
     """Boxes whose history has more than one value."""
     return log.groupBy("box_id").agg(F.countDistinct("value").alias("values"), F.count(F.lit(1)).alias("events")).where("values > 1")

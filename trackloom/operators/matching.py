@@ -6,12 +6,14 @@ expressions, so nothing leaves the JVM.  Track linking walks a whole sequence an
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .graph import connected_components
+from .linking import Linker
 from .joins import BOX, KEY, adjacent_pairs, pairs_by_iou, side
 
 
@@ -137,69 +139,29 @@ def identity_map(tracks: DataFrame, gt: DataFrame, iou: float = 0.30, min_frames
     return out.select("seq", "track_id", "frames", "votes", reason.alias("reason")).join(mapped.select("seq", "track_id", "gt_id"), ["seq", "track_id"], "left").withColumn("gt_id", F.when(F.col("reason") == "mapped", F.col("gt_id")))
 
 
-def _buffered(a, b, r: float) -> float:
-    ax, ay, bx, by = (a[2] - a[0]) * r, (a[3] - a[1]) * r, (b[2] - b[0]) * r, (b[3] - b[1]) * r
-    w = min(a[2] + ax, b[2] + bx) - max(a[0] - ax, b[0] - bx)
-    h = min(a[3] + ay, b[3] + by) - max(a[1] - ay, b[1] - by)
-    if w <= 0 or h <= 0:
-        return 0.0
-    area = lambda c: (c[2] - c[0]) * (1 + 2 * r) * (c[3] - c[1]) * (1 + 2 * r)
-    return w * h / (area(a) + area(b) - w * h)
+def link_tracks(dets: DataFrame, fps: float, **rules) -> DataFrame:
+    """dets with track_id: identities within a sequence and class by the steps of ``Linker`` (and its rules), null where a box belongs to none.
 
-
-def link_tracks(dets: DataFrame, fps: float, high: float = 0.6, r1: float = 0.3, r2: float = 0.5, s1: float = 0.2, s2: float = 0.5, min_hits: int = 2, lost: int = 30) -> DataFrame:
-    """dets with track_id: identities within a sequence and class, null where a box belongs to none.
-
-    Strong boxes link first to tracks' predicted places (buffered IoU times confidence of s1 or more), weak ones (over 0.1) only
-    extend tracks (s2 or more).  A track is reported from min_hits boxes on and ends after ``lost`` frames (at 30 per second)
-    without one.  Pairs are taken greedily, best first; ids are positive and no two sequences share one.
+    A sequence and class is cut wherever no box occurs for longer than a track may be out of sight, as no track crosses such a gap; the
+    stretches between are linked apart.  A track's name is the smallest det_id of its boxes + 1, so no two sequences share one.
     """
-    budget = max(1, -(-int(fps * lost) // 30))
+    budget = Linker(fps, **rules).budget
+    before = F.lag("frame").over(Window.partitionBy("seq", "cls").orderBy("frame"))
+    frames = dets.select("seq", "cls", "frame").distinct().withColumn("starts", F.coalesce((F.col("frame") - before > budget).cast("int"), F.lit(0)))
+    frames = frames.withColumn("stretch", F.sum("starts").over(Window.partitionBy("seq", "cls").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        live: list[dict] = []
-        rows, out = [], []
-        n = 0
-        for frame, part in group.sort_values(["frame", "det_id"]).groupby("frame", sort=True):
-            live = [t for t in live if frame - t["last"] <= budget]
-            boxes = [(r.det_id, (r.x1, r.y1, r.x2, r.y2), r.conf) for r in part.itertuples()]
-            free = set(range(len(live)))
-            used = set()
-
-            def link(which, r, least):
-                pairs = []
-                for k in which:
-                    for j in free:
-                        t = live[j]
-                        d = frame - t["last"]
-                        at = tuple(c + v * d for c, v in zip(t["box"], t["v"]))
-                        s = _buffered(at, boxes[k][1], r) * (boxes[k][2] if least == s1 else 1.0)
-                        if s >= least:
-                            pairs.append((-s, live[j]["n"], boxes[k][0], k, j))
-                for _, _, _, k, j in sorted(pairs):
-                    if k in used or j not in free:
-                        continue
-                    used.add(k)
-                    free.discard(j)
-                    t = live[j]
-                    d = max(1, frame - t["last"])
-                    t["v"] = tuple((b - a) / d for a, b in zip(t["box"], boxes[k][1]))
-                    t["box"], t["last"] = boxes[k][1], frame
-                    t["ids"].append(boxes[k][0])
-
-            strong = [k for k in range(len(boxes)) if boxes[k][2] >= high]
-            link(strong, r1, s1)
-            link([k for k in range(len(boxes)) if 0.1 < boxes[k][2] < high], r2, s2)
-            for k in strong:
-                if k not in used:
-                    n += 1
-                    t = {"n": n, "box": boxes[k][1], "v": (0.0,) * 4, "last": frame, "ids": [boxes[k][0]]}
-                    live.append(t)
-                    rows.append(t)
-        for t in rows:
-            if len(t["ids"]) >= min_hits:
-                out += [(int(group["seq"].iloc[0]), i, int(min(t["ids"])) + 1) for i in t["ids"]]
-        return pd.DataFrame(out, columns=["seq", "det_id", "track_id"])
-
-    found = dets.select(*KEY, "det_id", *BOX, "conf", "cls").groupBy("seq", "cls").applyInPandas(run, "seq int, det_id long, track_id long")
-    return dets.join(found.drop("seq"), "det_id", "left")
+        linker, out = Linker(fps, **rules), []
+        group = group.sort_values(["frame", "det_id"])
+        ids, boxes, conf = group["det_id"].tolist(), group[list(BOX)].to_numpy(float), group["conf"].to_numpy(float)
+        frame = group["frame"].to_numpy()
+        edge = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1], True])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            out += linker.step(int(frame[a]), ids[a:b], boxes[a:b], conf[a:b])
+        found = pd.DataFrame(out, columns=["frame", "det_id", "track_id"])
+        found["track_id"] = found.groupby("track_id")["det_id"].transform("min") + 1
+        return found[["det_id", "track_id"]]
+
+    rows = dets.select(*KEY, "det_id", *BOX, "conf", "cls").join(frames.select("seq", "cls", "frame", "stretch"), ["seq", "cls", "frame"])
+    found = rows.groupBy("seq", "cls", "stretch").applyInPandas(run, "det_id long, track_id long")
+    return dets.join(found, "det_id", "left")

@@ -40,11 +40,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, frame, track_id, box and team; a point for each (user, period)."""
+    """seq, frame, track_id, box and team; a point for each (user, period).  A sequence is five users, so sequences grow with the table."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), _period().alias("frame"), F.get_json_object("props", "$.k").cast("int").alias("k"), "event_id")
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("track_id", "frame").orderBy("event_id"))).where("rn = 1")
     return rows.selectExpr(
-        "CAST(track_id%10 AS INT) seq", "frame", "CAST(track_id AS BIGINT) track_id",
+        "CAST(track_id div 5 AS INT) seq", "frame", "CAST(track_id AS BIGINT) track_id",
         "CAST((track_id*97+frame*(1+track_id%5)*3)%600 AS DOUBLE) x1", "CAST((track_id*61+k)%300 AS DOUBLE) y1",
         "CAST((track_id*97+frame*(1+track_id%5)*3)%600+30 AS DOUBLE) x2", "CAST((track_id*61+k)%300+60 AS DOUBLE) y2",
         "CAST(1+track_id%2 AS INT) team",
@@ -54,7 +54,7 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ball_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, frame, cand_id, box and conf of the click and error events."""
     rows = table(spark, sf_dir, "events").where("event_type in ('click', 'error')")
-    rows = rows.select(F.expr("CAST(user_id%10 AS INT)").alias("seq"), _period().alias("frame"), "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    rows = rows.select(F.expr("CAST(user_id div 5 AS INT)").alias("seq"), _period().alias("frame"), "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     return rows.selectExpr(
         "seq", "frame", "CAST(event_id AS BIGINT) cand_id",
         "CAST((seq*41+frame*4+k%9)%600 AS DOUBLE) x1", "CAST((seq*29+frame*2+k%7)%330 AS DOUBLE) y1",
@@ -65,7 +65,7 @@ def ball_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, frame, ts, dt and cut of every frame from a sequence's first to its last event."""
-    spans = table(spark, sf_dir, "events").groupBy(F.expr("CAST(user_id%10 AS INT)").alias("seq")).agg(F.min(_period()).alias("a"), F.max(_period()).alias("b"))
+    spans = table(spark, sf_dir, "events").groupBy(F.expr("CAST(user_id div 5 AS INT)").alias("seq")).agg(F.min(_period()).alias("a"), F.max(_period()).alias("b"))
     return spans.select("seq", F.explode(F.sequence("a", "b")).alias("frame")).selectExpr("seq", "frame", "CAST(frame AS DOUBLE)/5 ts", "CAST(1 AS DOUBLE)/5 dt", "frame % 37 = 0 AND frame > 0 AS cut")
 
 
@@ -98,16 +98,16 @@ SQL = {
   CAST(5+(k*7919+ln*31)%95 AS DOUBLE)/100 conf
  FROM (SELECT l_orderkey k, l_linenumber ln, l_partkey p, l_suppkey s, date_diff('day', TIMESTAMP '1992-01-01', l_shipdate) AS days,
   row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) rn FROM lineitem) WHERE rn = 1""",
-    "track_points": f"""SELECT CAST(track_id%10 AS INT) seq, frame, track_id,
+    "track_points": f"""SELECT CAST(track_id // 5 AS INT) seq, frame, track_id,
   CAST((track_id*97+frame*(1+track_id%5)*3)%600 AS DOUBLE) x1, CAST((track_id*61+k)%300 AS DOUBLE) y1,
   CAST((track_id*97+frame*(1+track_id%5)*3)%600+30 AS DOUBLE) x2, CAST((track_id*61+k)%300+60 AS DOUBLE) y2, CAST(1+track_id%2 AS INT) team
  FROM (SELECT user_id track_id, {_PERIOD} frame, {_K} k, row_number() OVER (PARTITION BY user_id, {_PERIOD} ORDER BY event_id) rn FROM events) WHERE rn = 1""",
     "ball_candidates": f"""SELECT seq, frame, event_id cand_id,
   CAST((seq*41+frame*4+k%9)%600 AS DOUBLE) x1, CAST((seq*29+frame*2+k%7)%330 AS DOUBLE) y1,
   CAST((seq*41+frame*4+k%9)%600+8 AS DOUBLE) x2, CAST((seq*29+frame*2+k%7)%330+8 AS DOUBLE) y2, CAST(1+(event_id*13)%50 AS DOUBLE)/100 conf
- FROM (SELECT CAST(user_id%10 AS INT) seq, {_PERIOD} frame, event_id, {_K} k FROM events WHERE event_type IN ('click','error'))""",
+ FROM (SELECT CAST(user_id // 5 AS INT) seq, {_PERIOD} frame, event_id, {_K} k FROM events WHERE event_type IN ('click','error'))""",
     "frames": f"""SELECT seq, CAST(f AS INT) frame, CAST(f AS DOUBLE)/5 ts, CAST(1 AS DOUBLE)/5 dt, f % 37 = 0 AND f > 0 cut
- FROM (SELECT seq, unnest(range(a, b+1)) f FROM (SELECT CAST(user_id%10 AS INT) seq, min({_PERIOD}) a, max({_PERIOD}) b FROM events GROUP BY 1))""",
+ FROM (SELECT seq, unnest(range(a, b+1)) f FROM (SELECT CAST(user_id // 5 AS INT) seq, min({_PERIOD}) a, max({_PERIOD}) b FROM events GROUP BY 1))""",
     "decisions": f"""SELECT event_id line_no, concat('box', CAST((event_id*7)%2000 AS VARCHAR)) box_id,
   CASE event_type WHEN 'view' THEN 'candidates' WHEN 'click' THEN 'qa_player' WHEN 'signup' THEN 'missed_role' ELSE 'missed_role_manual' END mode,
   CASE {_K}%6 WHEN 0 THEN 'player' WHEN 1 THEN 'goalkeeper' WHEN 2 THEN 'referee' WHEN 3 THEN 'uncertain' WHEN 4 THEN 'FALSE_POSITIVE' ELSE 'NON_TARGET_HUMAN' END "value",

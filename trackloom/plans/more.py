@@ -83,13 +83,13 @@ def _finished(df: DataFrame) -> DataFrame:
 
 
 def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _streamed(spark, sf).select(F.expr("CAST(user_id % 10 AS INT)").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("value"))
+    rows = _streamed(spark, sf).select(F.expr("CAST(user_id div 5 AS INT)").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("value"))
     found = _finished(jobs.windowed_counts(rows, "1 day"))
     return found.select("seq", F.unix_timestamp("start").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
 
 def streamed_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _streamed(spark, sf).select(F.expr("CAST(user_id % 10 AS INT)").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("value"))
+    rows = _streamed(spark, sf).select(F.expr("CAST(user_id div 5 AS INT)").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("double").alias("value"))
     found = _finished(jobs.windowed_counts(rows, "1 day", "12 hours"))
     return found.select("seq", F.unix_timestamp("start").alias("start"), "n", F.round("mean", 6).alias("mean"))
 
@@ -145,7 +145,7 @@ def ball_ids(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, picked_frames, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding, temporal_scores, truth_statistics, event_census, run_audit, prevalence, tile_counts, ball_ids)}
 
 _SEL = "sel AS (SELECT f.seq, f.frame, b.x1, b.y1, b.x2, b.y2 FROM frames f LEFT JOIN (SELECT * FROM ball_candidates WHERE conf >= 0.25 QUALIFY row_number() OVER (PARTITION BY seq, frame ORDER BY conf DESC, x1, cand_id DESC) = 1) b USING (seq, frame))"
-_STREAM = "(SELECT CAST(user_id % 10 AS INT) seq, epoch(ts)::BIGINT t, CAST(json_extract_string(props, '$.k') AS DOUBLE) k FROM events)"
+_STREAM = "(SELECT CAST(user_id // 5 AS INT) seq, epoch(ts)::BIGINT t, CAST(json_extract_string(props, '$.k') AS DOUBLE) k FROM events)"
 ORACLE_SQL = {
     "content_windows": ad.with_adapters("""WITH v AS (SELECT seq, count(*) n FROM frames GROUP BY 1), w AS (SELECT seq, i AS "window", CAST(floor(f * greatest(n - 20, 0)) AS INT) a, CAST(least(floor(f * greatest(n - 20, 0)) + 20, n) AS INT) - 1 b FROM v, (VALUES (0, CAST(0.1 AS DOUBLE)), (1, CAST(0.15 AS DOUBLE)), (2, CAST(0.5 AS DOUBLE)), (3, CAST(0.9 AS DOUBLE))) t(i, f))
 SELECT seq, "window", a AS "first", b AS "last" FROM (SELECT *, lag(b) OVER (PARTITION BY seq ORDER BY "window") p FROM w) WHERE p IS NULL OR a > p""", "frames"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, match, more, play, review, scoring
+from . import audits, match, more, play, review, scoring, streams
 
-_PARTS = (play, match, review, more, audits, scoring)
+_PARTS = (play, match, review, more, audits, scoring, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

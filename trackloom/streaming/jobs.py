@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.matching import _buffered
+from ..operators.linking import buffered
 
 
 def clean_events(stream: DataFrame, key: list[str], late: str = "10 seconds") -> DataFrame:
@@ -103,7 +104,9 @@ class _Links(StatefulProcessor):
             now = ts.timestamp()
             live = {i: v for i, v in live.items() if now - v[0] <= self.ttl}
             boxes = [(r.det_id, (r.x1, r.y1, r.x2, r.y2)) for r in part.itertuples()]
-            pairs = sorted((-s, i, k) for k, (_, b) in enumerate(boxes) for i, v in live.items() if v[0] < now and (s := _buffered(v[1:], b, 0.3)) >= self.least)
+            earlier = [i for i, v in live.items() if v[0] < now]
+            s = buffered(np.array([b for _, b in boxes], float), np.array([live[i][1:] for i in earlier], float).reshape(-1, 4), 0.3)
+            pairs = sorted((-float(s[k, j]), earlier[j], k) for k, j in zip(*(x.tolist() for x in np.nonzero(s >= self.least))))
             of: dict[int, int] = {}
             used: set[int] = set()
             for _, i, k in pairs:
