@@ -150,6 +150,16 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_hubs_and_chains(spark):
+    """A star of a third of all nodes is dealt to many tasks, and a chain of any length ends at its smallest node."""
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(200)] + [(3000 - i, 2999 - i) for i in range(70)] + [(7, 7), (5000, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in graph.connected_components(df).collect()}
+    assert {got[i] for i in range(400)} == {0} and {got[1000 + i] for i in range(201)} == {1000} and {got[3000 - i] for i in range(71)} == {2930} and got[5000] == 5000 and len(got) == 400 + 201 + 71 + 1
+    hub = graph._with_smallest(spark.createDataFrame([(5, i) for i in range(6, 3000)], "u long, v long").repartition(4), "u", "v").groupBy(F.pmod(F.xxhash64("v"), F.lit(graph.SALTS))).count()
+    assert hub.count() == graph.SALTS and {r.m for r in graph._with_smallest(spark.createDataFrame([(5, 9), (5, 7), (4, 9)], "u long, v long"), "u", "v").collect()} == {5, 4}
+
+
 def test_suppression_threshold_and_ties(spark):
     rows = [(0, 0, 1, 0.0, 0.0, 100.0, 1.0, "ball", 0.5), (0, 0, 2, 0.0, 0.0, 70.0, 1.0, "ball", 0.5), (0, 1, 3, 0.0, 0.0, 100.0, 1.0, "ball", 0.5), (0, 1, 4, 0.0, 0.0, 69.0, 1.0, "ball", 0.9), (0, 0, 5, 0.0, 0.0, 100.0, 1.0, "player", 0.1), (0, 0, 6, 0.0, 0.0, 100.0, 1.0, "player", 0.1)]
     got = matching.suppress_duplicates(spark.createDataFrame(rows, BOX)).collect()

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .joins import BOX, KEY
-from .matching import match_by_confidence, match_one_to_one
+from ..plans.storage import cut
+from .joins import BOX, KEY, pairs_by_iou
+from .matching import match_one_to_one, take_in_order
 from .running import running_sums
 
 
@@ -59,26 +60,65 @@ def threshold_grid(gt: DataFrame, preds: DataFrame, grid: list[float], iou: floa
     return _with_rates(all_.select("threshold", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("n") - F.col("tp")).alias("fn")))
 
 
-def average_precision(gt: DataFrame, preds: DataFrame, ious: list[float]) -> DataFrame:
-    """cls, iou, ap: mean over 101 recalls of the best precision at that recall or more.
+#: The ten thresholds of the usual mean.
+IOUS = tuple((50 + 5 * i) / 100 for i in range(10))
 
-    Predictions in the order of confidence, then id.  A class without truth has no row.
+
+def _hits(gt: DataFrame, preds: DataFrame, ious: tuple[float, ...]) -> DataFrame:
+    """preds (seq, cls, conf, p_det_id) with t0, t1, ...: whether the prediction finds a truth box at each threshold.
+
+    Pairs are computed once; each counts at the thresholds that it reaches, which are one more part of a frame's key, and is taken in the order of
+    confidence, then IoU, while both of its boxes are free at that threshold: every prediction takes its best free box.
     """
-    n = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    rows = None
-    for t in ious:
-        hit = match_by_confidence(gt, preds, t).select("p_det_id", F.col("g_det_id").isNotNull().cast("int").alias("tp"))
-        one = preds.select(F.lit(float(t)).alias("iou"), "cls", "conf", F.col("det_id").alias("p_det_id"), F.lit(1).alias("one")).join(hit, "p_det_id").select("iou", "cls", "conf", "p_det_id", "tp", "one")
-        rows = one if rows is None else rows.union(one)
-    key = ["iou", "cls"]
-    summed = running_sums(rows, key, [F.desc("conf"), F.asc("p_det_id")], {"hits": "tp", "seen": "one"}).join(n, "cls")
-    curve = summed.select(*key, (F.col("hits") / F.col("n")).alias("r"), (F.col("hits") / F.col("seen")).alias("p"))
-    # a recall level is reached by the points at or beyond it: each point counts at its own level, and levels take the best of later ones
-    level = curve.groupBy(*key, F.floor(F.col("r") * 100 + 1e-9).cast("int").alias("level")).agg(F.max("p").alias("p"))
-    asked = n.select("cls", F.explode(F.array(*(F.lit(float(t)) for t in ious))).alias("iou")).select("*", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("level"))
-    best = F.max("p").over(Window.partitionBy(*key).orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
-    levels = asked.join(level, [*key, "level"], "left").withColumn("best", F.coalesce(best, F.lit(0.0)))
-    return levels.groupBy("cls", "iou").agg(F.avg("best").alias("ap"))
+    key = [*KEY, "cls"]
+    ids = preds.select(*key, F.col("det_id").alias("p_det_id"), "conf", *BOX)
+    pairs = pairs_by_iou(ids, gt.select(*key, F.col("det_id").alias("g_det_id"), *BOX), tuple(key), min(ious))
+    pairs = pairs.select(*key, F.col("a_p_det_id").alias("p_det_id"), F.col("a_conf").alias("conf"), F.col("b_g_det_id").alias("g_det_id"), "iou")
+    reached = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(ious))), lambda x: x["t"] <= F.col("iou"))
+    each = pairs.withColumn("at", F.explode(reached)).withColumn("k", F.col("at.k"))
+    taken = take_in_order(each, [*key, "k"], [-F.col("conf"), F.col("p_det_id"), -F.col("iou"), F.col("g_det_id")], "p_det_id", "g_det_id", "iou")
+    found = taken.groupBy("p_det_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("bits"))
+    rows = ids.join(found, "p_det_id", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    return rows.select("seq", "cls", "conf", "p_det_id", *(F.shiftright("bits", k).bitwiseAND(F.lit(1)).alias(f"t{k}") for k in range(len(ious))))
+
+
+def _parts(by_sequence: bool) -> Column:
+    return F.explode(F.array(F.lit("all"), F.col("seq").cast("string"))) if by_sequence else F.lit("all")
+
+
+def average_precision(gt: DataFrame, preds: DataFrame, ious: list[float] | tuple[float, ...], by_sequence: bool = False) -> DataFrame:
+    """cls, iou, ap: mean over 101 recalls of the best precision at that recall or more; with by_sequence also part: "all" and each sequence.
+
+    Predictions in the order of confidence, then id.  A class without truth (in that part) has no row.
+    """
+    n = gt.select("cls", _parts(by_sequence).alias("part")).groupBy("part", "cls").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(_hits(gt, preds, tuple(ious)))  # ranges are drawn from it before it is dealt
+    rows = rows.withColumn("whole", _parts(by_sequence)).withColumn("one", F.lit(1))
+    summed = running_sums(rows, ["whole", "cls"], [F.desc("conf"), F.asc("p_det_id")], {"seen": "one"} | {f"h{k}": f"t{k}" for k in range(len(ious))}).withColumnRenamed("whole", "of")
+    # precision only counts where recall grows, which is at hits
+    points = F.filter(F.array(*(F.when(F.col(f"t{k}") == 1, F.struct(F.lit(float(t)).alias("iou"), F.col(f"h{k}").alias("h"))) for k, t in enumerate(ious))), lambda x: x.isNotNull())
+    hits = summed.select(F.col("of").alias("part"), "cls", "seen", F.explode(points).alias("x")).join(n, ["part", "cls"])
+    level = F.floor(F.col("x.h") / F.col("n") * 100 + 1e-9).cast("int")
+    curve = hits.groupBy("part", "cls", F.col("x.iou").alias("iou"), level.alias("level")).agg(F.max(F.col("x.h") / F.col("seen")).alias("p"))
+    # recalls up to a level, from the one below it, have the best precision of that level and all above
+    of = Window.partitionBy("part", "cls", "iou")
+    best = F.max("p").over(of.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+    below = F.coalesce(F.lag("level").over(of.orderBy("level")), F.lit(-1))
+    found = curve.withColumn("share", best * (F.col("level") - below)).groupBy("part", "cls", "iou").agg((F.sum("share") / 101).alias("ap"))
+    asked = n.select("part", "cls", F.explode(F.array(*(F.lit(float(t)) for t in ious))).alias("iou"))
+    out = asked.join(found, ["part", "cls", "iou"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    return out.select(*(["part"] if by_sequence else []), "cls", "iou", "ap")
+
+
+def mean_average_precision(gt: DataFrame, preds: DataFrame, classes: tuple[str, ...] = ("player", "goalkeeper", "referee", "ball"), ious: tuple[float, ...] = IOUS) -> DataFrame:
+    """part ("all" and each sequence), cls, truth, ap50, ap75 and map (mean over the thresholds).  Without truth all three are 1 if nothing was predicted, else 0."""
+    ap = average_precision(gt, preds, ious, True).groupBy("part", "cls").agg(*(F.max(F.when(F.abs(F.col("iou") - t) < 1e-9, F.col("ap"))).alias(name) for name, t in (("ap50", 0.5), ("ap75", 0.75))), F.avg("ap").alias("map"))
+    count = lambda t, name: t.select("cls", _parts(True).alias("part")).groupBy("part", "cls").agg(F.count(F.lit(1)).alias(name))
+    seqs = gt.select("seq").union(preds.select("seq")).distinct()
+    asked = seqs.select(_parts(True).alias("part")).distinct().select("part", F.explode(F.array(*(F.lit(c) for c in classes))).alias("cls"))
+    all_ = asked.join(count(gt, "truth"), ["part", "cls"], "left").join(count(preds, "said"), ["part", "cls"], "left").join(ap, ["part", "cls"], "left")
+    none = F.when(F.col("said").isNull(), 1.0).otherwise(0.0)
+    return all_.select("part", "cls", F.coalesce("truth", F.lit(0)).alias("truth"), *(F.when(F.col("truth").isNull(), none).otherwise(F.col(c)).alias(c) for c in ("ap50", "ap75", "map")))
 
 
 def mcnemar(b: Column, c: Column) -> Column:

@@ -115,13 +115,13 @@ def _flips(bits: int, most: int) -> int:
 
 
 def choose_bands(max_dist: int, probing: int, indexed: int) -> int:
-    """How many bands make the fewest rows, probes and expected candidates of random hashes together; those that make candidates of fewer than 1 % of all pairs go first."""
+    """How many bands make the fewest rows, probes and expected candidates of random hashes together; those that make candidates of fewer than 1 % of all pairs with at most 1,000 probes a hash go first."""
     costs = []
     for n in range(3, 17):
         bands = _bands(max_dist, n)
         probes, share = sum(_flips(b, m) for _, b, m in bands), sum(_flips(b, m) / 2**b for _, b, m in bands)
         if probes <= 30_000:
-            costs.append((share > 0.01, probing * probes + probing * indexed * share, n))
+            costs.append((share > 0.01 or probes > 1000, probing * probes + probing * indexed * share, n))
     return min(costs)[2] if costs else 16
 
 

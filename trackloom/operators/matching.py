@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .graph import connected_components
-from .linking import Linker
 from .joins import BOX, KEY, adjacent_pairs, pairs_by_iou, side
+from .linking import Linker
 
 
-def _take_in_order(pairs: DataFrame, key: list[str], order: list[Column], a: str, b: str, value: str) -> DataFrame:
+def take_in_order(pairs: DataFrame, key: list[str], order: list[Column], a: str, b: str, value: str) -> DataFrame:
     """Of each group's pairs, in order, those whose a and b are both still free."""
     item = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(a).alias("a"), F.col(b).alias("b"), F.col(value).alias("v"))
     none = F.array().cast("array<bigint>")
@@ -41,10 +41,10 @@ def match_one_to_one(gt: DataFrame, preds: DataFrame, thr: float = 0.5, cost: st
     if cost == "iou":
         pairs = pairs_by_iou(side(gt, "g", tuple(key)).select(*key, "g_det_id", *(F.col(f"g_{c}").alias(c) for c in BOX)), side(preds, "p", tuple(key)).select(*key, "p_det_id", *(F.col(f"p_{c}").alias(c) for c in BOX)), tuple(key), thr)
         pairs = pairs.select(*key, F.col("a_g_det_id").alias("g_det_id"), F.col("b_p_det_id").alias("p_det_id"), "iou")
-        return _take_in_order(pairs, key, [-F.col("iou"), F.col("g_det_id"), F.col("p_det_id")], "g_det_id", "p_det_id", "iou")
+        return take_in_order(pairs, key, [-F.col("iou"), F.col("g_det_id"), F.col("p_det_id")], "g_det_id", "p_det_id", "iou")
     both = side(gt, "g", tuple(key)).join(side(preds, "p", tuple(key)), key).withColumn("d", g.dist(g.center(g.box("g_")), g.center(g.box("p_"))))
     near = both.where(F.col("d") < (max_dist or thr)).select(*key, "g_det_id", "p_det_id", "d")
-    return _take_in_order(near, key, [F.col("d"), F.col("g_det_id"), F.col("p_det_id")], "g_det_id", "p_det_id", "d")
+    return take_in_order(near, key, [F.col("d"), F.col("g_det_id"), F.col("p_det_id")], "g_det_id", "p_det_id", "d")
 
 
 def match_by_confidence(gt: DataFrame, preds: DataFrame, thr: float = 0.5, by_class: bool = True) -> DataFrame:

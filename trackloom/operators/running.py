@@ -9,7 +9,7 @@ from ..plans.storage import cut
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """df with, for each name -> column of sums, its sum over the rows of the group up to this one in an order without ties.
+    """df (without a column ``part``) with, for each name -> column of sums, its sum over the rows of the group up to this one in an order without ties.
 
     Rows are dealt to parts by ranges of (group, order), so a group of any size is many parts.  Each part sums by itself, and what stands
     before it comes from the parts' totals, a row for each part.  The parts are cut into a table, so they are the same for both.

@@ -84,6 +84,11 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.average_precision(_gt(spark, sf), _preds(spark, sf), [0.5, 0.75]).select("cls", "iou", F.round("ap", 6).alias("ap"))
 
 
+def mean_average_precision(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluate.mean_average_precision(_gt(spark, sf), _preds(spark, sf, "seq % 3 <> 1 or cls <> 'ball'"))
+    return _rounded(found, "ap50", "ap75", "map")
+
+
 def paired_models(spark: SparkSession, sf: str) -> DataFrame:
     found = evaluate.paired_compare(_gt(spark, sf), _preds(spark, sf, "det_id % 7 <> 0"), _preds(spark, sf, "det_id % 4 <> 0"), 0.5)
     return _rounded(found, "mean_iou_a", "mean_iou_b", "p_value")
@@ -98,7 +103,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
-QUERIES = {f.__name__: f for f in (greedy_matches, centre_matched, confidence_matches, suppressed_duplicates, merged_centres, deduped_labels, annotation_agreement, tracklets, identity_mapping, linked_tracks, precision_recall, role_confusion, threshold_grid, average_precision, paired_models, geometry_errors)}
+QUERIES = {f.__name__: f for f in (greedy_matches, centre_matched, confidence_matches, suppressed_duplicates, merged_centres, deduped_labels, annotation_agreement, tracklets, identity_mapping, linked_tracks, precision_recall, role_confusion, threshold_grid, average_precision, mean_average_precision, paired_models, geometry_errors)}
 
 _SETS = """gt AS (SELECT * FROM detections WHERE det_id % 3 <> 0),
 pr AS (SELECT seq, frame, det_id, x1 + det_id % 5 AS x1, y1, x2 + det_id % 5 AS x2, y2, cls, conf FROM detections)"""
@@ -196,3 +201,14 @@ d AS (SELECT c.cls, iou, sum(tp) OVER w / CAST(n AS DOUBLE) r, sum(tp) OVER w /
 k AS (SELECT cls, iou, i / CAST(100 AS DOUBLE) at FROM n, th, range(101) t(i))
 SELECT k.cls, k.iou, round(avg(coalesce((SELECT max(q) FROM d WHERE d.cls = k.cls AND d.iou = k.iou AND d.r >= k.at - 1e-12), 0)), 6) ap FROM k GROUP BY 1, 2"""
 ORACLE_SQL["average_precision"] = with_adapters(_AP.replace("/ CAST(100 AS DOUBLE) at", "/ CAST(100 AS DOUBLE) rc").replace("k.at", "k.rc"), "detections")
+_MAP = f"""{_AP[: _AP.index("n AS (SELECT cls")].replace("[0.5, 0.75]", "[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]").replace("cls, conf FROM detections)", "cls, conf FROM detections WHERE seq % 3 <> 1 OR cls <> 'ball')")}parts AS (SELECT DISTINCT seq FROM detections WHERE det_id % 3 <> 0 OR seq % 3 <> 1 OR cls <> 'ball'),
+ask AS (SELECT part, cls FROM (SELECT 'all' part UNION ALL SELECT CAST(seq AS VARCHAR) FROM parts), (VALUES ('player'), ('goalkeeper'), ('referee'), ('ball')) c(cls)),
+g2 AS (SELECT 'all' part, cls FROM gt UNION ALL SELECT CAST(seq AS VARCHAR), cls FROM gt), n AS (SELECT part, cls, count(*) n FROM g2 GROUP BY 1, 2),
+p2 AS (SELECT 'all' part, cls, conf, det_id FROM pr UNION ALL SELECT CAST(seq AS VARCHAR), cls, conf, det_id FROM pr), s AS (SELECT part, cls, count(*) s FROM p2 GROUP BY 1, 2),
+c AS (SELECT p2.part, p2.cls, th.iou, p2.conf, p2.det_id, CAST(h.p IS NOT NULL AS INT) tp FROM p2 JOIN th ON true LEFT JOIN hit h ON h.iou = th.iou AND h.p = p2.det_id),
+d AS (SELECT part, cls, iou, sum(tp) OVER w / CAST(n AS DOUBLE) r, sum(tp) OVER w / CAST(count(*) OVER w AS DOUBLE) q FROM c JOIN n USING (part, cls) WINDOW w AS (PARTITION BY part, cls, iou ORDER BY conf DESC, det_id ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT part, cls, iou, CAST(floor(r * 100 + 1e-9) AS INT) l, max(q) q FROM d GROUP BY ALL),
+a AS (SELECT part, cls, iou, sum(b) / 101 ap FROM (SELECT n.part, n.cls, th.iou, i, max(l.q) b FROM n JOIN th ON true JOIN range(101) t(i) ON true LEFT JOIN l ON l.part = n.part AND l.cls = n.cls AND l.iou = th.iou AND l.l >= i GROUP BY ALL) GROUP BY ALL)
+SELECT part, cls, coalesce(n, 0) truth, round(CASE WHEN n IS NULL THEN CASE WHEN s IS NULL THEN 1 ELSE 0 END ELSE coalesce(max(ap) FILTER (WHERE iou = 0.5), 0) END, 6) ap50, round(CASE WHEN n IS NULL THEN CASE WHEN s IS NULL THEN 1 ELSE 0 END ELSE coalesce(max(ap) FILTER (WHERE iou = 0.75), 0) END, 6) ap75,
+ round(CASE WHEN n IS NULL THEN CASE WHEN s IS NULL THEN 1 ELSE 0 END ELSE coalesce(avg(coalesce(ap, 0)), 0) END, 6) AS "map" FROM ask LEFT JOIN n USING (part, cls) LEFT JOIN s USING (part, cls) LEFT JOIN a USING (part, cls) GROUP BY part, cls, n, s"""
+ORACLE_SQL["mean_average_precision"] = with_adapters(_MAP, "detections")
