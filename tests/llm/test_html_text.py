@@ -88,3 +88,58 @@ def test_names_in_an_article():
         ('<article><p>t</p><p class="advert">Buy</p><div class="share">Share</div><div class="comments"><p>c</p></div></article>', "t"),
     ]:
         assert ht.Page(html).main_text() == want, html
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<article><div class="promotion"><p>The promotion of chess players</p></div><p>x</p></article>', "The promotion of chess players\nx"),
+    ('<article><section id="search"><p>binary search text</p></section></article>', "binary search text"),
+    ('<article><div id="widget"><p>How widgets work</p></div></article>', "How widgets work"),
+    ('<article><div class="banner"><p>Banners of war</p></div></article>', "Banners of war"),
+    ('<article><div class="share"><p>share of votes</p></div></article>', "share of votes"),
+    ('<main><div class="social"><p>Only text</p></div></main>', "Only text"),
+    ('<article><p>t</p><div class="share">Share</div><div class="related"><p><a href="/1">One more story</a></p></div><div class="newsletter"><p>Get it</p><input name="m"></div></article>', "t"),
+    ('<main><p>t</p><div class="comments"><p>c</p></div></main>', "t"),
+])
+def test_a_word_alone_drops_nothing_of_an_article(html, text):
+    assert ht.Page(html).main_text() == text
+
+
+@pytest.mark.parametrize("html", ["<div>" * 40_000 + "</span>" * 40_000, '<a "' * 250_000, "<![CDATA[" * 100_000, "<article>" + "<div>x" * 40_000, "<script" * 100_000, "<a '\">" * 100_000, "<select>" * 100_000 + ">", "<b>" * 60_000 + "</i>" * 60_000, "<ul><li>" * 20_000, "<" * 500_000])
+def test_long_odd_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    ht.Page(html).main_text()
+    assert time.process_time() - began < 20
+
+
+def test_templates_equal_a_count_of_trees(spark):
+    """Boxes outside the article, counted by an XML parser: those that a fifth of a host's pages hold, and three, go."""
+    import random
+    import xml.etree.ElementTree as ET
+    from collections import defaultdict
+
+    r = random.Random(8)
+    box = lambda host, k: f'<section class="k{k % 2}"><span>{host} box {k}</span><div>inner {k % 3}</div></section>'
+    rows = []
+    for host, n in (("a.com", 40), ("b.com", 9), ("c.com", 2)):
+        for i in range(n):
+            boxes = [box(host, k) for k in range(12) if r.random() < (0.9, 0.5, 0.3, 0.15, 0.1, 0.05)[k % 6]]
+            rows.append((len(rows), f"http://{host}/{i}", f"<body><p>page {len(rows)}</p>{''.join(boxes)}</body>"))
+    pages, total = defaultdict(set), defaultdict(int)
+    for i, url, html in rows:
+        host = url.split("/")[2]
+        total[host] += 1
+        for e in ET.fromstring(html).iter():
+            if e.tag in ("section", "div"):
+                pages[host, ET.tostring(e)].add(i)
+    gone = {k for k, v in pages.items() if len(v) >= 3 and len(v) >= 0.2 * total[k[0]]}
+    want = {}
+    for i, url, html in rows:
+        out = []
+        for e in ET.fromstring(html):
+            if (url.split("/")[2], ET.tostring(e)) not in gone:
+                out += [e.text] if e.tag == "p" else [e[0].text] + ([e[1].text] if (url.split("/")[2], ET.tostring(e[1])) not in gone else [])
+        want[i] = "\n".join(out)
+    got = {x.page_id: x.text for x in ht.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and any(len(want[i].split("\n")) > 2 for i in want) and len(gone) > 5

@@ -4,7 +4,7 @@
    gets a hash of its whole subtree (tag, class, contents).  Spark counts, for each host, on how many different pages each
    hash occurs; task-side and partial counts come before the shuffle, so a host with a third of all pages is no larger than
    its number of different subtrees.
-2. Subtrees that ``LEAST_PAGES`` different pages of a host hold are its template.  Pages are read again: what remains is the text of
+2. Subtrees that a ``SHARE`` of a host's different pages hold (three of them at least) are its template.  Pages are read again: what remains is the text of
    their articles (or of main, or of the body) without template subtrees and without what the markup itself names as
    menu, header, footer, sidebar, notice, advert, form, script, style or reader comment.
 
@@ -14,7 +14,8 @@ themselves, and in an article only lists of links are.  The template hashes go t
 them take more narrow steps.  Pages are never shuffled.
 
 Names are whole tokens of class or id (``sidebar``, ``comment-list``, ``site-footer``; not ``no-sidebar`` or ``category-social``).  An article,
-and a paragraph, heading, quotation, preformatted text or figure in one, is named as something else only as a comment or advert.  If all articles and mains of a page are in elements so named, those with
+and a paragraph, heading, quotation, preformatted text or figure in one, is named as something else only as a comment or advert; a container in an article or main as
+anything else only if it also holds no such element, or is mostly links, or has a form's controls.  If all articles and mains of a page are in elements so named, those with
 the fewest such elements around them are the page's, and their wrappers count as unnamed, if they hold more text than what is left otherwise.
 
 A block is the text between borders of block-level elements: references decoded, white space (br too) as one space, trimmed.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,10 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
 from .text import utf8
 
-#: Different pages of a host that make a subtree a template, and template hashes broadcast at once.
-LEAST_PAGES, BROADCAST = 10, 1_000_000
+#: Share of a host's different pages that makes a subtree a template, of three pages at least; template hashes broadcast at once.
+SHARE, FEWEST, BROADCAST = 0.2, 3, 1_000_000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,12 +63,16 @@ AFTER = frozenset("list area section box block wrap wrapper container bar links
 NOT_POST = frozenset("ad ads advert adverts advertisement sponsored comment comments commentlist reply replies respond".split())
 TOPICS, HEADER = frozenset(["discussion"]), frozenset(["header"])
 LISTS = frozenset("ul ol menu div section table dl aside nav".split())
+#: Names of containers beside NOT_POST: a search box, say, or a sidebar.
+STRONG = WORDS - TOPICS
+#: Elements of forms.
+CONTROLS = frozenset("form input button select textarea".split())
 #: What an article tells in.
 TELLING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption".split())
 #: Text that is never template by itself.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _WORD = re.compile(r"[a-z0-9]+")
@@ -84,12 +91,22 @@ def _named(tokens: str, words: frozenset[str]) -> bool:
 
 
 class _Element:
-    __slots__ = ("article", "from_block", "key", "link", "main", "named", "out", "parts", "tag")
+    __slots__ = ("article", "from_block", "key", "link", "main", "named", "out", "parts", "since", "tag")
 
     def __init__(self, tag, out, named, article, main, link, key, from_block):
+        self.since = None  # of a container in an article that its name tells from it: elements of text and forms before it
         self.tag, self.out, self.named, self.article, self.main, self.link, self.key, self.from_block, self.parts = tag, out, named, article, main, link, key, from_block, []
 
 
+def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Which of n places are in any of the spans."""
+    step = np.zeros(n + 1, np.int64)
+    for a, b in spans:
+        step[a] += 1
+        step[b] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
 class Page:
     """blocks: (text, out: named as something else, in an article, in main, characters in links); subtrees: (hash, first block, end)."""
 
@@ -99,44 +116,73 @@ class Page:
         self.named: list[tuple[int, ...]] = []  # of each block, the elements around it that only their names tell from the article
         self.roots: set[tuple[int, ...]] = set()  # the same of each outermost article and main
         self.names = 0
+        self.unended: set[str] = set()  # raw elements that have no end from here on
         self.text: list[str] = []
         self.links = 0
+        self.weak: list[tuple[int, int]] = []  # of containers in an article, from and to which block, that their name and their contents tell from it
+        self.chars, self.linked = [0], [0]  # of all blocks so far: characters, and those in links
+        self.telling = self.controls = 0  # elements so far that an article tells in, and of forms
+        self.opened: Counter[str] = Counter()
         top = _Element("", False, (), False, False, False, "", 0)
         self.stack = [top]
-        at, n = 0, len(html)
+        self._read(html)
+        while len(self.stack) > 1:
+            self._close()
+        self._flush()
+        if any(self.named):
+            self._settle()
+        for k in np.flatnonzero(_covered(self.weak, len(self.blocks))).tolist():
+            self.blocks[k] = (self.blocks[k][0], True, *self.blocks[k][2:])
+
+    def _read(self, html: str) -> None:
+        """Cuts html into tags, text and what is neither; one pass, as what has no end is known beforehand."""
+        at, n, last, cdata = 0, len(html), html.rfind(">"), html.rfind("]]>")
         while at < n:
-            m = _TOKEN.search(html, at)
-            if m is None:
+            begin = html.find("<", at)
+            if begin < 0 or begin > last and not html.startswith("<!--", begin):
                 self._data(html[at:])
-                break
-            if m.start() > at:
-                self._data(html[at : m.start()])
-            at = m.end()
-            tag = m[2] or m[5]
-            if tag is None:
-                if m[0].startswith("<![CDATA["):
-                    self._data(m[0][9:-3], False)
+                return
+            sign = html[begin + 1 : begin + 2]
+            end, tag, m = 0, None, None
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4) + 3
+                end = end if end > 2 else n
+            elif begin < cdata and html.startswith("<![CDATA[", begin):
+                end = html.find("]]>", begin) + 3
+            elif sign in ("!", "?"):
+                end = html.find(">", begin) + 1
+            elif sign == "/" or sign.isalpha():
+                m = _TAG.match(html, begin)
+                end = m.end() if m else 0
+            if not end:  # a "<" that is text
+                self._data(html[at : begin + 1])
+                at = begin + 1
+                continue
+            if begin > at:
+                self._data(html[at:begin])
+            at = end
+            if m is None:
+                if html.startswith("<![CDATA[", begin) and html.startswith("]]>", end - 3):
+                    self._data(html[begin + 9 : end - 3], False)
                 continue
-            tag = tag.lower()
+            tag = (m[2] or m[5]).lower()
             if m[1] or m[4]:
                 self._end(tag)
                 continue
+            self.controls += tag in CONTROLS
             if tag in _RAW_END:
-                end = _RAW_END[tag].search(html, at) if not m[0].endswith("/>") else None
-                if end:
+                close = _RAW_END[tag].search(html, at) if not m[0].endswith("/>") and tag not in self.unended else None
+                if close:
                     if tag == "textarea":
-                        self._data(html[at : end.start()])
-                    at = end.end()
-                elif not m[0].endswith("/>") and tag in ("script", "style"):
-                    at = n
+                        self._data(html[at : close.start()])
+                    at = close.end()
+                elif not m[0].endswith("/>"):
+                    self.unended.add(tag)
+                    if tag in ("script", "style"):
+                        at = n
                 self.stack[-1].parts.append(tag)
                 continue
             self._start(tag, m[3] or m[6] or "", m[0].endswith("/>"))
-        while len(self.stack) > 1:
-            self._close()
-        self._flush()
-        if any(self.named):
-            self._settle()
 
     def _settle(self) -> None:
         """Marks the blocks in elements named as something else, but for those that hold the page's article."""
@@ -162,6 +208,8 @@ class Page:
                 e = self.stack[-1]
                 self.blocks.append((text, e.out, e.article, e.main, self.links))
                 self.named.append(e.named)
+                self.chars.append(self.chars[-1] + len(text))
+                self.linked.append(self.linked[-1] + self.links)
                 e.parts.append(text)
             self.text = []
         self.links = 0
@@ -183,7 +231,7 @@ class Page:
         if not block and tag != "a":
             if empty:
                 return
-            self.stack.append(_Element(tag, e.out, e.named, e.article, e.main, e.link, "", len(self.blocks)))
+            self._open(_Element(tag, e.out, e.named, e.article, e.main, e.link, "", len(self.blocks)))
             self._inherit(e)
             return
         named = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)} if attributes else {}
@@ -193,28 +241,40 @@ class Page:
         main = e.main or tag == "main" or role == "main" or "articlebody" in named.get("itemprop", "")
         root = article > e.article or main > e.main
         out = e.out or tag in NOT_ARTICLE - WRAPPERS or role in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        other = False
+        other, since = False, None
+        self.telling += tag in TELLING
         if tag == "article" and not e.article:
             other = _named(words, NOT_POST)
         elif article and tag in TELLING:  # in an article, one word in a name is no evidence against its text
             other = _named(words, NOT_POST)
+        elif e.article or e.main:  # in what the page tells, a word in a name is evidence together with the contents
+            other = tag in WRAPPERS or _named(words, NOT_POST)
+            if not other and _named(words, STRONG):
+                since = self.telling, self.controls
         elif tag not in ("html", "body") and not (root and main > e.main):
-            other = tag in WRAPPERS or _named(words, WORDS - TOPICS if tag == "section" and article else WORDS) or not article and (tag == "header" or _named(words, HEADER))
+            other = tag in WRAPPERS or _named(words, STRONG) or not article and (tag == "header" or _named(words, HEADER))
         names = e.named
         if other:
             self.names += 1
             names = (*names, self.names)
         if root and not out and not (e.article or e.main):
             self.roots.add(names)
-        self.stack.append(_Element(tag, out, names, article, main, e.link or tag == "a", named.get("class", ""), len(self.blocks)))
+        self._open(_Element(tag, out, names, article, main, e.link or tag == "a", named.get("class", ""), len(self.blocks)))
+        self.stack[-1].since = since
         if not block:
             self._inherit(e)
 
+    def _open(self, e: _Element) -> None:
+        self.stack.append(e)
+        self.opened[e.tag] += 1
+
     def _inherit(self, parent: _Element) -> None:
         """An inline element's text belongs to its parent's block."""
         self.stack[-1].parts = parent.parts
 
     def _end(self, tag: str, within: tuple[str, ...] = ("td", "th", "article", "section", "div", "body")) -> None:
+        if not self.opened[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 while len(self.stack) > k:
@@ -228,23 +288,24 @@ class Page:
         if e.tag in BLOCKS:
             self._flush()
         self.stack.pop()
+        self.opened[e.tag] -= 1
         if e.tag not in BLOCKS:
             return
-        parent = self.stack[-1]
+        parent, upto = self.stack[-1], len(self.blocks)
         digest = xxhash.xxh3_64_intdigest("\x00".join((e.tag, e.key, *e.parts)))
         parent.parts.append(f"\x01{digest:x}")
-        mine = self.blocks[e.from_block :]
-        if not mine or e.tag in PROSE or e.tag in ("html", "body", "article", "main"):
+        chars, linked = self.chars[upto] - self.chars[e.from_block], self.linked[upto] - self.linked[e.from_block]
+        links = 2 * linked >= chars
+        if e.since and upto > e.from_block and (links or self.telling == e.since[0] or self.controls > e.since[1]):
+            self.weak.append((e.from_block, upto))
+        if upto == e.from_block or e.tag in PROSE or e.tag in ("html", "body", "article", "main"):
             return
-        if not e.article or e.tag in LISTS and 2 * sum(b[4] for b in mine) >= sum(len(b[0]) for b in mine):
-            self.subtrees.append((digest, e.from_block, len(self.blocks)))
+        if not e.article or e.tag in LISTS and links:
+            self.subtrees.append((digest, e.from_block, upto))
 
     def main_text(self, template: set[int] = frozenset()) -> str:
-        dropped = [b[1] for b in self.blocks]
-        for digest, a, b in self.subtrees:
-            if digest in template:
-                dropped[a:b] = [True] * (b - a)
-        left = [b for b, out in zip(self.blocks, dropped) if not out]
+        inside = _covered([(a, b) for digest, a, b in self.subtrees if digest in template], len(self.blocks))
+        left = [b for b, out in zip(self.blocks, inside.tolist()) if not out and not b[1]]
         for k in (2, 3):
             if any(b[k] and not b[1] for b in self.blocks):
                 left = [b for b in left if b[k]]
@@ -264,26 +325,30 @@ def _keyed(url: str | None, digests) -> list[int]:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, subtree, page) of each subtree, and of each page itself (subtree: null)."""
     for b in batches:
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int | None, int]] = set()
         for url, raw in zip(b.column("url").to_pylist(), utf8(b.column("html"))):
             page = Page(raw.decode())
-            whole = xxhash.xxh3_64_intdigest(page.main_text()) >> 1
-            seen.update((k, whole) for k in set(_keyed(url, (d for d, _, _ in page.subtrees))))
+            whole, (host,) = xxhash.xxh3_64_intdigest(page.main_text()) >> 1, _keyed(url, (0,))
+            seen.add((host, None, whole))
+            seen.update((host, k, whole) for k in set(_keyed(url, (d for d, _, _ in page.subtrees))))
         rows = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["subtree", "page"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["host", "subtree", "page"])
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """(subtree): hashes of (host, subtree) that at least so many different pages of the host hold."""
-    held = pages.select("url", "html").mapInArrow(_subtrees, "subtree long, page long").distinct()
-    return held.groupBy("subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least).select("subtree")
+def templates(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """(subtree): hashes of (host, subtree) that at least this share of the host's different pages hold, and at least ``FEWEST`` of them."""
+    held = pages.select("url", "html").mapInArrow(_subtrees, "host long, subtree long, page long").distinct()
+    counts = cut(held.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")))
+    all_ = counts.where("subtree is null").select("host", F.col("pages").alias("all"))
+    return counts.where("subtree is not null").where(F.col("pages") >= FEWEST).join(all_, "host").where(F.col("pages") >= share * F.col("all")).select("subtree")
 
 
-def extracted(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
     spark = pages.sparkSession
-    found = templates(pages, least).persist()
+    found = cut(templates(pages, share))
     steps = max(1, -(-found.count() // BROADCAST))
     out = pages.select("page_id", "url", "html", F.lit(None).cast("array<bigint>").alias("drop"))
     for k in range(steps):  # each marks the page's subtrees that are among some of the templates
@@ -291,7 +356,6 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
         shared = spark.sparkContext.broadcast(np.sort(some.toArrow().column("subtree").to_numpy()))
         if k < steps - 1:
             out = out.mapInArrow(_marked(shared), out.schema)
-    found.unpersist()
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
     return out.mapInArrow(_texts(shared), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
 
