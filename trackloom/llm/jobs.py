@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +41,20 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         give_back()
 
     return task
+
+
+def tidy(run: Callable[[pd.DataFrame], pd.DataFrame], column: str, every: int = 16_000_000) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """An applyInPandas function that gives memory back each time it has seen so many bytes of a column of binaries."""
+    seen = 0
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        nonlocal seen
+        out = run(rows)
+        seen += sum(map(len, rows[column]))
+        if seen >= every:
+            seen = 0
+            del rows
+            give_back()
+        return out
+
+    return group

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.storage import cut
-from .jobs import released, shuffle_width
+from .jobs import released, shuffle_width, tidy
 from .text import BASES, Rolling, WordHashes, utf8
 
 #: Words in a shingle, and the similarity of a link as a fraction, of the contract.
@@ -330,7 +330,7 @@ def _components(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
     split = cut(split.select("key", "node", F.explode("part").alias("part")))
     near = split.select("node").distinct()
     sets = cut(_sets_of(texts, nodes.join(near, "node", "left_semi").select("lone", "key"), n))
-    links = cut(split.join(sets, "node").groupBy("key", "part").applyInPandas(_links_of_part(num, den), "a long, b long"))
+    links = cut(split.join(sets, "node").groupBy("key", "part").applyInPandas(tidy(_links_of_part(num, den), "shingles"), "a long, b long"))
     first = connected_components(links)
 
     # 3: candidates among different components
@@ -340,7 +340,7 @@ def _components(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
     prefixes = cut(prefixes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")))
     buckets = max(3 * shuffle_width(docs), 2 * texts.rdd.getNumPartitions())
     blocks = prefixes.drop(*(f"parity{i}" for i in range(PARITY))).mapInArrow(_posting_blocks(buckets), "bucket int, postings binary")
-    postings = cut(blocks.groupBy("bucket").applyInPandas(lambda g: _shared_postings(g), "h long, node long, component long, size int, at int, offers int, level int, reads int"))
+    postings = cut(blocks.groupBy("bucket").applyInPandas(tidy(lambda g: _shared_postings(g), "postings"), "h long, node long, component long, size int, at int, offers int, level int, reads int"))
     # the larger side (ties: by node) reads its prefix at its own level; the smaller side's shingle at position p belongs to level p - offers + 2 and up
     strings = lambda side: prefixes.select(F.col("node").alias(side), *(F.col(f"parity{i}").alias(f"{side}{i}") for i in range(PARITY)))
     large = postings.where("at < reads").select("h", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("at").alias("px"), "level").join(strings("x"), "x")
