@@ -393,3 +393,32 @@ def test_samples_are_stable(spark):
     assert a == [r.k for r in dupes.srswor(df.repartition(7), 10, 3, "k").collect()] and a != [r.k for r in dupes.srswor(df, 10, 4, "k").collect()]
     f = dupes.fingerprint(df, "k").first()
     assert f == dupes.fingerprint(df.repartition(5), "k").first() and f != dupes.fingerprint(df.where("k > 0"), "k").first()
+
+
+def test_picked_frames_equal_brute_force(spark):
+    import statistics
+
+    r = random.Random(6)
+    rows = [(q, f, r.random() * (6 if r.random() < 0.1 else 1), r.random(), r.choice([r.getrandbits(62), 5, 5 | 1 << 40])) for q in (0, 1) for f in range(700) if r.random() < 0.9]
+    want = []
+    for q in (0, 1):
+        mine = sorted(x for x in rows if x[0] == q)
+        sharp = sorted(x[3] for x in mine[:300])
+        at = 0.2 * (len(sharp) - 1)
+        least = sharp[int(at)] + (sharp[int(at) + 1] - sharp[int(at)]) * (at - int(at))
+        kept = []
+        for i, (_, f, motion, s, h) in enumerate(mine):
+            before = [x[2] for x in mine[max(0, i - 300) : i]]
+            why = "interval" if f % 30 == 0 else "burst" if before and motion > 2.5 * statistics.median(before) else None
+            if why and s >= least and not any(bin(h ^ k).count("1") <= 6 for k in kept[-20:]):
+                kept.append(h)
+                want.append((q, f, why))
+    got = splits.pick_frames(spark.createDataFrame(rows, "seq int, frame int, motion double, sharpness double, dhash long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {w for _, _, w in want} == {"interval", "burst"}
+
+
+def test_teams_of_two_clear_groups(spark):
+    r = random.Random(2)
+    rows = [(t, k, [10.0 * (t % 2) + r.random(), 5.0 * (t % 2) + r.random(), 3.0]) for t in range(12) for k in range(9)]
+    got = {x.track_id: x.team for x in teams.assign_teams(spark.createDataFrame(rows, "track_id long, ord long, d array<double>")).collect()}
+    assert got == {t: 1 + t % 2 for t in range(12)}

@@ -97,28 +97,33 @@ def diverse_batch(images: DataFrame, size: int, seed: int, width: int = 1000) ->
             return picked.select("image_id", "source", "turn")
 
 
-def pick_frames(features: DataFrame, interval: int = 30, burst_ratio: float = 2.5, blur_pct: float = 20.0, warm_up: int = 300, near: int = 6, last: int = 20) -> DataFrame:
-    """seq, frame, why of frames worth labelling: every interval-th, and bursts of motion over burst_ratio times the running median of 300.
+def frame_candidates(features: DataFrame, interval: int = 30, burst_ratio: float = 2.5, blur_pct: float = 20.0, warm_up: int = 300) -> DataFrame:
+    """features (seq, frame, motion, sharpness, ...) with why, of frames worth labelling: every interval-th, and bursts of motion over burst_ratio times the median of the 300 frames before.
 
-    features: seq, frame, motion, sharpness, dhash.  Frames blurrier than the blur_pct percentile of the warm-up are left out, and so are those
-    within ``near`` bits of one of the last ``last`` picks.
+    Frames blurrier than the blur_pct percentile of a sequence's first warm_up frames are left out.  Both order statistics are exact, over windows.
     """
+    by = Window.partitionBy("seq").orderBy("frame")
+    values = F.array_sort(F.collect_list("motion").over(by.rowsBetween(-300, -1)))
+    n = F.size("values")
+    median = (F.get("values", F.expr("(size(values) - 1) div 2").cast("int")) + F.get("values", F.expr("size(values) div 2").cast("int"))) / 2
+    rows = features.withColumn("values", values).withColumn("median", F.when(n > 0, median)).drop("values").withColumn("place", F.row_number().over(by))
+    least = rows.where(F.col("place") <= warm_up).groupBy("seq").agg(F.percentile("sharpness", F.lit(blur_pct / 100)).alias("least"))
+    why = F.when(F.col("frame") % interval == 0, "interval").when((F.col("median") > 0) & (F.col("motion") > burst_ratio * F.col("median")), "burst")
+    return rows.withColumn("why", why).where("why is not null").join(least, "seq").where("sharpness >= least").drop("place", "least", "median")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame")
-        least = np.percentile(group["sharpness"].iloc[:warm_up], blur_pct)
-        median = group["motion"].rolling(300, min_periods=1).median().shift(1)
-        picked: list[int] = []
-        out = []
-        for frame, motion, sharp, h, m in zip(group["frame"], group["motion"], group["sharpness"], group["dhash"], median):
-            why = "interval" if frame % interval == 0 else "burst" if m > 0 and motion > burst_ratio * m else None
-            if why is None or sharp < least or any(bin((int(h) ^ p) & (1 << 64) - 1).count("1") <= near for p in picked[-last:]):
-                continue
-            picked.append(int(h))
-            out.append((int(group["seq"].iloc[0]), int(frame), why))
-        return pd.DataFrame(out, columns=["seq", "frame", "why"])
-
-    return features.groupBy("seq").applyInPandas(run, "seq int, frame int, why string")
+
+def pick_frames(features: DataFrame, interval: int = 30, burst_ratio: float = 2.5, blur_pct: float = 20.0, warm_up: int = 300, near: int = 6, last: int = 20) -> DataFrame:
+    """seq, frame, why of the candidates that aren't within ``near`` bits (dhash) of one of the last ``last`` picks: a fold of a sequence's candidates alone."""
+    one = F.struct("frame", "dhash", "why")
+    each = frame_candidates(features, interval, burst_ratio, blur_pct, warm_up).groupBy("seq").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<struct<frame:int,why:string>>").alias("out"))
+
+    def step(acc, x):
+        seen = F.exists(acc["kept"], lambda h: F.bit_count(h.bitwiseXOR(x["dhash"])) <= near)
+        kept = F.slice(F.array_prepend(acc["kept"], x["dhash"]), 1, last)
+        return F.when(seen, acc).otherwise(F.struct(kept.alias("kept"), F.array_append(acc["out"], F.struct(x["frame"].cast("int").alias("frame"), x["why"].alias("why"))).alias("out")))
+
+    return each.select("seq", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("seq", "o.frame", "o.why")
 
 
 def content_windows(videos: DataFrame, fractions: list[float], length: int) -> DataFrame:

@@ -28,9 +28,16 @@ def diverse_batch(spark: SparkSession, sf: str) -> DataFrame:
     return splits.diverse_batch(images, 60, 3)
 
 
+def _features(spark, sf):
+    return ad.detections(spark, sf).groupBy("seq", "frame").agg(F.avg("conf").alias("sharpness"), F.avg(F.col("x1") % 17).alias("motion"), F.xxhash64(F.min("det_id")).alias("dhash"))
+
+
+def frame_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.frame_candidates(_features(spark, sf), 20, 1.5).select("seq", "frame", "why")
+
+
 def picked_frames(spark: SparkSession, sf: str) -> DataFrame:
-    f = ad.detections(spark, sf).groupBy("seq", "frame").agg(F.avg("conf").alias("sharpness"), F.avg(F.col("x1") % 17).alias("motion"), F.xxhash64(F.min("det_id")).alias("dhash"))
-    return splits.pick_frames(f, 20, 1.5)
+    return splits.pick_frames(_features(spark, sf), 20, 1.5)
 
 
 def content_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,11 +149,14 @@ def ball_ids(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.keep_ball_id(_sel(spark, sf), tracks).select("seq", "frame", "track_id")
 
 
-QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, picked_frames, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding, temporal_scores, truth_statistics, event_census, run_audit, prevalence, tile_counts, ball_ids)}
+QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, frame_candidates, picked_frames, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding, temporal_scores, truth_statistics, event_census, run_audit, prevalence, tile_counts, ball_ids)}
 
 _SEL = "sel AS (SELECT f.seq, f.frame, b.x1, b.y1, b.x2, b.y2 FROM frames f LEFT JOIN (SELECT * FROM ball_candidates WHERE conf >= 0.25 QUALIFY row_number() OVER (PARTITION BY seq, frame ORDER BY conf DESC, x1, cand_id DESC) = 1) b USING (seq, frame))"
 _STREAM = "(SELECT CAST(user_id // 5 AS INT) seq, epoch(ts)::BIGINT t, CAST(json_extract_string(props, '$.k') AS DOUBLE) k FROM events)"
 ORACLE_SQL = {
+    "frame_candidates": ad.with_adapters("""WITH f AS (SELECT seq, frame, avg(conf) sharpness, avg(x1 % 17) motion FROM detections GROUP BY 1, 2),
+w AS (SELECT *, quantile_cont(motion, 0.5) OVER (PARTITION BY seq ORDER BY frame ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING) m, row_number() OVER (PARTITION BY seq ORDER BY frame) n FROM f), l AS (SELECT seq, quantile_cont(sharpness, 0.2) least FROM w WHERE n <= 300 GROUP BY 1)
+SELECT seq, frame, CASE WHEN frame % 20 = 0 THEN 'interval' ELSE 'burst' END why FROM w JOIN l USING (seq) WHERE (frame % 20 = 0 OR m > 0 AND motion > 1.5 * m) AND sharpness >= least""", "detections"),
     "content_windows": ad.with_adapters("""WITH v AS (SELECT seq, count(*) n FROM frames GROUP BY 1), w AS (SELECT seq, i AS "window", CAST(floor(f * greatest(n - 20, 0)) AS INT) a, CAST(least(floor(f * greatest(n - 20, 0)) + 20, n) AS INT) - 1 b FROM v, (VALUES (0, CAST(0.1 AS DOUBLE)), (1, CAST(0.15 AS DOUBLE)), (2, CAST(0.5 AS DOUBLE)), (3, CAST(0.9 AS DOUBLE))) t(i, f))
 SELECT seq, "window", a AS "first", b AS "last" FROM (SELECT *, lag(b) OVER (PARTITION BY seq ORDER BY "window") p FROM w) WHERE p IS NULL OR a > p""", "frames"),
     "uniform_frames": ad.with_adapters("SELECT seq, CAST(i AS INT) i, CAST(((2*i+1)*n) // 14 AS INT) frame FROM (SELECT seq, count(*) n FROM frames GROUP BY 1), range(7) t(i)", "frames"),
