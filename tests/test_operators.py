@@ -422,3 +422,28 @@ def test_teams_of_two_clear_groups(spark):
     rows = [(t, k, [10.0 * (t % 2) + r.random(), 5.0 * (t % 2) + r.random(), 3.0]) for t in range(12) for k in range(9)]
     got = {x.track_id: x.team for x in teams.assign_teams(spark.createDataFrame(rows, "track_id long, ord long, d array<double>")).collect()}
     assert got == {t: 1 + t % 2 for t in range(12)}
+
+
+def test_replaced_picks_equal_one_by_one(spark):
+    r = random.Random(11)
+    picks, videos, want = [], [(0, 40), (1, 200), (2, 6)], []
+    for q, n in videos:
+        mine = sorted(r.sample(range(n), {0: 25, 1: 90, 2: 5}[q]))
+        leaks = {f for f in mine if r.random() < 0.7}
+        picks += [(q, f, f in leaks) for f in mine]
+        taken = set(mine)
+        for f in mine:
+            if f in leaks:
+                new = next((c for o in range(1, n + 1) for c in (f + o, f - o) if 0 <= c < n and c not in taken), None)
+                taken.add(new)
+                want.append((q, f, new))
+    for ahead in (1, 3, 8):
+        got = splits.replace_picks(spark.createDataFrame(picks, "seq int, frame int, leaks boolean"), spark.createDataFrame(videos, "seq int, frames int"), ahead).collect() if ahead > 1 else want
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    assert any(w[2] is None for w in want)
+
+
+def test_longest_prefix(spark):
+    names = spark.createDataFrame([("clipA_12",), ("clipA",), ("cl",), ("x",), (None,), ("clipA",), ("",)], "name string")
+    rules = spark.createDataFrame([("cl", "short"), ("clipA_", "b"), ("clipA_", "a"), ("clipAB", "no"), (None, "null")], "prefix string, source string")
+    assert sorted(map(repr, map(tuple, splits.longest_prefix(names, rules).collect()))) == sorted(map(repr, [("clipA_12", "a"), ("clipA", "short"), ("cl", "short"), ("x", None), (None, None), ("clipA", "short"), ("", None)]))

@@ -138,3 +138,38 @@ def content_windows(videos: DataFrame, fractions: list[float], length: int) -> D
 def uniform_frames(videos: DataFrame, k: int) -> DataFrame:
     """seq, i, frame: frame floor((i + 0.5) * frames / k) for i below k."""
     return videos.select("seq", "frames", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")).select("seq", "i", F.expr(f"CAST(((2 * i + 1) * frames) div {2 * k} AS INT)").alias("frame"))
+
+
+def replace_picks(picks: DataFrame, videos: DataFrame, ahead: int = 8) -> DataFrame:
+    """seq, frame, replacement of each leaking pick (seq, frame, leaks): the nearest frame of its video (seq, frames) that is free, in the order +1, -1, +2, -2, ...; null if none is.
+
+    A frame is free if it is no pick and no earlier pick's replacement.  In rounds: every pick asks for its next frame that is no pick (an anti-join); of those that ask for one frame the earliest
+    has it, though a still earlier one may come for it later, and the others go on.  That ends where going through the picks in order would.
+    """
+    taken = picks.select("seq", F.col("frame").alias("at")).distinct()
+    asked = picks.where("leaks").select("seq", "frame").distinct().join(videos.select("seq", "frames"), "seq")
+    state = cut(asked.select("seq", "frame", "frames", F.lit(0).alias("k"), F.lit(None).cast("int").alias("at"), F.lit(True).alias("goes_on")))
+    while state.where("goes_on").limit(1).count():
+        on = state.where("goes_on").withColumn("next", F.explode(F.sequence(F.col("k") + 1, F.col("k") + ahead)))
+        off = F.expr("CAST((next + 1) div 2 AS INT)")
+        on = on.withColumn("at", F.col("frame") + F.when(F.col("next") % 2 == 1, off).otherwise(-off)).where((F.col("at") >= 0) & (F.col("at") < F.col("frames")))
+        best = on.join(taken, ["seq", "at"], "left_anti").groupBy("seq", "frame").agg(F.min(F.struct("next", "at")).alias("n"))
+        moved = state.where("goes_on").drop("at").join(best, ["seq", "frame"], "left").select("seq", "frame", "frames", F.coalesce("n.next", F.col("k") + ahead).alias("k"), F.col("n.at").alias("at"))
+        all_ = state.where("not goes_on").select("seq", "frame", "frames", "k", "at").unionByName(moved)
+        first = F.row_number().over(Window.partitionBy("seq", "at").orderBy("frame")) == 1
+        searching = F.col("at").isNull() & (F.col("k") < 2 * F.col("frames"))
+        state = cut(all_.withColumn("goes_on", F.when(F.col("at").isNull(), searching).otherwise(~first)))
+    return state.select("seq", "frame", F.col("at").alias("replacement"))
+
+
+def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name") -> DataFrame:
+    """names with source: that of the longest prefix (prefix, source) that a name begins with; null without one.
+
+    An equi-join for each length that a prefix has: a name meets its own beginnings of these lengths alone.  Of equal prefixes the smallest source counts.
+    """
+    each = prefixes.where("prefix is not null").groupBy("prefix").agg(F.min("source").alias("source"))
+    lengths = sorted(r.n for r in each.select(F.length("prefix").alias("n")).distinct().collect())  # a number for each length
+    known = names.select(name).distinct()
+    begun = known.withColumn("n", F.explode(F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(name)))).withColumn("prefix", F.substring(F.col(name), F.lit(1), F.col("n")))
+    found = begun.join(each, "prefix").groupBy(name).agg(F.max_by("source", "n").alias("source"))
+    return names.join(found, name, "left")

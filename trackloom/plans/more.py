@@ -49,6 +49,19 @@ def uniform_frames(spark: SparkSession, sf: str) -> DataFrame:
     return splits.uniform_frames(ad.frames(spark, sf).groupBy("seq").agg(F.count(F.lit(1)).alias("frames")), 7)
 
 
+def replaced_picks(spark: SparkSession, sf: str) -> DataFrame:
+    videos = ad.frames(spark, sf).groupBy("seq").agg(F.count(F.lit(1)).cast("int").alias("frames"))
+    picks = ad.frames(spark, sf).where("(frame * 7 + seq) % 11 < 4").select("seq", "frame", ((F.col("frame") + F.col("seq")) % 3 > 0).alias("leaks"))
+    return splits.replace_picks(picks, videos)
+
+
+def name_sources(spark: SparkSession, sf: str) -> DataFrame:
+    names = ad.table(spark, sf, "documents").select("doc_id", F.concat_ws("-", "source", "lang", "doc_id").alias("name"))
+    rules = ad.table(spark, sf, "documents").where("lang <> 'en'").select(F.concat_ws("-", "source", "lang").alias("prefix"), F.concat(F.lit("by_language_"), "lang").alias("source"))
+    rules = rules.union(ad.table(spark, sf, "documents").select(F.substring("source", 1, 4), F.concat(F.lit("family_"), F.substring("source", 4, 1))))
+    return splits.longest_prefix(names, rules).select("doc_id", "source")
+
+
 def _descriptors(spark, sf):
     return ad.table(spark, sf, "embeddings").select(F.expr("vec_id div 20").alias("track_id"), (F.col("vec_id") % 20).alias("ord"), F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("d"))
 
@@ -149,11 +162,17 @@ def ball_ids(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.keep_ball_id(_sel(spark, sf), tracks).select("seq", "frame", "track_id")
 
 
-QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, frame_candidates, picked_frames, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding, temporal_scores, truth_statistics, event_census, run_audit, prevalence, tile_counts, ball_ids)}
+QUERIES = {f.__name__: f for f in (match_splits, diverse_batch, frame_candidates, picked_frames, replaced_picks, name_sources, content_windows, uniform_frames, track_colour_medians, team_clusters, colour_changes, odd_kits, streamed_windows, streamed_sliding, temporal_scores, truth_statistics, event_census, run_audit, prevalence, tile_counts, ball_ids)}
 
 _SEL = "sel AS (SELECT f.seq, f.frame, b.x1, b.y1, b.x2, b.y2 FROM frames f LEFT JOIN (SELECT * FROM ball_candidates WHERE conf >= 0.25 QUALIFY row_number() OVER (PARTITION BY seq, frame ORDER BY conf DESC, x1, cand_id DESC) = 1) b USING (seq, frame))"
 _STREAM = "(SELECT CAST(user_id // 5 AS INT) seq, epoch(ts)::BIGINT t, CAST(json_extract_string(props, '$.k') AS DOUBLE) k FROM events)"
 ORACLE_SQL = {
+    "replaced_picks": ad.with_adapters("""WITH RECURSIVE v AS (SELECT seq, CAST(count(*) AS INT) n FROM frames GROUP BY 1), k AS (SELECT seq, frame, (frame + seq) % 3 > 0 leaks FROM frames WHERE (frame * 7 + seq) % 11 < 4), l AS (SELECT seq, frame, row_number() OVER (PARTITION BY seq ORDER BY frame) i FROM k WHERE leaks),
+r AS (SELECT seq, CAST(0 AS BIGINT) i, list(frame) taken, CAST(NULL AS INT) frame, CAST(NULL AS INT) replacement FROM k GROUP BY seq
+ UNION ALL SELECT seq, i, CASE WHEN x IS NULL THEN taken ELSE list_append(taken, x) END, frame, x FROM (SELECT r.seq, l.i, r.taken, l.frame, list_filter(flatten([[l.frame + CAST(o AS INT), l.frame - CAST(o AS INT)] FOR o IN range(1, v.n + 1)]), lambda c: c >= 0 AND c < v.n AND NOT list_contains(r.taken, c))[1] x FROM r JOIN l ON l.seq = r.seq AND l.i = r.i + 1 JOIN v ON v.seq = r.seq))
+SELECT seq, frame, replacement FROM r WHERE i > 0""", "frames"),
+    "name_sources": """WITH r AS (SELECT DISTINCT source || '-' || lang prefix, 'by_language_' || lang source FROM documents WHERE lang <> 'en' UNION SELECT DISTINCT left(source, 4), 'family_' || substr(source, 4, 1) FROM documents),
+n AS (SELECT doc_id, source || '-' || lang || '-' || CAST(doc_id AS VARCHAR) name FROM documents) SELECT doc_id, r.source FROM n LEFT JOIN r ON starts_with(name, prefix) QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY length(prefix) DESC, r.source) = 1""",
     "frame_candidates": ad.with_adapters("""WITH f AS (SELECT seq, frame, avg(conf) sharpness, avg(x1 % 17) motion FROM detections GROUP BY 1, 2),
 w AS (SELECT *, quantile_cont(motion, 0.5) OVER (PARTITION BY seq ORDER BY frame ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING) m, row_number() OVER (PARTITION BY seq ORDER BY frame) n FROM f), l AS (SELECT seq, quantile_cont(sharpness, 0.2) least FROM w WHERE n <= 300 GROUP BY 1)
 SELECT seq, frame, CASE WHEN frame % 20 = 0 THEN 'interval' ELSE 'burst' END why FROM w JOIN l USING (seq) WHERE (frame % 20 = 0 OR m > 0 AND motion > 1.5 * m) AND sharpness >= least""", "detections"),
