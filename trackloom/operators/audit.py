@@ -50,8 +50,8 @@ def cost_curve(cands: DataFrame, targets: list[float], images: int) -> DataFrame
     """
     per = cands.groupBy("conf").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     summed = running_sums(per.withColumn("all", F.lit(0)), ["all"], [F.desc("conf")], {"proposals": "n", "found": "hits"})
-    total = F.broadcast(per.agg(F.sum("hits").alias("total")))  # one row
-    rows = summed.join(total, F.lit(True)).select("conf", "proposals", (F.col("found") / F.col("total")).alias("recall"))
+    total = F.broadcast(per.agg(F.sum("hits").alias("total")).withColumn("all", F.lit(0)))  # one row
+    rows = summed.join(total, "all").select("conf", "proposals", (F.col("found") / F.col("total")).alias("recall"))
     each = rows.withColumn("target", F.explode(F.filter(F.array(*(F.lit(float(t)) for t in targets)), lambda t: t <= F.col("recall") + 1e-12)))
     best = each.groupBy("target").agg(F.max_by(F.struct("conf", "proposals", "recall"), "conf").alias("b"))
     return best.select("target", F.col("b.conf").alias("threshold"), (F.col("b.proposals") / images).alias("per_image"), F.col("b.recall").alias("recall"))

@@ -1,7 +1,7 @@
 """Greedy matching, duplicate suppression and linking of boxes.
 
 Groups are the boxes of a frame (tens of them), groups are many: each is folded as a sorted array inside generated
-expressions, so nothing leaves the JVM.  Track linking walks a whole sequence and is the one pandas job here.
+expressions, so nothing leaves the JVM.  Track linking walks the stretches of a sequence and is the one pandas job here.
 """
 
 from __future__ import annotations
