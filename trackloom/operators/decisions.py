@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
+from .running import running_sums
+
 #: What an answer does to a box.
 ACTIONS = {"player": "keep", "goalkeeper": "keep", "referee": "keep", "FALSE_POSITIVE": "remove", "NON_TARGET_HUMAN": "remove"}
 
@@ -62,7 +65,9 @@ def review_queue(ledger: DataFrame, state: DataFrame) -> DataFrame:
     """Images with boxes still to answer, in order of (run, priority, image): boxes left, and how many are prefilled by earlier answers."""
     done = state.select("box_id", F.lit(1).alias("answered"))
     per = ledger.join(done, "box_id", "left").groupBy("run", "image").agg(F.min("priority").alias("priority"), F.count(F.when(F.col("answered").isNull(), 1)).alias("left"), F.count("answered").alias("prefilled"))
-    return per.where("left > 0").withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy("priority", "image")))
+    # places by running sums, as a run may hold more images than a task
+    placed = running_sums(per.where("left > 0").withColumn("one", F.lit(1)), ["run"], [F.asc("priority"), F.asc("image")], {"position": "one"})
+    return placed.drop("one").withColumn("position", F.col("position").cast("int"))
 
 
 def ledger_status(ledger: DataFrame, state: DataFrame) -> DataFrame:
@@ -116,6 +121,7 @@ def apply_decisions(ledger: DataFrame, state: DataFrame, excluded: DataFrame, ba
 
 def export_conditions(ledger: DataFrame, exported: DataFrame, state: DataFrame, excluded: DataFrame, balls: DataFrame) -> DataFrame:
     """Named conditions of an export with how many boxes fail them, and passed; each is a count over joins of box ids."""
+    exported = cut(exported)  # each condition reads it
     out = exported.where("id is not null")
     old = out.where("outcome <> 'added'")
     key = lambda df, name: df.select("box_id", F.struct(*df.columns).alias(name))
