@@ -16,10 +16,11 @@ from ..streaming.upsert import LatestTable
 from . import adapters as ad
 from .adapters import with_adapters
 from .review import _GOAL, _M, _OBS, _PASS, _SHOT, _interpolated
-from .storage import shared_dir
+from .storage import cut, shared_dir
 
-#: Slices of time in which a table is replayed.
+#: Slices of time in which a table is replayed, and the files of a slice, which are one batch: every batch visits the keys with rows or timers, so there are as many at any size.
 SLICES = 4
+FILES = 16
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,10 +41,10 @@ def replayed(rows: DataFrame, slices: int = SLICES) -> DataFrame:
         long = F.unix_micros("ts") - F.unix_micros(F.lit(ends.a))
         of = F.least(F.lit(slices - 1), F.floor(long * slices / F.greatest(F.lit(1), F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)))))
         for k in range(slices):
-            rows.where(of == k).write.mode("append").parquet(path)
+            rows.where(of == k).repartition(FILES, "seq").write.mode("append").parquet(path)
     beat = {"seq": F.lit(-1), "ts": F.lit(ends.b) + F.expr("interval 10 days") if ends.b is not None else F.current_timestamp()}
     spark.range(1).select(*(beat.get(f.name, F.lit(-1) if isinstance(f.dataType, NumericType) else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @contextmanager
@@ -88,7 +89,7 @@ def _places(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Goals, shots, passes and interceptions by a stateful stream: the rows of the batch queries."""
-    rows = _places(spark, sf)
+    rows = cut(_places(spark, sf))
     found = run(ordered.detect_events(replayed(rows), _slack(rows), 60.0, (8.0, 42.0), 5.0, 20.0, 20.0, 20.0, 2.0))
     return found.select("seq", "frame", "type", "side", "track_id", "team", "from_id", F.round("value", 6).alias("value"))
 
@@ -100,14 +101,14 @@ def _frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_ball(spark: SparkSession, sf: str) -> DataFrame:
     """The ball of every frame with short gaps filled, by a stream; confident candidates alone are balls here, so that SQL can say it."""
-    rows = _frames(spark, sf)
+    rows = cut(_frames(spark, sf))
     found = run(ordered.fill_ball_stream(replayed(rows), _slack(rows), floor=0.25, fill=0.8))
     return found.select("seq", "frame", "state", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")), "conf")
 
 
 def streamed_recovery(spark: SparkSession, sf: str) -> DataFrame:
     """Both passes of the ball's recovery by a stream; equal to ``interpolated_ball``."""
-    rows = _frames(spark, sf)
+    rows = cut(_frames(spark, sf))
     found = run(ordered.fill_ball_stream(replayed(rows), _slack(rows)))
     return found.select("seq", "frame", "state", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")), "conf")
 
@@ -115,15 +116,15 @@ def streamed_recovery(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_possession(spark: SparkSession, sf: str) -> DataFrame:
     """Possession per ten seconds from a stream of frames and one of humans."""
     best = ad.ball_candidates(spark, sf).where("conf >= 0.25").groupBy("seq", "frame").agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct("conf", -F.col("x1"), "cand_id")).alias("b"))
-    frames = ad.frames(spark, sf).join(best, ["seq", "frame"], "left").select("seq", _at().alias("ts"), "frame", "b.*")
-    humans = ad.track_points(spark, sf).select("seq", _at().alias("ts"), "frame", "track_id", F.when(F.col("track_id") % 7 == 0, "goalkeeper").when(F.col("track_id") % 11 == 0, "referee").otherwise("player").alias("cls"), "team", "x1", "y1", "x2", "y2")
+    frames = cut(ad.frames(spark, sf).join(best, ["seq", "frame"], "left").select("seq", _at().alias("ts"), "frame", "b.*"))
+    humans = cut(ad.track_points(spark, sf).select("seq", _at().alias("ts"), "frame", "track_id", F.when(F.col("track_id") % 7 == 0, "goalkeeper").when(F.col("track_id") % 11 == 0, "referee").otherwise("player").alias("cls"), "team", "x1", "y1", "x2", "y2"))
     found = run(ordered.possession_windows(replayed(frames), replayed(humans), "10 seconds", _slack(frames), 150.0))
     return found.select("seq", F.unix_timestamp("start").alias("start"), "unknown", "team1", "team2", F.round("share1", 6).alias("share1"))
 
 
 def streamed_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Tracks by a stream: the sets of boxes are those of ``linked_tracks``, named by their smallest box."""
-    rows = ad.detections(spark, sf).select("seq", _at().alias("ts"), "frame", "det_id", "x1", "y1", "x2", "y2", "conf", "cls")
+    rows = cut(ad.detections(spark, sf).select("seq", _at().alias("ts"), "frame", "det_id", "x1", "y1", "x2", "y2", "conf", "cls"))
     found = run(ordered.link_tracks_stream(replayed(rows), 30.0, _slack(rows), 60.0))
     return found.select("seq", "det_id", (F.min("det_id").over(Window.partitionBy("track_id")) + 1).alias("track_id"))
 

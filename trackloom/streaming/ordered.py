@@ -30,6 +30,11 @@ def _plain(x, kind: str):
     return [tuple(d.values()) for d in x] if kind.startswith("array<struct") else x
 
 
+def _held(row) -> tuple:
+    """A row read from state with arrays of plain tuples: the interface can't write back the Rows that it gives inside of arrays."""
+    return tuple([tuple(d) if isinstance(d, tuple) else d for d in x] if isinstance(x, list) else x for x in row)
+
+
 class InOrder(StatefulProcessor):
     """held: name and type of the input's columns besides seq and ts; out: the names of the output's."""
 
@@ -86,7 +91,7 @@ class InOrder(StatefulProcessor):
         watermark = timers.getCurrentWatermarkInMs() * 1000
         decided = self.clock.get()[0] if self.clock.exists() else None
         out = [self.note(seq, r, "late") for r in new if decided is not None and r[0] <= decided]
-        all_ = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        all_ = [_held(r) for r in self.waiting.get()] if self.waiting.exists() else []
         all_ += [r for r in new if decided is None or r[0] > decided]
         ready = sorted((r for r in all_ if r[0] < watermark), key=lambda r: (r[0], self.order(r)))
         rest = [r for r in all_ if r[0] >= watermark]
