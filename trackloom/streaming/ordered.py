@@ -8,6 +8,7 @@ its timer clears all that it kept.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -30,11 +31,6 @@ def _plain(x, kind: str):
     return [tuple(d.values()) for d in x] if kind.startswith("array<struct") else x
 
 
-def _held(row) -> tuple:
-    """A row read from state with arrays of plain tuples: the interface can't write back the Rows that it gives inside of arrays."""
-    return tuple([tuple(d) if isinstance(d, tuple) else d for d in x] if isinstance(x, list) else x for x in row)
-
-
 class InOrder(StatefulProcessor):
     """held: name and type of the input's columns besides seq and ts; out: the names of the output's."""
 
@@ -46,7 +42,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ts long, {self.held}")
+        # a batch's rows are one value: a call and a Row for each cost more than all that is decided from them
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.clock = handle.getValueState("clock", "decided long")
         self.open()
 
@@ -91,7 +88,7 @@ class InOrder(StatefulProcessor):
         watermark = timers.getCurrentWatermarkInMs() * 1000
         decided = self.clock.get()[0] if self.clock.exists() else None
         out = [self.note(seq, r, "late") for r in new if decided is not None and r[0] <= decided]
-        all_ = [_held(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        all_ = [r for (kept,) in self.waiting.get() for r in pickle.loads(kept)] if self.waiting.exists() else []
         all_ += [r for r in new if decided is None or r[0] > decided]
         ready = sorted((r for r in all_ if r[0] < watermark), key=lambda r: (r[0], self.order(r)))
         rest = [r for r in all_ if r[0] >= watermark]
@@ -131,7 +128,7 @@ class InOrder(StatefulProcessor):
         if ready or new:
             self.waiting.clear()
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([(pickle.dumps(rest),)])
         return self._frame(out)
 
     def ended(self, seq: int) -> list[tuple]:
