@@ -120,8 +120,11 @@ def identity_map(tracks: DataFrame, gt: DataFrame, iou: float = 0.30, min_frames
     frames and ratio times the runner-up.  Of tracks with one identity that share a frame, the one with most votes keeps it;
     equal ones all lose it.
     """
-    pairs = pairs_by_iou(tracks.select(*KEY, F.col("track_id"), *BOX), gt.select(*KEY, F.col("gt_id"), *BOX), KEY, iou)
-    best = pairs.groupBy(*KEY, F.col("a_track_id").alias("track_id")).agg(F.min_by("b_gt_id", F.struct(-F.col("iou"), "b_gt_id")).alias("gt_id"))
+    # equal boxes of a frame have one best identity, and of equal truth boxes the lowest identity wins: each place is compared once
+    places = gt.groupBy(*KEY, *BOX).agg(F.min("gt_id").alias("gt_id"))
+    pairs = pairs_by_iou(tracks.select(*KEY, *BOX).distinct(), places.select(*KEY, "gt_id", *BOX), KEY, iou)
+    nearest = pairs.groupBy(*KEY, *(F.col(f"a_{c}").alias(c) for c in BOX)).agg(F.min(F.struct((-F.col("iou")).alias("o"), F.col("b_gt_id").alias("gt_id"))).alias("b"))
+    best = tracks.select(*KEY, "track_id", *BOX).join(nearest, [*KEY, *BOX]).groupBy(*KEY, "track_id").agg(F.min("b")["gt_id"].alias("gt_id"))
     votes = best.groupBy("seq", "track_id", "gt_id").agg(F.count(F.lit(1)).alias("votes"))
     ranked = votes.withColumn("rk", F.row_number().over(Window.partitionBy("seq", "track_id").orderBy(F.desc("votes"), "gt_id")))
     top = ranked.groupBy("seq", "track_id").agg(F.max(F.when(F.col("rk") == 1, F.col("gt_id"))).alias("gt_id"), F.max(F.when(F.col("rk") == 1, F.col("votes"))).alias("votes"), F.max(F.when(F.col("rk") == 2, F.col("votes"))).alias("next"))
