@@ -142,19 +142,19 @@ def identity_map(tracks: DataFrame, gt: DataFrame, iou: float = 0.30, min_frames
     return out.select("seq", "track_id", "frames", "votes", reason.alias("reason")).join(mapped.select("seq", "track_id", "gt_id"), ["seq", "track_id"], "left").withColumn("gt_id", F.when(F.col("reason") == "mapped", F.col("gt_id")))
 
 
-def link_tracks(dets: DataFrame, fps: float, **rules) -> DataFrame:
+def link_tracks(dets: DataFrame, fps: float, high: float = 0.6, **rules) -> DataFrame:
     """dets with track_id: identities within a sequence and class by the steps of ``Linker`` (and its rules), null where a box belongs to none.
 
     A sequence and class is cut wherever no box occurs for longer than a track may be out of sight, as no track crosses such a gap; the
     stretches between are linked apart.  A track's name is the smallest det_id of its boxes + 1, so no two sequences share one.
     """
-    budget = Linker(fps, **rules).budget
+    budget = Linker(fps, high, **rules).budget
     before = F.lag("frame").over(Window.partitionBy("seq", "cls").orderBy("frame"))
     frames = dets.select("seq", "cls", "frame").distinct().withColumn("starts", F.coalesce((F.col("frame") - before > budget).cast("int"), F.lit(0)))
     frames = frames.withColumn("stretch", F.sum("starts").over(Window.partitionBy("seq", "cls").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        linker, out = Linker(fps, **rules), []
+        linker, out = Linker(fps, high, **rules), []
         group = group.sort_values(["frame", "det_id"])
         ids, boxes, conf = group["det_id"].tolist(), group[list(BOX)].to_numpy(float), group["conf"].to_numpy(float)
         frame = group["frame"].to_numpy()
