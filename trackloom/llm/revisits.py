@@ -78,9 +78,13 @@ def resolve(records: DataFrame) -> DataFrame:
     asof = asof.where("of is not null").select("url", "at", F.col("of.id").alias("response_id"), F.col("of.at").alias("response_at"))
     named = revisit.join(asof, ["url", "at"], "left")
     # of full responses of one URL, time and id the one with the least payload, then headers, counts
-    base = full.groupBy("url", F.col("at").alias("response_at"), F.col("record_id").alias("response_id")).agg(F.min_by(F.struct(F.col("headers").alias("old"), "payload"), F.struct("payload", F.to_json("headers"))).alias("b"))
-    base = base.select(F.col("url").alias("of_url"), F.col("response_at").alias("of_at"), F.col("response_id").alias("of_id"), "b.*")
-    both = named.join(base, (F.col("url") == F.col("of_url")) & (F.col("response_at") == F.col("of_at")) & F.col("response_id").eqNullSafe(F.col("of_id")), "left")
+    # ids may be null, so a key is (is it null, id or 0): plain equality, under which payloads lie as they were grouped and are shuffled once
+    key = lambda c: (F.col(c).isNull(), F.coalesce(F.col(c), F.lit(0)))
+    none, known = key("record_id")
+    base = full.groupBy(F.col("url").alias("of_url"), F.col("at").alias("of_at"), none.alias("of_none"), known.alias("of_id")).agg(F.min_by(F.struct(F.col("headers").alias("old"), "payload"), F.struct("payload", F.to_json("headers"))).alias("b"))
+    base = base.select("of_url", "of_at", "of_none", "of_id", "b.*")
+    none, known = key("response_id")
+    both = named.join(base, (F.col("url") == F.col("of_url")) & (F.col("response_at") == F.col("of_at")) & (none == F.col("of_none")) & (known == F.col("of_id")), "left")
     new, old = F.col("headers"), F.col("old")
     tags = _tag(new).isNotNull() & _tag(old).isNotNull()
     dates = _value(new, "last-modified").isNotNull() & _value(old, "last-modified").isNotNull()
