@@ -103,7 +103,7 @@ def frame_candidates(features: DataFrame, interval: int = 30, burst_ratio: float
     Frames blurrier than the blur_pct percentile of a sequence's first warm_up frames are left out.  Both order statistics are exact, over windows.
     """
     by = Window.partitionBy("seq").orderBy("frame")
-    values = F.array_sort(F.collect_list("motion").over(by.rowsBetween(-300, -1)))
+    values = F.sort_array(F.collect_list("motion").over(by.rowsBetween(-300, -1)))  # sorts doubles as such; array_sort calls a comparator for each two
     n = F.size("values")
     median = (F.get("values", F.expr("(size(values) - 1) div 2").cast("int")) + F.get("values", F.expr("size(values) div 2").cast("int"))) / 2
     rows = features.withColumn("values", values).withColumn("median", F.when(n > 0, median)).drop("values").withColumn("place", F.row_number().over(by))
