@@ -16,9 +16,9 @@ def _violations(df: DataFrame, key: list[str], rules: dict) -> DataFrame:
 
 def label_errors(labels: DataFrame, classes: int = 4, near: float = 0.90) -> DataFrame:
     """image, line_no, rule of label lines (image, line_no, line: "cls cx cy w h"): fields, number, class, size, range, edge, repeat, near_repeat."""
-    parts = F.split(F.trim("line"), r"\s+")
-    n = [F.expr(f"try_cast(get(split(trim(line), '\\\\s+'), {i}) AS DOUBLE)") for i in range(5)]
-    rows = labels.select("image", "line_no", "line", F.size(parts).alias("fields"), *(x.alias(c) for x, c in zip(n, ("c", "cx", "cy", "w", "h"))))
+    # each line is split once
+    rows = labels.select("image", "line_no", "line", F.split(F.trim("line"), r"\s+").alias("parts"))
+    rows = rows.select("image", "line_no", "line", F.size("parts").alias("fields"), *(F.get("parts", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("c", "cx", "cy", "w", "h"))))
     ok = (F.col("fields") == 5) & F.col("c").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("image", F.trim("line")).orderBy("line_no")))
     inside = (F.col("cx").between(0, 1)) & F.col("cy").between(0, 1) & (F.col("w") <= 1) & (F.col("h") <= 1)
