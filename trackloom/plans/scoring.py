@@ -11,6 +11,7 @@ from .adapters import with_adapters
 from .more import _descriptors
 from .play import _POSS, possession
 from .review import _EFF, _observed
+from .storage import cut
 
 DIMS = 6
 
@@ -58,7 +59,7 @@ def exact_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _export(spark, sf):
     """A ledger with its decisions, left-out images, ball cases, repairs and added boxes, made from the detections."""
-    d = ad.detections(spark, sf).withColumn("box_id", F.concat(F.lit("box"), F.col("det_id").cast("string"))).withColumn("split", F.expr("CAST(seq % 3 AS INT)")).withColumn("image", F.concat_ws("-", "seq", "frame"))
+    d = cut(ad.detections(spark, sf)).withColumn("box_id", F.concat(F.lit("box"), F.col("det_id").cast("string"))).withColumn("split", F.expr("CAST(seq % 3 AS INT)")).withColumn("image", F.concat_ws("-", "seq", "frame"))
     box = ["x1", "y1", "x2", "y2"]
     balls = d.where("det_id % 29 = 0").selectExpr("box_id", "CASE det_id % 3 WHEN 0 THEN 'REMOVE_ONLY' WHEN 1 THEN 'RECLASSIFY_TO_BALL' ELSE 'DRAW_BALL_BOX' END action", "x1 + 2 AS x1", "y1", "x2 - 2 AS x2", "y2")
     repairs = d.where("det_id % 19 = 0").selectExpr("box_id", "'player' cls", "x1 + 1 AS x1", "y1", "x2", "y2 + 1 AS y2")
