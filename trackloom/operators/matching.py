@@ -50,21 +50,12 @@ def match_one_to_one(gt: DataFrame, preds: DataFrame, thr: float = 0.5, cost: st
 def match_by_confidence(gt: DataFrame, preds: DataFrame, thr: float = 0.5, by_class: bool = True) -> DataFrame:
     """Every prediction, most confident first, takes its best free truth box of at least thr: p_det_id, conf, g_det_id (null: none), iou."""
     key = [*KEY, "cls"] if by_class else list(KEY)
-    truth = gt.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("det_id").alias("id"), *BOX))).alias("truth"))
-    one = F.struct((-F.col("conf")).alias("o"), F.col("det_id").alias("id"), *BOX)
-    each = preds.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("preds")).join(truth, key, "left").withColumn("truth", F.coalesce("truth", F.array().cast("array<struct<id:bigint,x1:double,y1:double,x2:double,y2:double>>")))
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<p:bigint,conf:double,g:bigint,iou:double>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        free = F.filter("truth", lambda t: ~F.array_contains(acc["used"], t["id"]))
-        scored = F.transform(free, lambda t: F.struct((-g.iou(p, t)).alias("o"), t["id"].alias("id")))
-        best = F.array_min(F.filter(scored, lambda s: s["o"] <= -thr))
-        row = F.struct(p["id"].cast("bigint").alias("p"), (-p["o"]).alias("conf"), best["id"].cast("bigint").alias("g"), (-best["o"]).alias("iou"))
-        used = F.when(best.isNotNull(), F.array_append(acc["used"], best["id"].cast("bigint"))).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.array_append(acc["out"], row).alias("out"))
-
-    folded = each.select(*key, F.explode(F.aggregate("preds", start, step)["out"]).alias("m"))
-    return folded.select(*key, F.col("m.p").alias("p_det_id"), F.col("m.conf").alias("conf"), F.col("m.g").alias("g_det_id"), F.col("m.iou").alias("iou"))
+    ids = preds.select(*key, F.col("det_id").alias("p_det_id"), "conf", *BOX)
+    pairs = pairs_by_iou(ids, gt.select(*key, F.col("det_id").alias("g_det_id"), *BOX), tuple(key), thr)
+    pairs = pairs.select(*key, F.col("a_p_det_id").alias("p_det_id"), F.col("a_conf").alias("conf"), F.col("b_g_det_id").alias("g_det_id"), "iou")
+    # in the order of confidence, then IoU, while both are free: every prediction takes its best free box
+    taken = take_in_order(pairs, key, [-F.col("conf"), F.col("p_det_id"), -F.col("iou"), F.col("g_det_id")], "p_det_id", "g_det_id", "iou")
+    return ids.drop(*BOX).join(taken, [*key, "p_det_id"], "left").select(*key, "p_det_id", "conf", "g_det_id", "iou")
 
 
 def _keep_apart(df: DataFrame, key: list[str], order: list[Column], same) -> DataFrame:
