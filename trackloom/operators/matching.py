@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..plans.storage import cut
 from .graph import connected_components
 from .joins import BOX, KEY, adjacent_pairs, pairs_by_iou, side
 from .linking import Linker
@@ -28,7 +29,7 @@ def take_in_order(pairs: DataFrame, key: list[str], order: list[Column], a: str,
         one = F.array(F.struct(x["a"].cast("bigint").alias("a"), x["b"].cast("bigint").alias("b"), x["v"].cast("double").alias("v")))
         return F.when(free, F.struct(F.array_append(acc["ua"], x["a"].cast("bigint")).alias("ua"), F.array_append(acc["ub"], x["b"].cast("bigint")).alias("ub"), F.concat(acc["out"], one).alias("out"))).otherwise(acc)
 
-    folded = pairs.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"].alias("m"))
+    folded = pairs.groupBy(*key).agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step)["out"].alias("m"))
     return folded.select(*key, F.explode("m").alias("m")).select(*key, F.col("m.a").alias(a), F.col("m.b").alias(b), F.col("m.v").alias(value))
 
 
@@ -99,9 +100,11 @@ def agreement(ref: DataFrame, ann: DataFrame, thr: float = 0.5, loose: float = 0
 
 def adjacent_tracklets(boxes: DataFrame, min_iou: float = 0.4) -> DataFrame:
     """det_id, tracklet (its smallest det_id) and length: chains of boxes linked from frame to frame."""
-    found = connected_components(adjacent_pairs(boxes, min_iou), "a_det_id", "b_det_id")
-    named = boxes.select("det_id").join(found, boxes["det_id"] == found["node"], "left").select("det_id", F.coalesce("component", "det_id").alias("tracklet"))
-    return named.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("tracklet")))
+    found = cut(connected_components(adjacent_pairs(boxes, min_iou), "a_det_id", "b_det_id"))
+    # lengths are counted where there are links: a box without one is a tracklet by itself, so all boxes are dealt once
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("length"))
+    named = found.join(sizes, "component").select(F.col("node").alias("det_id"), F.col("component").alias("tracklet"), "length")
+    return boxes.select("det_id").join(named, "det_id", "left").select("det_id", F.coalesce("tracklet", "det_id").alias("tracklet"), F.coalesce("length", F.lit(1)).alias("length"))
 
 
 def identity_map(tracks: DataFrame, gt: DataFrame, iou: float = 0.30, min_frames: int = 2, min_rate: float = 0.5, ratio: float = 2.0) -> DataFrame:

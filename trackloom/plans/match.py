@@ -9,15 +9,16 @@ from ..operators import evaluate, matching
 from . import adapters as ad
 from .adapters import with_adapters
 from .play import iou_sql
+from .storage import cut
 
 
-def _gt(spark, sf):
-    return ad.detections(spark, sf).where("det_id % 3 <> 0")
+def _gt(spark, sf, boxes: DataFrame | None = None):
+    return (ad.detections(spark, sf) if boxes is None else boxes).where("det_id % 3 <> 0")
 
 
-def _preds(spark, sf, keep: str = "true"):
+def _preds(spark, sf, keep: str = "true", boxes: DataFrame | None = None):
     """All detections, moved by det_id % 5 pixels."""
-    d = ad.detections(spark, sf).where(keep)
+    d = (ad.detections(spark, sf) if boxes is None else boxes).where(keep)
     return d.withColumn("x1", F.col("x1") + F.col("det_id") % 5).withColumn("x2", F.col("x2") + F.col("det_id") % 5)
 
 
@@ -48,12 +49,13 @@ def deduped_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def annotation_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    changed = _preds(spark, sf, "det_id % 4 <> 0").withColumn("cls", F.when(F.col("det_id") % 10 == 0, "referee").otherwise(F.col("cls")))
-    return matching.agreement(_gt(spark, sf), changed, 0.3).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    d = cut(ad.detections(spark, sf))  # both sides are read several times
+    changed = _preds(spark, sf, "det_id % 4 <> 0", d).withColumn("cls", F.when(F.col("det_id") % 10 == 0, "referee").otherwise(F.col("cls")))
+    return matching.agreement(_gt(spark, sf, d), changed, 0.3).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tracklets(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.adjacent_tracklets(ad.detections(spark, sf), 0.2)
+    return matching.adjacent_tracklets(cut(ad.detections(spark, sf)), 0.2)
 
 
 def identity_mapping(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,15 +79,18 @@ def role_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(evaluate.threshold_grid(_gt(spark, sf), _preds(spark, sf), [0.1, 0.25, 0.5, 0.75], 0.5), "precision", "recall")
+    d = cut(ad.detections(spark, sf))
+    return _rounded(evaluate.threshold_grid(_gt(spark, sf, d), _preds(spark, sf, boxes=d), [0.1, 0.25, 0.5, 0.75], 0.5), "precision", "recall")
 
 
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.average_precision(_gt(spark, sf), _preds(spark, sf), [0.5, 0.75]).select("cls", "iou", F.round("ap", 6).alias("ap"))
+    d = cut(ad.detections(spark, sf))
+    return evaluate.average_precision(_gt(spark, sf, d), _preds(spark, sf, boxes=d), [0.5, 0.75]).select("cls", "iou", F.round("ap", 6).alias("ap"))
 
 
 def mean_average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    found = evaluate.mean_average_precision(_gt(spark, sf), _preds(spark, sf, "seq % 3 <> 1 or cls <> 'ball'"))
+    d = cut(ad.detections(spark, sf))
+    found = evaluate.mean_average_precision(_gt(spark, sf, d), _preds(spark, sf, "seq % 3 <> 1 or cls <> 'ball'", d))
     return _rounded(found, "ap50", "ap75", "map")
 
 
