@@ -94,10 +94,10 @@ def average_precision(gt: DataFrame, preds: DataFrame, ious: list[float] | tuple
     n = gt.select("cls", _parts(by_sequence).alias("part")).groupBy("part", "cls").agg(F.count(F.lit(1)).alias("n"))
     rows = cut(_hits(gt, preds, tuple(ious)))  # ranges are drawn from it before it is dealt
     rows = rows.withColumn("whole", _parts(by_sequence)).withColumn("one", F.lit(1))
-    summed = running_sums(rows, ["whole", "cls"], [F.desc("conf"), F.asc("p_det_id")], {"seen": "one"} | {f"h{k}": f"t{k}" for k in range(len(ious))}).withColumnRenamed("whole", "of")
+    summed = running_sums(rows, ["whole", "cls"], [F.desc("conf"), F.asc("p_det_id")], {"seen": "one"} | {f"h{k}": f"t{k}" for k in range(len(ious))}, n.withColumnRenamed("part", "whole"))
     # precision only counts where recall grows, which is at hits
     points = F.filter(F.array(*(F.when(F.col(f"t{k}") == 1, F.struct(F.lit(float(t)).alias("iou"), F.col(f"h{k}").alias("h"))) for k, t in enumerate(ious))), lambda x: x.isNotNull())
-    hits = summed.select(F.col("of").alias("part"), "cls", "seen", F.explode(points).alias("x")).join(n, ["part", "cls"])
+    hits = summed.where("n is not null").select(F.col("whole").alias("part"), "cls", "seen", "n", F.explode(points).alias("x"))
     level = F.floor(F.col("x.h") / F.col("n") * 100 + 1e-9).cast("int")
     curve = hits.groupBy("part", "cls", F.col("x.iou").alias("iou"), level.alias("level")).agg(F.max(F.col("x.h") / F.col("seen")).alias("p"))
     # recalls up to a level, from the one below it, have the best precision of that level and all above
