@@ -1,11 +1,13 @@
 """Greedy matching, duplicate suppression and linking of boxes.
 
 Groups are the boxes of a frame (tens of them), groups are many: each is folded as a sorted array inside generated
-expressions, so nothing leaves the JVM.  Track linking walks the stretches of a sequence and is the one pandas job here.
+expressions, so nothing leaves the JVM.  Track linking walks the frames of many stretches together and is the one pandas job here.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -136,29 +138,76 @@ def identity_map(tracks: DataFrame, gt: DataFrame, iou: float = 0.30, min_frames
     return out.select("seq", "track_id", "frames", "votes", reason.alias("reason")).join(mapped.select("seq", "track_id", "gt_id"), ["seq", "track_id"], "left").withColumn("gt_id", F.when(F.col("reason") == "mapped", F.col("gt_id")))
 
 
+HELD = 1 << 19  # boxes that wait for the end of their tracks before it is asked which have ended
+
+
+def _numbered(values: pd.Series, known: dict) -> np.ndarray:
+    """A number for each value, the same one whenever it comes again."""
+    codes, names = pd.factorize(values)
+    return np.array([known.setdefault(v, len(known)) for v in names], np.int64)[codes]
+
+
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(frame, group, det_id, box (4 x n), conf) of each frame of rows in order of frame and det_id; a group is a sequence and class."""
+    seqs, kinds, rest = {}, {}, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = (batch["frame"].to_numpy(np.int64), (_numbered(batch["seq"], seqs) << 32) + _numbered(batch["cls"], kinds), batch["det_id"].to_numpy(np.int64), batch[list(BOX)].to_numpy(float).T, batch["conf"].to_numpy(float))
+        frame, *columns = part if rest is None else (np.concatenate(x, -1) for x in zip(rest, part))
+        edge = [0, *(np.flatnonzero(frame[1:] != frame[:-1]) + 1).tolist()]
+        for a, b in zip(edge, edge[1:]):
+            order = a + np.argsort(columns[0][a:b], kind="stable")
+            yield int(frame[a]), *(c[..., order] for c in columns)
+        rest = (frame[edge[-1] :], *(c[..., edge[-1] :] for c in columns))  # the next batch may go on with it
+    if rest is not None:
+        order = np.argsort(rest[1], kind="stable")
+        yield int(rest[0][0]), *(c[..., order] for c in rest[1:])
+
+
+def _told(n: np.ndarray, det: np.ndarray, least: int) -> pd.DataFrame:
+    """det_id and name of the boxes of tracks n that have so many."""
+    order = np.argsort(n, kind="stable")
+    n, det = n[order], det[order]
+    edge = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.empty(0, np.int64)
+    size = np.diff(np.r_[edge, len(n)])
+    name = np.repeat(np.minimum.reduceat(det, edge) + 1, size) if len(n) else det
+    told = np.repeat(size >= least, size)
+    return pd.DataFrame({"det_id": det[told], "track_id": name[told]})
+
+
+def _walk(linker: Linker, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """det_id and track_id of the boxes of told tracks, as these end."""
+    held, count, ask = [], 0, HELD
+    for frame, group, ids, boxes, conf in _frames(batches):
+        n = linker.advance(frame, group, ids, boxes, conf)
+        held.append((n[n > 0], ids[n > 0]))
+        count += len(held[-1][0])
+        if count > ask:
+            n, ids = (np.concatenate(x) for x in zip(*held))
+            live = np.isin(n, linker.n)
+            yield _told(n[~live], ids[~live], linker.min_hits)
+            held, count = [(n[live], ids[live])], int(live.sum())
+            ask = max(HELD, 2 * count)
+    if held:
+        yield _told(*(np.concatenate(x) for x in zip(*held)), linker.min_hits)
+
+
 def link_tracks(dets: DataFrame, fps: float, high: float = 0.6, **rules) -> DataFrame:
     """dets with track_id: identities within a sequence and class by the steps of ``Linker`` (and its rules), null where a box belongs to none.
 
     A sequence and class is cut wherever no box occurs for longer than a track may be out of sight, as no track crosses such a gap; the
-    stretches between are linked apart.  A track's name is the smallest det_id of its boxes + 1, so no two sequences share one.
+    stretches between are dealt apart.  A task walks all of its stretches together, a frame of them all in each step, and keeps the live tracks and
+    the ids of their boxes.  A track's name is the smallest det_id of its boxes + 1, so no two sequences share one.
     """
     budget = Linker(fps, high, **rules).budget
     before = F.lag("frame").over(Window.partitionBy("seq", "cls").orderBy("frame"))
     frames = dets.select("seq", "cls", "frame").distinct().withColumn("starts", F.coalesce((F.col("frame") - before > budget).cast("int"), F.lit(0)))
     frames = frames.withColumn("stretch", F.sum("starts").over(Window.partitionBy("seq", "cls").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        linker, out = Linker(fps, high, **rules), []
-        group = group.sort_values(["frame", "det_id"])
-        ids, boxes, conf = group["det_id"].tolist(), group[list(BOX)].to_numpy(float), group["conf"].to_numpy(float)
-        frame = group["frame"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1], True])
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            out += linker.step(int(frame[a]), ids[a:b], boxes[a:b], conf[a:b])
-        found = pd.DataFrame(out, columns=["frame", "det_id", "track_id"])
-        found["track_id"] = found.groupby("track_id")["det_id"].transform("min") + 1
-        return found[["det_id", "track_id"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _walk(Linker(fps, high, **rules), batches)
 
     rows = dets.select(*KEY, "det_id", *BOX, "conf", "cls").join(frames.select("seq", "cls", "frame", "stretch"), ["seq", "cls", "frame"])
-    found = rows.groupBy("seq", "cls", "stretch").applyInPandas(run, "det_id long, track_id long")
+    found = rows.repartition("seq", "cls", "stretch").sortWithinPartitions("frame", "det_id").drop("stretch").mapInPandas(run, "det_id long, track_id long")
     return dets.join(found, "det_id", "left")

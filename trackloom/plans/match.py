@@ -66,7 +66,7 @@ def identity_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linked_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.link_tracks(ad.detections(spark, sf), 30.0).select("seq", "frame", "det_id", "track_id")
+    return matching.link_tracks(cut(ad.detections(spark, sf)), 30.0).select("seq", "frame", "det_id", "track_id")
 
 
 def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
