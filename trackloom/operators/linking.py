@@ -73,7 +73,7 @@ def _best_first(s: np.ndarray, box: np.ndarray, track: np.ndarray, boxes: int, t
 
 
 class Linker:
-    """The live tracks of sequences and classes; ``live``: n -> (last frame, boxes, name, box, velocity).
+    """The live tracks of sequences and classes, as arrays in order of group and number.
 
     Strong boxes link first to tracks' predicted places (buffered IoU times confidence of s1 or more), weak ones (over 0.1) only
     extend tracks (s2 or more); pairs are taken best first (ties: the older track, the smaller det_id).  A strong box of no track begins one.  A track
@@ -83,33 +83,26 @@ class Linker:
     def __init__(self, fps: float, high: float = 0.6, r1: float = 0.3, r2: float = 0.5, s1: float = 0.2, s2: float = 0.5, min_hits: int = 2, lost: int = 30):
         self.budget = max(1, -(-int(fps * lost) // 30))
         self.high, self.r1, self.r2, self.s1, self.s2, self.min_hits = high, r1, r2, s1, s2, min_hits
-        self.start(0, {}, [])
+        self.start()
+        self.early: dict[int, list[tuple]] = {}
 
-    def start(self, count: int, live: dict[int, tuple], early: list[tuple]) -> None:
-        """Goes on from what is left of earlier steps of one group; early: (n, frame, det_id) of boxes of tracks that aren't told yet."""
+    def start(self, count: int = 0, tracks: tuple[np.ndarray, ...] | None = None) -> None:
+        """Goes on from the ``count`` and ``tracks`` of earlier steps."""
         self.count = count
-        self.n = np.array(sorted(live), np.int64)  # tracks are in order of group and n
-        self.group = np.zeros(len(live), np.int64)
-        self.last, self.hits, self.name = (np.array([live[n][k] for n in self.n.tolist()], np.int64) for k in range(3))
-        self.at = np.array([live[n][3:11] for n in self.n.tolist()], float).reshape(-1, 8).T  # box, velocity
-        self.early: dict[int, list[tuple]] = {}
-        for n, frame, det in early:
-            self.early.setdefault(n, []).append((frame, det))
+        none = np.empty(0, np.int64)
+        self.n, self.group, self.last, self.hits, self.name, self.at = tracks or (none, none, none, none, none, np.empty((8, 0)))  # at: box, velocity
 
     @property
-    def live(self) -> dict[int, tuple]:
-        return {n: (*told, *at) for n, at, *told in zip(self.n.tolist(), self.at.T.tolist(), self.last.tolist(), self.hits.tolist(), self.name.tolist())}
-
-    def waiting(self) -> list[tuple]:
-        return [(n, frame, det) for n, rows in self.early.items() for frame, det in rows]
+    def tracks(self) -> tuple[np.ndarray, ...]:
+        return self.n, self.group, self.last, self.hits, self.name, self.at
 
-    def _keep(self, which: np.ndarray) -> None:
+    def keep(self, which: np.ndarray) -> None:
         self.n, self.group, self.last, self.hits, self.name, self.at = self.n[which], self.group[which], self.last[which], self.hits[which], self.name[which], self.at[:, which]
 
-    def _link(self, frame: int, group: np.ndarray, boxes: np.ndarray, which: np.ndarray, weight: np.ndarray | None, free: np.ndarray, r: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def _link(self, since: np.ndarray, group: np.ndarray, boxes: np.ndarray, which: np.ndarray, weight: np.ndarray | None, free: np.ndarray, r: float, least: float) -> tuple[np.ndarray, np.ndarray]:
         if not len(which) or not len(free):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = self.at[:4, free] + self.at[4:, free] * (frame - self.last[free])
+        at = self.at[:4, free] + self.at[4:, free] * since[free]
         first, last = (np.searchsorted(self.group[free], group[which], side) for side in ("left", "right"))
         found = []
         for i, j, s in _scored(_grown(boxes[:, which], r), first, last, _grown(at, r), least <= 0):
@@ -119,30 +112,40 @@ class Linker:
         i, j = _best_first(*(np.concatenate(x) for x in zip(*found)), len(which), len(free))
         return which[i], free[j]
 
-    def advance(self, frame: int, group: np.ndarray, ids: np.ndarray, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
-        """The track n of each box of a frame (0: none); boxes: 4 x n, in order of group and det_id."""
-        self._keep(frame - self.last <= self.budget)
+    def advance(self, frame: int | np.ndarray, group: np.ndarray, ids: np.ndarray, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
+        """The track n of each box of a frame (0: none); boxes: 4 x n, in order of group and det_id.
+
+        frame: that of all groups, or of each box, where every group has its own; then tracks of groups without a box stay as they are.
+        """
+        if isinstance(frame, np.ndarray):
+            place = np.minimum(np.searchsorted(group, self.group), len(group) - 1)
+            since = np.where(group[place] == self.group, frame[place] - self.last, 0)
+        else:
+            since = frame - self.last
+        live = since <= self.budget
+        self.keep(live)
+        since = since[live]
         strong, weak = np.flatnonzero(conf >= self.high), np.flatnonzero((conf > 0.1) & (conf < self.high))
         free = np.ones(len(self.n), bool)
-        box, track = self._link(frame, group, boxes, strong, conf, np.flatnonzero(free), self.r1, self.s1)
+        box, track = self._link(since, group, boxes, strong, conf, np.flatnonzero(free), self.r1, self.s1)
         free[track] = False
-        more = self._link(frame, group, boxes, weak, None, np.flatnonzero(free), self.r2, self.s2)
+        more = self._link(since, group, boxes, weak, None, np.flatnonzero(free), self.r2, self.s2)
         box, track = np.concatenate([box, more[0]]), np.concatenate([track, more[1]])
         out = np.zeros(len(ids), np.int64)
         out[box] = self.n[track]
-        self.at[4:, track] = (boxes[:, box] - self.at[:4, track]) / np.maximum(1, frame - self.last[track])
+        self.at[4:, track] = (boxes[:, box] - self.at[:4, track]) / np.maximum(1, since[track])
         self.at[:4, track] = boxes[:, box]
-        self.last[track] = frame
+        self.last[track] += since[track]
         self.hits[track] += 1
         new = strong[out[strong] == 0]
         if len(new):
             out[new] = self.count + 1 + np.arange(len(new))
             self.count += len(new)
             self.n, self.group, self.name = (np.concatenate(x) for x in ((self.n, out[new]), (self.group, group[new]), (self.name, ids[new] + 1)))
-            self.last, self.hits = np.concatenate([self.last, np.full(len(new), frame)]), np.concatenate([self.hits, np.ones(len(new), np.int64)])
+            self.last, self.hits = np.concatenate([self.last, frame[new] if isinstance(frame, np.ndarray) else np.full(len(new), frame)]), np.concatenate([self.hits, np.ones(len(new), np.int64)])
             self.at = np.concatenate([self.at, np.concatenate([boxes[:, new], np.zeros((4, len(new)))])], 1)
             if (self.group[1:] < self.group[:-1]).any():
-                self._keep(np.argsort(self.group, kind="stable"))
+                self.keep(np.argsort(self.group, kind="stable"))
         return out
 
     def step(self, frame: int, ids: list[int], boxes: np.ndarray, conf: np.ndarray) -> list[tuple[int, int, int]]:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -29,8 +29,8 @@ def _at(frame="frame"):
     return F.timestamp_micros((F.lit(1_704_067_200_000_000) + F.col(frame).cast("long") * 200_000).cast("long"))
 
 
-def replayed(rows: DataFrame, slices: int = SLICES) -> DataFrame:
-    """rows (seq int, ts, ...) as a stream of files, earlier slices of time first, and last a beat of sequence -1 long after them all, which lets the watermark pass.
+def replayed(rows: DataFrame, slices: int = SLICES, by: Column | str = "seq") -> DataFrame:
+    """rows (seq int, ts, ...) as a stream of files dealt by ``by``, earlier slices of time first, and last a beat of sequence -1 long after them all, which lets the watermark pass.
 
     Its numbers are -1: a join drops rows without a key before they count for the watermark.
     """
@@ -41,7 +41,7 @@ def replayed(rows: DataFrame, slices: int = SLICES) -> DataFrame:
         long = F.unix_micros("ts") - F.unix_micros(F.lit(ends.a))
         of = F.least(F.lit(slices - 1), F.floor(long * slices / F.greatest(F.lit(1), F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)))))
         for k in range(slices):
-            rows.where(of == k).repartition(FILES, "seq").write.mode("append").parquet(path)
+            rows.where(of == k).repartition(FILES, by).write.mode("append").parquet(path)
     beat = {"seq": F.lit(-1), "ts": F.lit(ends.b) + F.expr("interval 10 days") if ends.b is not None else F.current_timestamp()}
     spark.range(1).select(*(beat.get(f.name, F.lit(-1) if isinstance(f.dataType, NumericType) else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
@@ -125,7 +125,7 @@ def streamed_possession(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Tracks by a stream: the sets of boxes are those of ``linked_tracks``, named by their smallest box."""
     rows = cut(ad.detections(spark, sf).select("seq", _at().alias("ts"), "frame", "det_id", "x1", "y1", "x2", "y2", "conf", "cls"))
-    found = run(ordered.link_tracks_stream(replayed(rows), 30.0, _slack(rows), 60.0))
+    found = run(ordered.link_tracks_stream(replayed(rows, by=ordered.part_of()), 30.0, _slack(rows), 60.0))
     return found.select("seq", "det_id", (F.min("det_id").over(Window.partitionBy("track_id")) + 1).alias("track_id"))
 
 

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -341,60 +342,156 @@ def fill_ball_stream(stream: DataFrame, late: str = "2 seconds", idle: float = 1
 # ---- tracks
 
 
-class _Links(InOrder):
-    """State: the live tracks of a sequence and class, and the boxes of those that aren't confirmed yet."""
+#: Sequences that take their steps together, and boxes that a task sorts at once before they go there.
+TOGETHER = 32
+SORTED = 1 << 20
+_NEVER, _NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_ZSTD = pa.Codec("zstd", 1)
 
-    held = "frame int, det_id long, x1 double, y1 double, x2 double, y2 double, conf double"
-    out = ("seq", "kind", "frame", "det_id", "track_id")
 
-    def __init__(self, idle: float, linker: Linker):
-        super().__init__(idle)
-        self.linker = linker
+def part_of(seq: str = "seq") -> Column:
+    """The part of the sequences that take their steps together."""
+    return F.floor(F.col(seq) / TOGETHER)
 
-    def open(self) -> None:
-        numbers = ", ".join(f"{p}{i} double" for p in "bv" for i in range(4))
-        self.tracks = self.handle.getMapState("tracks", "n long", f"last long, hits long, name long, {numbers}")
-        self.early = self.handle.getListState("early", "n long, frame int, det_id long")
-        self.count = self.handle.getValueState("count", "n long")
 
-    def load(self) -> None:
-        self.linker.start(self.count.get()[0] if self.count.exists() else 0, {k[0]: tuple(v) for k, v in self.tracks.iterator()} if self.tracks.exists() else {}, [tuple(e) for e in self.early.get()] if self.early.exists() else [])
-        self.known = set(self.linker.live)
+def _by_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boxes as a row for each part and time: one by one they would cost the stateful operator more than all that it decides."""
 
-    def save(self) -> None:
-        for n in self.known - set(self.linker.live):
-            self.tracks.removeKey((n,))
-        for n, t in self.linker.live.items():
-            self.tracks.updateValue((n,), t)
-        self.early.clear()
-        waiting = self.linker.waiting()
-        if waiting:
-            self.early.put(waiting)
-        self.count.update((self.linker.count,))
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        if any(rows[c].null_count for c in ("part", "ts", "seq", "frame", "det_id")):
+            raise ValueError("a box without seq, ts, frame or det_id")
+        part, ts, seq, frame, det = (rows[c].cast(pa.int64()).to_numpy() for c in ("part", "ts", "seq", "frame", "det_id"))
+        cls = rows["cls"].combine_chunks().dictionary_encode("encode")
+        classes, code = cls.dictionary.to_pylist(), cls.indices.to_numpy()
+        order = np.lexsort((ts, part))
+        part, ts = part[order], ts[order]
+        edges = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(ts) != 0), True])
+        ids = np.array([seq, frame, det, code], np.int64)[:, order]
+        boxes = np.array([rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2", "conf")], float)[:, order]
+        cuts = list(zip(edges.tolist(), edges[1:].tolist()))
+        first = edges[:-1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[first]), pa.array(ts[first]).cast(pa.timestamp("us", "UTC")), pa.array(ts[first]), pa.array([classes] * len(cuts), pa.list_(pa.string())), *(pa.array([x[:, a:b].tobytes() for a, b in cuts], pa.binary()) for x in (ids, boxes))],
+            ["part", "ts", "at", "classes", "ids", "boxes"],
+        )
 
-    def clear(self) -> None:
-        self.tracks.clear()
-        self.early.clear()
-        self.count.clear()
+    held, count = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= SORTED:
+            yield packed(held)
+            held, count = [], 0
+    if held:
+        yield packed(held)
 
-    def order(self, row: tuple) -> tuple:
-        return row[1], row[2]
 
-    def name(self, row: tuple):
-        return row[2]
+def _packed(*arrays: np.ndarray) -> bytes:
+    return pickle.dumps([(a.dtype.str, a.shape, _ZSTD.compress(np.ascontiguousarray(a).tobytes(), asbytes=True)) for a in arrays])
 
-    def decide(self, seq, rows):
-        box = np.array([r[3:7] for r in rows], float)
-        for frame, det, track in self.linker.step(rows[0][1], [r[2] for r in rows], box, np.array([r[7] for r in rows], float)):
-            yield seq, self.cls, frame, det, track
 
-    def handleInputRows(self, key, rows, timerValues):
-        self.cls = key[1]
-        yield from super().handleInputRows(key, rows, timerValues)
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(bytearray(_ZSTD.decompress(x, 8 * int(np.prod(shape)), asbytes=True)), kind).reshape(shape) for kind, shape, x in pickle.loads(packed)]
+
+
+class _Links(StatefulProcessor):
+    """State of some sequences: their waiting rows, up to when each sequence and class is decided and what it waits for, the live tracks, and the boxes of those that aren't confirmed yet.
+
+    Each sequence and class keeps the rules of ``InOrder`` by itself, but all take their steps together, a time of them all in each, as a step is some hundred array operations
+    however few boxes there are.  A group is a sequence and class as one number.
+    """
+
+    def __init__(self, idle: float, linker: Linker):
+        self.idle, self.linker = idle, linker
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")  # group, ts, frame and det_id; box and conf
+        # groups: each one's number, its last decided time and its first waiting one; tracks: the linker's arrays and the early boxes' track, group, frame and det_id
+        self.kept = handle.getValueState("kept", "classes array<string>, groups binary, n long, tracks binary")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.cls = key[1]
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield self._advance(pd.concat(list(rows), ignore_index=True), timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(None, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _arrays(self, new: pd.DataFrame | None, classes: list) -> tuple[np.ndarray, np.ndarray]:
+        """Rows as state holds them; their classes are added to ``classes``."""
+        if new is None:
+            return np.empty((4, 0), np.int64), np.empty((5, 0))
+        named = [tuple(x) for x in new["classes"]]
+        classes += [x for x in dict.fromkeys(x for names in dict.fromkeys(named) for x in names) if x not in classes]
+        code = {names: np.array([classes.index(x) for x in names], np.int64) for names in dict.fromkeys(named)}
+        each = [np.frombuffer(x, np.int64).reshape(4, -1) for x in new["ids"]]
+        whole = np.concatenate([[(seq << 32) + code[names][of], np.full(len(of), at), frame, det] for (seq, frame, det, of), names, at in zip(each, named, new["at"])], 1)
+        return whole, np.concatenate([np.frombuffer(x, float).reshape(5, -1) for x in new["boxes"]], 1)
+
+    def _advance(self, new: pd.DataFrame | None, watermark: int) -> pd.DataFrame:
+        classes, groups, n, tracks = self.kept.get() if self.kept.exists() else ((), None, 0, None)
+        classes, out, early = list(classes), np.empty((4, 0), np.int64), np.empty((4, 0), np.int64)
+        group, decided, first = _unpacked(groups)[0] if groups else np.empty((3, 0), np.int64)
+        whole, part = self._arrays(new, classes)
+        unseen = np.setdiff1d(whole[0], group)
+        order = np.argsort(np.r_[group, unseen])
+        group, decided, first = (np.r_[x, y][order] for x, y in ((group, unseen), (decided, np.full(len(unseen), _NEVER)), (first, np.full(len(unseen), _NONE))))
+        on_time = whole[1] > decided[np.searchsorted(group, whole[0])]
+        whole, part = whole[:, on_time], part[:, on_time]
+        np.minimum.at(first, np.searchsorted(group, whole[0]), whole[1])
+        ready = (first < watermark).any()
+        if ready or ((first == _NONE) & (watermark > decided + self.idle * 1e6)).any():
+            *tracks, early = _unpacked(tracks) if tracks else (early,)
+            self.linker.start(n, tuple(tracks) or None)
+            if ready:
+                rows = [*(_unpacked(x) for (x,) in (self.waiting.get() if self.waiting.exists() else ())), (whole, part)]
+                whole, part = (np.concatenate(x, 1) for x in zip(*rows))
+                now = whole[1] < watermark
+                np.maximum.at(decided, np.searchsorted(group, whole[0, now]), whole[1, now])
+                out, early = self._linked(whole[:, now], part[:, now], early)
+                whole, part = whole[:, ~now], part[:, ~now]
+                first[:] = _NONE
+                np.minimum.at(first, np.searchsorted(group, whole[0]), whole[1])
+                self.waiting.clear()
+            stay = (first < _NONE) | (watermark <= decided + self.idle * 1e6)
+            group, decided, first = group[stay], decided[stay], first[stay]
+            self.linker.keep(np.isin(self.linker.group, group))
+            n, tracks = self.linker.count, _packed(*self.linker.tracks, early[:, np.isin(early[0], self.linker.n)])
+        if whole.size:
+            self.waiting.appendValue((_packed(whole, part),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if len(group):
+            self.kept.update((classes, _packed(np.array([group, decided, first])), n, tracks))
+            self.handle.registerTimer(int(np.where(first < _NONE, first // 1000, decided // 1000 + int(self.idle * 1000)).min()) + 1)
+        else:
+            self.waiting.clear()
+            self.kept.clear()
+        of, frame, det, name = out
+        return pd.DataFrame({"seq": of >> 32, "cls": np.array(classes, object)[of & 0xFFFFFFFF], "frame": frame, "det_id": det, "track_id": name})
+
+    def _linked(self, whole: np.ndarray, part: np.ndarray, early: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group, frame, det_id and track of the boxes that are told now, and the early boxes that are left."""
+        order = np.lexsort((whole[2], whole[3], whole[0], whole[1]))
+        order = order[np.r_[True, (np.diff(whole[[0, 1, 3]][:, order]) != 0).any(0)]]  # a box once in a time
+        order = order[np.lexsort((whole[3, order], whole[2, order], whole[0, order], whole[1, order]))]
+        (group, ts, frame, det), part = whole[:, order], part[:, order]
+        begins = np.r_[True, (np.diff(ts) != 0) | (np.diff(group) != 0)]
+        frame = frame[begins][np.cumsum(begins) - 1]
+        confirmed = self.linker.hits >= self.linker.min_hits
+        old, named = self.linker.n[confirmed], self.linker.name[confirmed]
+        of = np.empty(len(ts), np.int64)
+        edges = np.flatnonzero(np.r_[True, np.diff(ts) != 0, True]).tolist()
+        for a, b in zip(edges, edges[1:]):
+            of[a:b] = self.linker.advance(frame[a:b], group[a:b], det[a:b], part[:4, a:b], part[4, a:b])
+        rows = np.concatenate([early, np.array([of, group, frame, det])[:, of > 0]], 1)
+        each, at, back, size = np.unique(rows[0], return_index=True, return_inverse=True, return_counts=True)
+        name, known = rows[3, at] + 1, np.isin(each, old)
+        order = np.argsort(old)
+        name[known] = named[order][np.searchsorted(old[order], each[known])]
+        told = (known | (size >= self.linker.min_hits))[back]
+        return np.array([*rows[1:, told], name[back[told]]]), rows[:, ~told]
 
 
 def link_tracks_stream(stream: DataFrame, fps: float, late: str = "2 seconds", idle: float | None = None, **rules) -> DataFrame:
@@ -404,10 +501,10 @@ def link_tracks_stream(stream: DataFrame, fps: float, late: str = "2 seconds", i
     without a box (at 30 per second) as in the batch form, and a sequence is forgotten after as long a time.
     """
     linker = Linker(fps, **rules)
-    rows = stream.select("seq", F.col("cls").alias("kind"), "ts", "frame", "det_id", "x1", "y1", "x2", "y2", "conf").withWatermark("ts", late)
+    rows = stream.select(part_of().alias("part"), "ts", "seq", "frame", "det_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "conf")), "cls")
+    rows = rows.mapInArrow(_by_time, "part long, ts timestamp, at long, classes array<string>, ids binary, boxes binary").withWatermark("ts", late)
     quiet = idle if idle is not None else (linker.budget + 1) / fps
-    found = rows.groupBy("seq", "kind").transformWithStateInPandas(_Links(quiet, linker), "seq int, kind string, frame int, det_id long, track_id long", "Append", "EventTime")
-    return found.withColumnRenamed("kind", "cls")  # a key can't be named cls in this interface
+    return rows.groupBy("part").transformWithStateInPandas(_Links(quiet, linker), "seq int, cls string, frame int, det_id long, track_id long", "Append", "EventTime")
 
 
 # ---- possession from two streams
